@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, secrets, token_files
 
 QUERIES = {
     "op4_source_mixing": mixing.query,
+    "op7_token_files": token_files.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_secret_scan": secrets.query,
 }
 
 SQL = {
