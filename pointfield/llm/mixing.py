@@ -23,6 +23,8 @@ WEIGHTS = (5, 2, 1)
 #: Words of the mix for each word of the input; most repetitions of a source.
 MIX_RATIO, MAX_EPOCHS = 1.5, 2
 SEED = 17
+#: The table of sources (about 100 bytes a row) is broadcast up to so many rows; beyond, a sort-merge join that AQE may split.
+BROADCAST_SOURCES = 50_000
 #: Hex digits of the digest that make a bucket.
 BUCKET_DIGITS = 4
 
@@ -75,7 +77,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs: int
     border = sums.join(plan, same(sums, plan)).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_n")))
     border = border.select(sums["source"].alias("_source"), F.col("_bucket").alias("_border"), "_before")
     plan = materialize(plan.join(border, plan["source"].eqNullSafe(border["_source"]), "left").drop("_source").withColumnRenamed("source", "_source"), "mix-plan")
-    rows = base.join(plan, base["source"].eqNullSafe(plan["_source"]))
+    small = plan.count() <= BROADCAST_SOURCES
+    rows = base.join(F.broadcast(plan) if small else plan, base["source"].eqNullSafe(plan["_source"]))
     inside = F.col("_border").isNull() | (F.col("_bucket") < F.col("_border"))
     at = F.coalesce(F.col("_bucket") == F.col("_border"), F.lit(False))
     taken = F.col("_whole") * F.col("size")
