@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets, token_files
+from . import decontamination, exact_dedup, mixing, secrets, token_files
 
 QUERIES = {
+    "op2_decontamination": decontamination.query,
     "op4_source_mixing": mixing.query,
     "op7_token_files": token_files.query,
     "op8_exact_dedup": exact_dedup.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_decontamination": decontamination.SQL,
     "op4_source_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
