@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, secrets, token_files
+from . import decontamination, exact_dedup, language_id, mixing, secrets, token_files
 
 QUERIES = {
     "op2_decontamination": decontamination.query,
+    "op3_language_id": language_id.query,
     "op4_source_mixing": mixing.query,
     "op7_token_files": token_files.query,
     "op8_exact_dedup": exact_dedup.query,
