@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +31,11 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) ->
         held += size
     if start < len(col):
         yield batch.slice(start)
+
+
+def per_worker(key: tuple, make: Callable):
+    """What ``make`` gives, kept in this Python process for the tasks to come; one object per name, key[0]."""
+    kept = sys.modules.setdefault("_pointfield_worker", types.ModuleType("_pointfield_worker")).__dict__
+    if kept.get(key[0], (None,))[0] != key:
+        kept[key[0]] = (key, make())
+    return kept[key[0]][1]

@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, scratch_dir, text_slices
+from .common import documents, materialize, per_worker, scratch_dir, text_slices
 
 SEQUENCE, ROWS = 1024, 256
 END_ID = 2
 #: Pre-tokens that a worker remembers at most.
-CACHE = 400_000
+CACHE = 1_000_000
 
 # The pre-token pattern of the byte-level vocabulary, in the form that agrees with it on the characters of _PLAIN.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -133,7 +133,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, l
             for b in text_slices(whole, "_text"):
                 if shard is None:
                     where, base = pafs.FileSystem.from_uri(folder)
-                    encoder = Encoder(vocabulary)
+                    encoder = per_worker(("encoder", vocabulary), lambda: Encoder(vocabulary))
                     end = np.array([end_id], encoder.dtype).tobytes()
                     outs = [where.open_output_stream(f"{base}/{kind}-{name}.arrow") for kind in ("tokens", "docs")]
                     shard = _Shard(outs[0], encoder.dtype, length)
