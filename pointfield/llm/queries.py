@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, mixing, secrets, token_files
+from . import decontamination, exact_dedup, html_text, language_id, mixing, secrets, token_counts, token_files
 
 QUERIES = {
+    "op1_token_counts": token_counts.query,
     "op2_decontamination": decontamination.query,
     "op3_language_id": language_id.query,
     "op4_source_mixing": mixing.query,
+    "op5_html_text": html_text.query,
     "op7_token_files": token_files.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_secret_scan": secrets.query,
