@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_text, language_id, mixing, secrets, token_counts, token_files
+from . import decontamination, exact_dedup, html_text, language_id, mixing, ngram_join, secrets, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language_id.query,
     "op4_source_mixing": mixing.query,
     "op5_html_text": html_text.query,
+    "op6_ngram_join": ngram_join.query,
     "op7_token_files": token_files.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_secret_scan": secrets.query,
@@ -18,5 +19,6 @@ QUERIES = {
 SQL = {
     "op2_decontamination": decontamination.SQL,
     "op4_source_mixing": mixing.SQL,
+    "op6_ngram_join": ngram_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
