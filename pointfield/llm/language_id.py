@@ -12,6 +12,7 @@ languages), so it can be sent to every worker. Prediction is a map over all rows
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_slices
+from .common import documents, materialize, per_worker, text_slices
 
 MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 20_000, 200_000, 120_000, 4
 UNKNOWN = "und"
@@ -45,8 +46,22 @@ class Model:
         self.languages = languages
         self.words = self._log(word_counts)
         self.grams = {n: self._log(x) for n, x in gram_counts.items()}
+        self.remember()
+
+    def remember(self) -> Model:
         self.seen: dict[str, int] = {}
-        self.rows = np.empty((0, len(languages)), np.float32)
+        self.rows = np.empty((0, len(self.languages)), np.float32)
+        return self
+
+    def state(self) -> tuple:
+        """All that a worker needs, in types that any worker can unpickle."""
+        return self.languages, self.words, self.grams
+
+    @classmethod
+    def of(cls, state: tuple) -> Model:
+        self = cls.__new__(cls)
+        self.languages, self.words, self.grams = state
+        return self.remember()
 
     def _log(self, counts):
         at = {x: i for i, x in enumerate(self.languages)}
@@ -155,10 +170,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model.state()), uuid.uuid4().hex
 
     def work(batches):
-        m = sent.value
+        m = per_worker(("language-model", name), lambda: Model.of(sent.value))
         for whole in batches:
             for b in text_slices(whole, text_col):
                 got = [m.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]

@@ -53,41 +53,59 @@ def targets(sizes: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs:
     return out.withColumn("target", F.least("_cap", water * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: (id, source, size, source_size, target, taken).
+def _sized(docs: DataFrame, seed: int, id_col: str) -> DataFrame:
+    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    return docs.withColumns({"_size": words(F.col("text")), "_rank": rank}).withColumn("_bucket", F.substring("_rank", 1, BUCKET_DIGITS))
 
-    taken counts words, repetitions included; the taken words of a source sum to its target, rounded. Documents
-    without words or text have size 0 and are taken 0 times. Repeated rows count each on its own; a null id is an
-    id like any other, a null source is a source of its own. An empty input gives no rows.
-    """
-    base = docs.select(
-        F.col(id_col).alias("_id"),
-        F.col("source"),
-        words(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("_rank"),
-    ).withColumn("_bucket", F.substring("_rank", 1, BUCKET_DIGITS))
-    base = materialize(base, "mix-sizes")
-    buckets = materialize(base.groupBy("source", "_bucket").agg(F.sum("size").alias("_n")), "mix-buckets")
+
+def _taken(rows: DataFrame, sizes: DataFrame, weights, ratio: float, epochs: float) -> DataFrame:
+    """``rows`` (with _size, _rank, _bucket and source) with _source_size, _target and _taken; ``sizes`` are those four columns
+    of the same rows."""
+    buckets = materialize(sizes.groupBy("source", "_bucket").agg(F.sum("_size").alias("_n")), "mix-buckets")
     plan = targets(buckets.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, ratio, epochs)
     plan = plan.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     plan = plan.withColumn("_rest", F.floor(F.col("target") + 0.5) - F.col("_whole") * F.col("source_size"))
     order = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    border = sums.join(plan, same(sums, plan)).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_n")))
+    border = sums.join(plan, sums["source"].eqNullSafe(plan["source"])).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_n")))
     border = border.select(sums["source"].alias("_source"), F.col("_bucket").alias("_border"), "_before")
-    plan = materialize(plan.join(border, plan["source"].eqNullSafe(border["_source"]), "left").drop("_source").withColumnRenamed("source", "_source"), "mix-plan")
+    plan = plan.join(border, plan["source"].eqNullSafe(border["_source"]), "left")
+    plan = plan.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_rest", "_border", "_before")
+    plan = materialize(plan, "mix-plan")
     small = plan.count() <= BROADCAST_SOURCES
-    rows = base.join(F.broadcast(plan) if small else plan, base["source"].eqNullSafe(plan["_source"]))
+    found = rows.join(F.broadcast(plan) if small else plan, rows["source"].eqNullSafe(plan["_of"]))
     inside = F.col("_border").isNull() | (F.col("_bucket") < F.col("_border"))
     at = F.coalesce(F.col("_bucket") == F.col("_border"), F.lit(False))
-    taken = F.col("_whole") * F.col("size")
-    plain = rows.where(~at).withColumn("taken", taken + F.when(inside & (F.col("_rest") > 0), F.col("size")).otherwise(F.lit(0)))
-    run = Window.partitionBy("source").orderBy("_rank", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sorted_ = rows.where(at).withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    sorted_ = sorted_.withColumn("taken", taken + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_ahead"))))
-    out = ["_id", "source", "size", "source_size", "target", "taken"]
-    return plain.select(*out).union(sorted_.select(*out)).withColumnRenamed("_id", id_col)
+    taken = F.col("_whole") * F.col("_size")
+    plain = found.where(~at).withColumn("_taken", taken + F.when(inside & (F.col("_rest") > 0), F.col("_size")).otherwise(F.lit(0)))
+    run = Window.partitionBy("source").orderBy("_rank", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = found.where(at).withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("_size").over(run), F.lit(0)))
+    ordered = ordered.withColumn("_taken", taken + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_ahead"))))
+    columns = [*rows.columns, "_source_size", "_target", "_taken"]
+    return plain.select(*columns).union(ordered.select(*columns))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+    """One row per document: (id, source, size, source_size, target, taken).
+
+    taken counts words, repetitions included; the taken words of a source sum to its target, rounded. Documents
+    without words or text have size 0 and are taken 0 times. Repeated rows count each on its own; a null id is an
+    id like any other, a null source is a source of its own. Other columns are ignored. An empty input gives no rows.
+    """
+    base = _sized(docs.select(F.col(id_col).alias("_key"), "source", "text"), seed, "_key").drop("text")
+    base = materialize(base, "mix-sizes")
+    out = _taken(base, base, weights, ratio, epochs)
+    return out.select(F.col("_key").alias(id_col), "source", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; of the one document per source that is taken in part a whole copy
+    is given if at least half of it is taken. Documents without words are in no mix. The texts are not shuffled."""
+    rows = _sized(docs, seed, id_col)
+    sizes = materialize(rows.select("source", "_size", "_rank", "_bucket"), "mix-sizes")
+    out = _taken(rows, sizes, weights, ratio, epochs).where("_size > 0")
+    times = F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int")
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

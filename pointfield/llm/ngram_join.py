@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -260,15 +260,16 @@ def _parts(spark: SparkSession) -> int:
 
 
 def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (id, n_shingles, component_id), where two documents are linked when den * |A and B| >=
-    num * |A or B|, and component_id is the least id reachable over links.
+    """One row per input row: (id, n_shingles, component_id, text_hash, kept), where two documents are linked when
+    den * |A and B| >= num * |A or B|, and component_id is the least id reachable over links. text_hash is xxhash64 of the
+    text; kept marks one row of each component, one with the least id, and every row without shingles.
 
     Null and empty texts and those without words have no shingles and are linked with nothing. Rows with one text, or
     one set, are linked whatever their ids; null ids are never a component's least, and a component of nothing but
     null ids has a null id. Other columns are ignored. An empty input gives no rows.
     """
     spark, rule = docs.sparkSession, Rule(num, den)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("hash"))
     id_type = rows.schema["_id"].dataType
 
     def sets(batches):
@@ -281,11 +282,11 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
                     key.append(xxhash.xxh3_128_digest(s.tobytes()))
                     low.append(s[: rule.reach(len(s))].view(np.int64) if len(s) and not rule.alone(len(s)) else [])
                     maps.append(bitmap(s))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["_id", "n", "key", "low", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["_id", "hash", "n", "key", "low", "bits"])
 
-    out = T.StructType().add("_id", id_type).add("n", T.LongType()).add("key", T.BinaryType()).add("low", T.ArrayType(T.LongType())).add("bits", T.BinaryType())
+    out = T.StructType().add("_id", id_type).add("hash", T.LongType()).add("n", T.LongType()).add("key", T.BinaryType()).add("low", T.ArrayType(T.LongType())).add("bits", T.BinaryType())
     every = materialize(rows.mapInArrow(sets, out).withColumn("uid", F.monotonically_increasing_id()), "join-sets")
-    classes = every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.min("_id").alias("least_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
+    classes = every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "uid")).alias("best"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
     classes = materialize(classes, "join-classes")
 
     tokens = classes.select("node", F.posexplode("low").alias("pos", "token"))
@@ -310,10 +311,10 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
     close = components(cells.mapInArrow(lambda b: _forest_by_bitmap(b, rule), "a bigint, b bigint"))
     close = materialize(close, "join-candidates")
 
-    volume = close.join(classes.select("node", "n", "key", "least_id"), "node")
+    volume = close.join(classes.select("node", "n", "key", "best._id"), "node")
     volume = materialize(volume, "join-candidate-sets")
     blocks = volume.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    wanted = volume.select(F.col("least_id").alias("_want")).distinct()
+    wanted = volume.select(F.col("_id").alias("_want")).distinct()
     read = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_want")), "left_semi")
 
     def again(batches):
@@ -327,18 +328,36 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
     cells = _dealt(read, "blocks", "node", "root").select("cell", "node", "shingles").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
     found = materialize(components(cells.mapInArrow(lambda b: _forest_by_set(b, rule), "a bigint, b bigint")), "join-components")
 
-    members = found.join(classes.select("node", "least_id"), "node")
-    least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = members.join(least, "root").select("node", "component_id")
-    ids = classes.select("key", "node", "least_id").join(named, "node", "left")
-    ids = materialize(ids.select("key", F.coalesce("component_id", "least_id").alias("component_id")), "join-class-ids")
-    plain = every.select("_id", "n", "key")
-    linked = plain.where("n > 0").join(ids, "key").select("_id", "n", "component_id")
-    return linked.union(plain.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    members = found.join(classes.select("node", "best"), "node")
+    least = members.groupBy("root").agg(F.min("best").alias("first"))
+    named = members.join(least, "root").select("node", "first")
+    ids = classes.select("key", "node", "best").join(named, "node", "left")
+    ids = materialize(ids.select("key", F.coalesce("first", "best").alias("best")), "join-class-ids")
+    plain = every.select("_id", "hash", "uid", "n", "key")
+    linked = plain.where("n > 0").join(ids, "key").select("_id", "n", "best._id", "hash", F.col("uid") == F.col("best.uid"))
+    empty = plain.where("n = 0").select("_id", "n", F.col("_id"), "hash", F.lit(True))
+    return linked.union(empty).toDF(id_col, "n_shingles", "component_id", "text_hash", "kept")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``join`` keeps: one of each component. Only keys of what goes are joined with the texts; rows that
+    repeat an id and its text and of which one stays are thinned apart."""
+    marked = materialize(join(docs, shingle, num, den, id_col, text_col).groupBy(id_col, "text_hash").agg(F.sum(F.col("kept").cast("long")).alias("_stay"), F.count("*").alias("_rows")), "join-marks")
+    marked = marked.where("_stay < _rows").withColumnRenamed(id_col, "_key").withColumnRenamed("text_hash", "_hash")
+    named = docs.withColumn("_h", F.xxhash64(text_col))
+    same = named[id_col].eqNullSafe(marked["_key"]) & (named["_h"] == marked["_hash"])
+    kept = named.join(marked.select("_key", "_hash"), same, "left_anti")
+    if not marked.where("_stay > 0").isEmpty():
+        some = marked.where("_stay > 0")
+        again = named.join(some, named[id_col].eqNullSafe(some["_key"]) & (named["_h"] == some["_hash"]))
+        turn = Window.partitionBy("_key", "_hash").orderBy(*[F.col(c) for c in docs.columns if c != text_col])
+        again = again.withColumn("_turn", F.row_number().over(turn)).where("_turn <= _stay")
+        kept = kept.unionByName(again.select(*named.columns))
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir))
+    return join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""

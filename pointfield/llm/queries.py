@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_text, language_id, mixing, ngram_join, secrets, token_counts, token_files
+from . import decontamination, exact_dedup, html_text, language_id, licenses, mixing, ngram_join, secrets, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_files": token_files.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_secret_scan": secrets.query,
+    "op10_license_scan": licenses.query,
 }
 
 SQL = {
