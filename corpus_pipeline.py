@@ -2,9 +2,58 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from pointfield.llm import decontamination, language_id, mixing, ngram_join, token_files
+from pointfield.llm.common import documents, materialize
+
+#: A document is rejected if no language is found or if its words speak for the found one with less than this mean probability.
+MIN_SCORE = 0.3
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows."""
+    found = language_id.predict(docs, language_id.trained(docs))
+    return found.where((found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= MIN_SCORE)).select(*docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, Jaccard similarity of 0.8 or more."""
+    return ngram_join.one_of_each(docs, shingle=5, num=80, den=100)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("size(spans) = 0").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and where each lies in them."""
+    return token_files.write_and_read(docs)
+
+
+STAGES = [
+    ("language_id", identified),
+    ("ngram_join", deduplicated),
+    ("decontamination", decontaminated),
+    ("source_mixing", mixed),
+    ("token_files", tokenized),
+]
+
+#: No SQL: a trained model and a tokenizer take part. tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name}")
+    return docs
