@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -34,8 +35,30 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) ->
 
 
 def per_worker(key: tuple, make: Callable):
-    """What ``make`` gives, kept in this Python process for the tasks to come; one object per name, key[0]."""
+    """What ``make`` gives, kept in this Python process for the tasks to come; the last key's alone, so that an idle worker
+    does not hold what earlier stages needed."""
     kept = sys.modules.setdefault("_pointfield_worker", types.ModuleType("_pointfield_worker")).__dict__
-    if kept.get(key[0], (None,))[0] != key:
-        kept[key[0]] = (key, make())
-    return kept[key[0]][1]
+    if kept.get("key") != key:
+        kept["made"] = None
+        tidy()
+        kept["key"], kept["made"] = key, make()
+    return kept["made"]
+
+
+def tidy() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def tidied(work: Callable) -> Callable:
+    """A partition function that tidies up when it has ended."""
+
+    def run(batches):
+        yield from work(batches)
+        tidy()
+
+    return run

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, text_slices
+from .common import documents, materialize, text_slices, tidied
 
 WINDOW, K = 10, 5
 #: Words of benchmark that an executor indexes at a time, and that are broadcast at once.
@@ -181,7 +181,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
                     new = [pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*b.columns[:base], *new], names=schema.names)
 
-        rows = rows.mapInArrow(work, schema)
+        rows = rows.mapInArrow(tidied(work), schema)
         if groups > 1:
             rows = materialize(rows, "decontamination")
     return rows

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, tidied
 
 WINDOW, THRESHOLD = 3, 120
 
@@ -149,7 +149,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
                 texts = [extract(t) for t in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(work, f"_id {kind}, url string, text string, n_chars bigint").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidied(work), f"_id {kind}, url string, text string, n_chars bigint").withColumnRenamed("_id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, per_worker, text_slices
+from .common import documents, materialize, per_worker, text_slices, tidied
 
 MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 20_000, 200_000, 120_000, 4
 UNKNOWN = "und"
 #: Words whose distribution a worker remembers at most.
-CACHE = 300_000
+CACHE = 150_000
 SMOOTH = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -143,8 +143,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     if share < 1:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003))
     rows = labelled.select(F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = materialize(rows.mapInArrow(_count, "lang string, item string, n bigint").groupBy("lang", "item").agg(F.sum("n").alias("n")), "lang-words")
-    by_gram = materialize(counts.mapInArrow(_gram_count, "lang string, len int, item string, n bigint").groupBy("lang", "len", "item").agg(F.sum("n").alias("n")), "lang-grams")
+    counts = materialize(rows.mapInArrow(tidied(_count), "lang string, item string, n bigint").groupBy("lang", "item").agg(F.sum("n").alias("n")), "lang-words")
+    by_gram = materialize(counts.mapInArrow(tidied(_gram_count), "lang string, len int, item string, n bigint").groupBy("lang", "len", "item").agg(F.sum("n").alias("n")), "lang-grams")
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     each = max(1, len(languages))
 
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 got = [m.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return rows.mapInArrow(work, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidied(work), f"{fields}, lang_pred string, score double")
 
 
 def held_out():

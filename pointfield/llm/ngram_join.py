@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, per_worker, text_slices
+from .common import documents, materialize, per_worker, text_slices, tidied
 from .graph import components
 
 #: Shingles in more prefixes than this are indexed in pairs.
@@ -34,7 +34,7 @@ FREQUENT = 16
 #: Documents of a block of an index key; shingles of a block of a component.
 BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 1_000_000
 #: Word hashes that a worker remembers at most.
-CACHE = 1_000_000
+CACHE = 100_000
 #: Sizes from one band to the next.
 BAND = 1.5
 
@@ -285,7 +285,7 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["_id", "hash", "n", "key", "low", "bits"])
 
     out = T.StructType().add("_id", id_type).add("hash", T.LongType()).add("n", T.LongType()).add("key", T.BinaryType()).add("low", T.ArrayType(T.LongType())).add("bits", T.BinaryType())
-    every = materialize(rows.mapInArrow(sets, out).withColumn("uid", F.monotonically_increasing_id()), "join-sets")
+    every = materialize(rows.mapInArrow(tidied(sets), out).withColumn("uid", F.monotonically_increasing_id()), "join-sets")
     classes = every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "uid")).alias("best"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
     classes = materialize(classes, "join-classes")
 
@@ -306,9 +306,9 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
             blocks = (np.array(most, np.int64) + BLOCK_DOCS - 1) // BLOCK_DOCS
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.int64()), *(b.column(k).take(at) for k in range(3))], names=["sig", "blocks", "node", "n", "bits"])
 
-    keyed = indexed.select("node", "n", "bits", "tokens").mapInArrow(index, "sig bigint, blocks bigint, node bigint, n bigint, bits binary")
+    keyed = indexed.select("node", "n", "bits", "tokens").mapInArrow(tidied(index), "sig bigint, blocks bigint, node bigint, n bigint, bits binary")
     cells = _dealt(keyed, "blocks", "node", "sig").select("cell", "node", "n", "bits").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
-    close = components(cells.mapInArrow(lambda b: _forest_by_bitmap(b, rule), "a bigint, b bigint"))
+    close = components(cells.mapInArrow(tidied(lambda b: _forest_by_bitmap(b, rule)), "a bigint, b bigint"))
     close = materialize(close, "join-candidates")
 
     volume = close.join(classes.select("node", "n", "key", "best._id"), "node")
@@ -323,10 +323,10 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
                 got = [shingles(t, shingle) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in got], pa.binary()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["key", "shingles"])
 
-    read = read.select("_text").mapInArrow(again, "key binary, shingles array<bigint>").join(volume.select("key", "node", "root"), "key")
+    read = read.select("_text").mapInArrow(tidied(again), "key binary, shingles array<bigint>").join(volume.select("key", "node", "root"), "key")
     read = read.groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")).join(blocks, "root")
     cells = _dealt(read, "blocks", "node", "root").select("cell", "node", "shingles").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
-    found = materialize(components(cells.mapInArrow(lambda b: _forest_by_set(b, rule), "a bigint, b bigint")), "join-components")
+    found = materialize(components(cells.mapInArrow(tidied(lambda b: _forest_by_set(b, rule)), "a bigint, b bigint")), "join-components")
 
     members = found.join(classes.select("node", "best"), "node")
     least = members.groupBy("root").agg(F.min("best").alias("first"))

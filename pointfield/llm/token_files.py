@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, per_worker, scratch_dir, text_slices
+from .common import documents, materialize, per_worker, scratch_dir, text_slices, tidied
 
 SEQUENCE, ROWS = 1024, 256
 END_ID = 2
@@ -154,7 +154,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, l
                 o.close()
             yield pa.RecordBatch.from_pylist([{"shard": ctx.partitionId(), "path": f"tokens-{name}.arrow", "docs_path": f"docs-{name}.arrow", "n_docs": n_docs, "n_tokens": shard.n}])
 
-    manifest = materialize(rows.mapInArrow(work, "shard bigint, path string, docs_path string, n_docs bigint, n_tokens bigint"), "token-manifest")
+    manifest = materialize(rows.mapInArrow(tidied(work), "shard bigint, path string, docs_path string, n_docs bigint, n_tokens bigint"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -188,7 +188,7 @@ def read(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame
                         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(starts, pa.int64()), part.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(n).mapInArrow(work, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return manifest.repartition(n).mapInArrow(tidied(work), f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str | None = None, folder: str | None = None, **options) -> DataFrame:
