@@ -14,12 +14,21 @@ from pointfield.plans.session import materialize, scratch_dir  # noqa: F401
 
 #: Bytes of text that one Python batch works on at a time.
 BATCH_BYTES = 4 << 20
+#: Rows that an Arrow batch holds at most.
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few enough rows that batches of long texts stay small on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds at most ``limit`` bytes of text, or a single row."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, text_slices, tidied
+from .common import documents, materialize, short_batches, text_slices, tidied
 
 WINDOW, K = 10, 5
 #: Words of benchmark that an executor indexes at a time, and that are broadcast at once.
@@ -148,6 +148,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     nothing. Columns of ``docs`` of those names are replaced.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     rows = docs.select(*[c for c in docs.columns if c not in ("n_words", "spans", "items")])
     bench = benchmark.where(F.length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").distinct()
     volume = bench.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices, tidied
+from .common import short_batches, text_slices, tidied
 
 WINDOW, THRESHOLD = 3, 120
 
@@ -140,6 +140,7 @@ def extract(page: str | None) -> str:
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars), one row per page. Null or empty html gives the empty text; null and repeated ids and urls pass
     through; an unclosed element lasts to the end of the one around it. Other columns are ignored. An empty input gives no rows."""
+    short_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("_id"), F.col("url").alias("url"), F.col(html_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, per_worker, text_slices, tidied
+from .common import documents, materialize, per_worker, short_batches, text_slices, tidied
 
-MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 20_000, 200_000, 120_000, 4
+MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 20_000, 120_000, 80_000, 4
 UNKNOWN = "und"
 #: Words whose distribution a worker remembers at most.
 CACHE = 150_000
@@ -139,6 +139,7 @@ def _gram_count(batches):
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on rows (doc_id, text, lang) without null languages: all of them, or about ``max_rows`` chosen by a hash of their ids."""
+    short_batches(labelled.sparkSession)
     share = max_rows / max(1, labelled.count())
     if share < 1:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003))
@@ -168,6 +169,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     A null text, an empty one and one without letters is ``und`` with score 0, as is every text under a model of no
     language. Texts are scored whole. Repeated rows and null ids pass through; columns of those two names are replaced.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     sent, name = docs.sparkSession.sparkContext.broadcast(model.state()), uuid.uuid4().hex

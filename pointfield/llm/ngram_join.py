@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, per_worker, text_slices, tidied
+from .common import documents, materialize, per_worker, short_batches, text_slices, tidied
 from .graph import components
 
 #: Shingles in more prefixes than this are indexed in pairs.
@@ -269,6 +269,7 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
     null ids has a null id. Other columns are ignored. An empty input gives no rows.
     """
     spark, rule = docs.sparkSession, Rule(num, den)
+    short_batches(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("hash"))
     id_type = rows.schema["_id"].dataType
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_slices, tidied
+from .common import documents, short_batches, text_slices, tidied
 
 #: Kinds in the order in which spans with one start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "pem", "openssh", "der", "jwt")
@@ -158,6 +158,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     A null or empty text has no spans. Null and repeated ids pass through; other columns are ignored, whatever
     their names. An empty input gives no rows.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(tidied(_scan), f"_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("_id", id_col)

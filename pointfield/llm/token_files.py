@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, per_worker, scratch_dir, text_slices, tidied
+from .common import documents, materialize, per_worker, scratch_dir, short_batches, text_slices, tidied
 
 SEQUENCE, ROWS = 1024, 256
 END_ID = 2
@@ -116,6 +116,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, l
     text. An empty input gives an empty manifest. Other columns are ignored.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
