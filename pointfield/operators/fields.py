@@ -148,9 +148,9 @@ def planar() -> tuple[dict, dict]:
 def planar_gradient() -> tuple[dict, dict]:
     h, hat = dot(R, N), mul(R, 1 / D)
     per = {f"a{c}": AREA * (n - LAM * h * u) * W for c, n, u in zip("xyz", N, hat, strict=True)}
-    per |= {f"b{c}": AREA * u * W for c, u in zip("xyz", hat, strict=True)} | {"c": AREA * h * W, "e": AREA * W}
+    per |= {f"u{c}": AREA * u * W for c, u in zip("xyz", hat, strict=True)} | {"c": AREA * h * W, "e": AREA * W}
     e = col("s_e")
-    return per, {f"g{c}": col(f"s_a{c}") / e + LAM * col(f"s_b{c}") * col("s_c") / (e * e) for c in "xyz"}
+    return per, {f"g{c}": col(f"s_a{c}") / e + LAM * col(f"s_u{c}") * col("s_c") / (e * e) for c in "xyz"}
 
 
 def signed_lse() -> tuple[dict, dict]:
@@ -165,8 +165,8 @@ def signed_lse_gradient() -> tuple[dict, dict]:
     hat = mul(R, 1 / D)
     grad = [((LAM * D + 1) * n + LAM * u * rn) / (2 * PI * cube) - 3 * (LAM * D + 1) * rn * r / (2 * PI * cube * D * D) for n, u, r in zip(N, hat, R, strict=True)]
     per = {f"a{c}": AREA * g * W for c, g in zip("xyz", grad, strict=True)}
-    per |= {f"b{c}": AREA * LAM * u * _dipole() * W for c, u in zip("xyz", hat, strict=True)} | {"c": AREA * W * _dipole()}
-    return per, {f"g{c}": -(col(f"s_a{c}") - col(f"s_b{c}")) / (col("s_c") * LAM) for c in "xyz"}
+    per |= {f"u{c}": AREA * LAM * u * _dipole() * W for c, u in zip("xyz", hat, strict=True)} | {"c": AREA * W * _dipole()}
+    return per, {f"g{c}": -(col(f"s_a{c}") - col(f"s_u{c}")) / (col("s_c") * LAM) for c in "xyz"}
 
 
 def unsigned_lse(lam: float = 10.0) -> tuple[dict, dict]:

@@ -217,12 +217,12 @@ blended("e12_lambda_scale", Evaluation(k=24, lambda_scale=0.5))
 blended("e12_use_areas", Evaluation(k=24, use_areas=True))
 blended("f01_outliers_in_shift_only", Evaluation(k=8))
 blended("e09_radius_or_nearest", Evaluation(radius=0.6, k=10))
-per_pair, per_query = fields.terms(Evaluation(k=32), True), fields.results(Evaluation(k=32), True)
-slope = norm(tuple(per_query[c] for c in ("gx", "gy", "gz")))
+SLOPE_TERMS, per_query = fields.terms(Evaluation(k=32), True), fields.results(Evaluation(k=32), True)
+SLOPE = norm(tuple(per_query[c] for c in ("gx", "gy", "gz")))
 register(
     "e11_eikonality",
-    lambda s, d: rounded_frame(fields.summed(fields.pairs(frame(s, d, "queries_few"), fields.finite(tori(s, d)), Evaluation(k=32)), per_pair, {"eikonality": 1 - slope})),
-    field_sql(Evaluation(k=32), tori_sql(), sql("queries_few"), per_pair, {"eikonality": 1 - slope}, ("eikonality",)),
+    lambda s, d: rounded_frame(fields.summed(fields.pairs(frame(s, d, "queries_few"), fields.finite(tori(s, d)), Evaluation(k=32)), SLOPE_TERMS, {"eikonality": 1 - SLOPE})),
+    field_sql(Evaluation(k=32), tori_sql(), sql("queries_few"), SLOPE_TERMS, {"eikonality": 1 - SLOPE}, ("eikonality",)),
 )
 COLOURED = f"(SELECT *, 0.5e0 + 0.5e0*nx AS red, 0.5e0 + 0.5e0*ny AS green, 0.5e0 + 0.5e0*nz AS blue FROM {tori_sql()})"
 coloured = lambda s, d: tori(s, d).withColumns({c: F.expr(f"0.5e0 + 0.5e0*{n}") for c, n in (("red", "nx"), ("green", "ny"), ("blue", "nz"))})
