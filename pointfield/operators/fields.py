@@ -45,8 +45,9 @@ def finite(cloud: DataFrame) -> DataFrame:
     return cloud.where(ok)
 
 
-def pairs(queries: DataFrame, cloud: DataFrame, how: Evaluation) -> DataFrame:
-    """The pairs that a field sums over, with d, and per query shift = half the largest distance and lam."""
+def pairs(queries: DataFrame, cloud: DataFrame | neighbours.Tree, how: Evaluation) -> DataFrame:
+    """The pairs that a field sums over, with d, and per query shift = half the largest distance and lam. A ``Tree`` stands for its
+    cloud where only nearest points are asked for."""
     n = None
     if how.radius > 0:
         got = neighbours.within_or_nearest(queries, cloud, how.radius, how.k if how.k > 0 else None)
@@ -125,7 +126,8 @@ def evaluate(queries: DataFrame, cloud: DataFrame, how: Evaluation = Evaluation(
 
     Outliers count among the neighbours and for the shift but not in the sums. A query on a point has a distance but no gradient; one
     on which all its neighbours lie has neither (NULL)."""
-    return summed(pairs(queries, finite(cloud), how), terms(how, gradient, laplacian, colour), results(how, gradient, laplacian, colour))
+    cloud = cloud if isinstance(cloud, neighbours.Tree) else finite(cloud)
+    return summed(pairs(queries, cloud, how), terms(how, gradient, laplacian, colour), results(how, gradient, laplacian, colour))
 
 
 # Comparison fields. Each is (terms per pair, outputs per query); ``area`` is a column of the cloud.

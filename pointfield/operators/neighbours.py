@@ -10,6 +10,7 @@ few candidates; nothing pairs all queries with all points.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,14 +46,19 @@ def _squared(parts):
     return parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
 
 
-def knn(queries: DataFrame, cloud: DataFrame, k: int, id_col: str = "qid") -> DataFrame:
-    """(query columns, pid, px, py, pz, other cloud columns, d, rank) of each query's k nearest points, ties by pid; all points where
-    the cloud has k or fewer. Cloud columns x, y, z come as px, py, pz; both sides' other columns must differ in name."""
-    if k < 1:
-        raise ValueError("k must be positive")
+@dataclass(frozen=True)
+class Tree:
+    """A cloud's cells at every level, ready for any number of searches."""
+
+    points: DataFrame
+    levels: dict
+    n: int
+
+
+def tree(cloud: DataFrame) -> Tree:
     box = bounds(cloud)
     if not box.n:
-        return queries.join(cloud.limit(0).withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumns({"d": F.lit(0.0), "rank": F.lit(1)}))
+        return Tree(cloud, {}, 0)
     low = [box.min_x, box.min_y, box.min_z]
     side = max(box.max_x - box.min_x, box.max_y - box.min_y, box.max_z - box.min_z) or 1.0
     depth = max(1, min(DEEPEST, round(math.log(max(1, box.n / LEAF), 4))))
@@ -62,6 +68,18 @@ def knn(queries: DataFrame, cloud: DataFrame, k: int, id_col: str = "qid") -> Da
     for level in range(depth - 1, 0, -1):
         again = [f(f"{n}{c}").alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
         levels[level] = levels[level + 1].withColumn("cell", _parent(level + 1)).groupBy("cell").agg(*again, F.sum("m").alias("m"))
+    return Tree(finest, levels, box.n)
+
+
+def knn(queries: DataFrame, cloud: DataFrame | Tree, k: int, id_col: str = "qid") -> DataFrame:
+    """(query columns, pid, px, py, pz, other cloud columns, d, rank) of each query's k nearest points, ties by pid; all points where
+    the cloud has k or fewer. Cloud columns x, y, z come as px, py, pz; both sides' other columns must differ in name."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    index = cloud if isinstance(cloud, Tree) else tree(cloud)
+    if not index.n:
+        return queries.join(index.points.limit(0).withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumns({"d": F.lit(0.0), "rank": F.lit(1)}))
+    finest, levels, depth = index.points, index.levels, max(index.levels)
     asked = queries.select(id_col, "x", "y", "z")
     found = asked.withColumn("_up", F.lit(0).cast("long"))
     for level in range(1, depth + 1):
@@ -72,7 +90,7 @@ def knn(queries: DataFrame, cloud: DataFrame, k: int, id_col: str = "qid") -> Da
         found = found.select(id_col, "x", "y", "z", F.col("cell").alias("_up"), "m", near.alias("_near"), far.alias("_far"))
         inside = Window.partitionBy(id_col).orderBy("_far", "_up").rowsBetween(Window.unboundedPreceding, 0)
         found = found.withColumn("_sum", F.sum("m").over(inside))
-        reach = F.min(F.when(F.col("_sum") >= min(k, box.n), F.col("_far"))).over(Window.partitionBy(id_col))
+        reach = F.min(F.when(F.col("_sum") >= min(k, index.n), F.col("_far"))).over(Window.partitionBy(id_col))
         found = found.withColumn("_reach", reach).where(F.col("_near") <= F.col("_reach") * (1 + 1e-9) + 1e-300).select(id_col, "x", "y", "z", "_up")
     points = finest.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumnRenamed("cell", "_up")
     pairs = found.select(id_col, "x", "y", "z", "_up").join(points, "_up").drop("_up")

@@ -18,4 +18,4 @@ def register(name: str, build: Callable[[SparkSession, str], DataFrame], sql: st
         SQL[name] = sql
 
 
-from . import field_queries, mesh_queries, shape_queries  # noqa: E402, F401  (they register themselves)
+from . import field_queries, mesh_queries, other_queries, shape_queries  # noqa: E402, F401  (they register themselves)
