@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -108,17 +109,32 @@ class _Shard:
         self.file.close()
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, length: int = SEQUENCE, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fold(batches):
+    """Equal rows that follow each other become one with their number."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, texts, n = b.column(0), b.column(1), b.num_rows
+        same = pc.and_(pc.equal(texts.slice(1), texts.slice(0, n - 1)), pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, n - 1)), False))
+        starts = np.flatnonzero(np.concatenate([[True], ~same.to_numpy(zero_copy_only=False).astype(bool)]))
+        at = pa.array(starts)
+        yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(np.diff(np.append(starts, n)))], names=["_id", "_text", "_copies"])
+
+
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, length: int = SEQUENCE, shards: int | None = None, fold: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``docs`` below ``folder`` and return the manifest: (shard, path, docs_path, n_docs, n_tokens, start).
 
     ``folder`` is a URI that executors reach (file of a shared mount, or any store that Arrow's file systems know).
     Null texts count as empty and give the end id alone. Null ids come first; rows with one id follow each other by
-    text. An empty input gives an empty manifest. Other columns are ignored.
+    text. An empty input gives an empty manifest. Other columns are ignored. ``fold`` sends repeated rows that stand together, as
+    a mix makes them, through the shuffle once; the files are the same.
     """
     spark = docs.sparkSession
     short_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    id_kind = rows.schema["_id"].dataType.simpleString()
+    rows = rows.mapInArrow(_fold, f"_id {id_kind}, _text string, _copies bigint") if fold else rows.withColumn("_copies", F.lit(1).cast("long"))
     rows = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
@@ -140,14 +156,17 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, l
                     shard = _Shard(outs[0], encoder.dtype, length)
                     docs_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                     docs_file = pa.ipc.new_file(outs[1], docs_schema)
-                starts, sizes = [], []
-                for t in b.column(1).to_pylist():
-                    before = shard.n
-                    shard.add(encoder(t) + end)
-                    starts.append(before)
-                    sizes.append(shard.n - before)
+                starts, sizes, copies = [], [], b.column(2).to_pylist()
+                for t, times in zip(b.column(1).to_pylist(), copies, strict=True):
+                    ids = encoder(t) + end
+                    for _ in range(times):
+                        before = shard.n
+                        shard.add(ids)
+                        starts.append(before)
+                        sizes.append(shard.n - before)
                 n_docs += len(starts)
-                docs_file.write_batch(pa.RecordBatch.from_arrays([b.column(0).cast(id_type), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=docs_schema))
+                named = b.column(0).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+                docs_file.write_batch(pa.RecordBatch.from_arrays([named.cast(id_type), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=docs_schema))
         if shard is not None:
             shard.close()
             docs_file.close()

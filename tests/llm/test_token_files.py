@@ -54,3 +54,9 @@ def test_random_access(spark, sf, tmp_path):
             b = f.get_batch(0)
             assert b.column("input_ids")[1].as_py() == stream[r.start + 128 : r.start + 256]
             assert sum(sum(x.as_py()) for i in range(f.num_record_batches) for x in f.get_batch(i).column("mask")) == r.n_tokens
+
+
+def test_folding_changes_nothing(spark, odd):
+    docs = odd.union(odd).union(odd.limit(3)).select("doc_id", "text").coalesce(1).sortWithinPartitions("text")
+    got = [tuple(r) for r in tf.write_and_read(docs, length=64, fold=True).collect()]
+    assert sorted(got, key=key) == sorted(brute(docs.collect()), key=key)
