@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, and where each lies in them."""
-    return token_files.write_and_read(docs)
+    return token_files.write_and_read(docs, fold=True)
 
 
 STAGES = [
