@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import torus
-from ..functions.expr import PI, Program, add, col, dot, erf, exp, mul, num, sub, vec, where
+from ..functions.expr import PI, Ex, Program, add, col, dot, erf, exp, mul, num, sub, vec, where
 from ..plans.session import materialize
 from . import neighbours
 
@@ -82,6 +82,7 @@ def terms(how: Evaluation, gradient: bool = False, laplacian: bool = False, colo
     if gradient:
         grad, hat = torus.gradient(q, t), mul(r, 1 / D)
         inner = sub(grad, mul(hat, LAM * g))
+        out["touch"] = where(col("outlier") | (D > 0), num(0), num(1))
         out |= {f"wa{c}": live * v for c, v in zip("xyz", inner, strict=True)} | {f"wr{c}": live * v for c, v in zip("xyz", hat, strict=True)}
         if laplacian:
             s = torus.side(col("minor_r"))
@@ -94,9 +95,6 @@ def terms(how: Evaluation, gradient: bool = False, laplacian: bool = False, colo
     return out
 
 
-SUMS = {"distance": ("w", "wg"), "gradient": ("w", "wg", *(f"w{k}{c}" for k in "ar" for c in "xyz"))}
-
-
 def results(how: Evaluation, gradient: bool = False, laplacian: bool = False, colour: bool = False) -> dict:
     """Per-query outputs from the sums s_*; lam is the query's."""
     w = col("s_w")
@@ -105,7 +103,8 @@ def results(how: Evaluation, gradient: bool = False, laplacian: bool = False, co
     if gradient:
         a = tuple(col(f"s_wa{c}") / w for c in "xyz")
         b = tuple(LAM * col(f"s_wr{c}") / w for c in "xyz")
-        g = add(a, mul(b, phi))
+        known = col("s_touch") < 1  # no point of the sum lies at the query
+        g = tuple(where(known, v, Ex("CAST(NULL AS DOUBLE)")) for v in add(a, mul(b, phi)))
         out |= dict(zip(("gx", "gy", "gz"), g, strict=True))
         if laplacian:
             out["laplacian"] = col("s_wl") / w + dot(a, b) + dot(g, b) + phi * (LAM * col("s_wm") / w + dot(b, b))
