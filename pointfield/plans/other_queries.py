@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import fields, marching, predictor
+from ..operators import fields, marching, meshes, neighbours, predictor, sampling, scans
 from ..operators.fields import Evaluation
 from ..sources import files
 from .catalog import register
@@ -78,3 +78,49 @@ def training_sql() -> str:
 
 
 register("e08_training_field", lambda s, d: rounded_frame(marching.training_field(frame(s, d, "queries_few"), fields.finite(tori(s, d)))), training_sql())
+
+# Clouds from rays, by their invariants.
+ON_CUBE = "max(abs(greatest(abs(x), abs(y), abs(z)) - 0.5e0)) < 1e-9 AS on_surface"
+UNIT = "max(abs(nx*nx + ny*ny + nz*nz - 1e0)) < 1e-9 AS unit_normals"
+OUTWARD = "avg(CASE WHEN x*nx + y*ny + z*nz > 0e0 THEN 1e0 ELSE 0e0 END) > 0.95e0 AS outward"  # on an edge the ray may meet a face from behind
+TRUE3 = "SELECT true AS on_surface, true AS unit_normals, true AS outward"
+scanned = lambda rows: rows.selectExpr(ON_CUBE, UNIT, OUTWARD)
+register("r02_random_line_sample", lambda s, d: scanned(scans.by_random_lines(frame(s, d, "mesh_cube"), 2000)), TRUE3)
+register("r06_even_scan", lambda s, d: scanned(scans.scan(frame(s, d, "mesh_cube"), 8, 0.1, 200)), TRUE3)
+register("r07_uneven_scan", lambda s, d: scanned(scans.scan(frame(s, d, "mesh_cube"), 8, 0.1, 200, uneven=True)), TRUE3)
+register(
+    "r05_farthest_point_cloud",
+    lambda s, d: sampling.farthest_points(sampling.on_surface(frame(s, d, "mesh_cube"), 800, 3), 200).agg(F.count("*").alias("n"), F.expr(ON_CUBE)),
+    "SELECT CAST(200 AS BIGINT) AS n, true AS on_surface",
+)
+register(
+    "r10_lifted_shape_sample",
+    lambda s, d: scans.lifted_samples(s, "box", "extruded", 0.25, 1000).selectExpr("count(*) > 100 AS enough", "max(abs(greatest(abs(x) - 0.6e0, abs(y) - 0.4e0, abs(z) - 0.25e0))) < 1e-3 AS on_surface"),
+    "SELECT true AS enough, true AS on_surface",
+)
+
+# Boxes that overlap (closed), inside and outside, groups of enough points, losses that pass over NaN.
+BOXES = "SELECT qid, x - 0.1e0 AS lx, x + 0.1e0 AS hx, y - 0.1e0 AS ly, y + 0.1e0 AS hy, z - 0.1e0 AS lz, z + 0.1e0 AS hz FROM "
+OVERLAP = "a.qid < b.qid AND a.lx <= b.hx AND b.lx <= a.hx AND a.ly <= b.hy AND b.ly <= a.hy AND a.lz <= b.hz AND b.lz <= a.hz"
+
+
+def overlapping(s, d):
+    """Boxes of side 0.2 overlap only if their centres share or border a cell of that side, so the join is on cells."""
+    q = frame(s, d, "queries")
+    other = q.selectExpr("qid AS pid", "x", "y", "z")
+    near = neighbours.within(q, other, 0.2 * 3**0.5 + 1e-9).where("qid < pid")
+    return near.where(" AND ".join(f"{c} - 0.1e0 <= p{c} + 0.1e0 AND p{c} - 0.1e0 <= {c} + 0.1e0" for c in "xyz")).selectExpr("qid AS a", "pid AS b")
+
+
+register("f06_box_overlap", overlapping, f"WITH b AS ({BOXES}{sql('queries')}) SELECT a.qid AS a, b.qid AS b FROM b a JOIN b ON {OVERLAP}")
+register("f09_groups_of_enough_points", lambda s, d: frame(s, d, "cloud_sphere").groupBy(F.expr("CAST(floor(z*1e1) AS BIGINT)").alias("slab")).agg(F.count("*").alias("n")).where("n >= 10"), f"SELECT CAST(floor(z*1e1) AS BIGINT) AS slab, count(*) AS n FROM {sql('cloud_sphere')} GROUP BY 1 HAVING count(*) >= 10")
+register(
+    "f10_nan_safe_mean",
+    lambda s, d: rounded_frame(frame(s, d, "queries").selectExpr("CASE WHEN qid % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE x END AS e").agg(F.avg(F.when(~F.isnan("e"), F.abs("e"))).alias("mean"))),
+    f"SELECT (round(avg(abs(x)), 6) + 0e0) AS mean FROM {sql('queries')} WHERE qid % 7 <> 0",
+)
+register(
+    "f12_inside_outside",
+    lambda s, d: meshes.distances(frame(s, d, "queries"), frame(s, d, "mesh_cube")).selectExpr("qid", f"winding > {2 * 3.141592653589793!r}e0 AS inside"),
+    f"SELECT qid, abs(x) < 0.5e0 AND abs(y) < 0.5e0 AND abs(z) < 0.5e0 AS inside FROM {sql('queries')}",
+)
