@@ -1,6 +1,5 @@
 """Each stage of the pipeline against brute force on its own input."""
 
-import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -84,7 +83,6 @@ def test_stages_on_odd_rows(spark, odd, none):
 
 
 def test_entry_has_it():
-    sys.path.insert(0, "/root/repo")
     import __spark_entry__ as e
 
     names = list(e.queries())
