@@ -313,6 +313,42 @@ class Program:
         return f"(SELECT {held}, {', '.join(f'{e} AS {n}' for n, e in self.outputs.items())} FROM {source})"
 
 
+#: How each form reads over numpy arrays, NULL being NaN there.
+_ARRAYS = {f"({{}} {o} {{}})": f"({{}} {o} {{}})" for o in ("+", "-", "*", "<", "<=", ">", ">=")} | {
+    "(-{})": "(-{})",
+    "({} / nullif({}, 0e0))": "({0} / np.where(np.equal({1}, 0), np.nan, {1}))",
+    "({} AND {})": "({} & {})",
+    "({} OR {})": "({} | {})",
+    "(NOT {})": "(~{})",
+    "sqrt(greatest({}, 0e0))": "np.sqrt(np.fmax({}, 0.0))",
+    "CASE WHEN {} THEN {} ELSE {} END": "np.where({}, {}, {})",
+    "CASE WHEN {0} >= 0e0 THEN 1e0 WHEN {0} < 0e0 THEN -1e0 END": "np.where({0} >= 0, 1.0, np.where({0} < 0, -1.0, np.nan))",
+    "CASE WHEN {0} > 0e0 THEN 1e0 WHEN {0} < 0e0 THEN -1e0 WHEN {0} = 0e0 THEN 0e0 END": "np.sign({0})",
+    "least({}, {})": "np.fmin({}, {})",
+    "greatest({}, {})": "np.fmax({}, {})",
+} | {f"{f}({{}})": f"np.{f}({{}})" for f in ("exp", "sin", "cos", "abs")}
+
+
+def over_arrays(e: Number) -> str:
+    """Python source of ``f(c)``: the formula over a dict of numpy arrays, one for each column, every node worked out once."""
+    done: dict[int, str] = {}
+    lines: list[str] = []
+
+    def visit(n: Ex) -> str:
+        if n.value is not None:
+            return repr(n.value)
+        if not n.kids:
+            return f"c[{n.form!r}]"
+        if id(n) not in done:
+            text = _ARRAYS[n.form].format(*map(visit, n.kids))
+            done[id(n)] = f"_t{len(done)}"
+            lines.append(f"    {done[id(n)]} = {text}")
+        return done[id(n)]
+
+    last = visit(plain(e))
+    return "\n".join(["import numpy as np", "def f(c):", *lines, f"    return {last}"])
+
+
 PI = math.pi
 
 # Vectors are tuples.

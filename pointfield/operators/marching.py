@@ -6,44 +6,180 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shapes, torus
-from ..functions.expr import PI, Program, add, col, cos, exp, mul, sin, vec
+from ..functions.expr import PI, Program, add, col, cos, exp, mul, over_arrays, sin, vec
 from ..plans.session import materialize
 from . import fields, neighbours
 from .fields import Evaluation
 
-STEPS, TOLERANCE = 64, 1e-4
+TOLERANCE = 1e-4
+#: A round of ``field_crossings`` knows so many times the neighbours that one evaluation takes, of at most so many rays at a time.
+NEARBY, RAYS = 8, 2_000
+#: Of a ray: still under way, marched to its end, stopped where the field is NULL.
+LIVE, ENDED, UNDEFINED = 0, 1, 2
+RAY = ("ox", "oy", "oz", "dx", "dy", "dz")
 
 
-def trace_shape(rays: DataFrame, name: str, lift: str, amount: float, t_max: float = 6.0, steps: int = STEPS, **params) -> DataFrame:
-    """(rid, t, hit) of rays against a lifted shape: all steps are one projection after another, without Python."""
-    o, d = (tuple(col(c) for c in names) for names in (("ox", "oy", "oz"), ("dx", "dy", "dz")))
-    build = {"revolved": shapes.revolved, "extruded": shapes.extruded}[lift]
-    at = add(o, mul(d, col("t")))
-    out = rays.withColumn("t", F.lit(0.0)).withColumn("phi", F.lit(1.0))
-    step = Program(phi=build(name, at, amount, **params))
-    for k in range(steps):
-        out = step.on(out.drop("phi")).withColumn("t", F.expr(f"CASE WHEN abs(phi) < {TOLERANCE!r} OR t > {t_max!r} THEN t ELSE t + abs(phi) END"))
-        if k % 8 == 7:
-            out = materialize(out, "trace")  # or the optimizer nests all steps into one expression
-    return out.selectExpr("rid", "t", f"abs(phi) < {TOLERANCE!r} AND t <= {t_max!r} AS hit")
+def _made(source: str):
+    """The function that ``over_arrays`` wrote."""
+    space: dict = {}
+    exec(source, space)  # noqa: S102  (our own formula)
+    return space["f"]
 
 
-def trace_field(rays: DataFrame, cloud: DataFrame, how: Evaluation, t_max: float = 6.0, steps: int = 24, tolerance: float = 1e-3) -> DataFrame:
-    """(rid, t, hit) of rays against a torus field: each round evaluates the field once for the rays still under way."""
-    live = materialize(rays.withColumn("t", F.lit(0.0)), "trace")
+def _march(field, o, d, t, inside, t_max: float, tolerance: float):
+    """March rays by |phi|, at least ``tolerance``, until t_max. Where |phi| first falls below the tolerance is a crossing; the ray goes on
+    and can cross again once it was beyond the tolerance. ``field(rays, points)`` gives phi and whether it is known; a ray stops where it
+    is not. Changes t and inside; gives crossings per ray and states."""
+    import numpy as np
+
+    found: list = [[] for _ in t]
+    state = np.full(len(t), LIVE, np.int32)
+    live = np.arange(len(t))
+    while True:
+        over = t[live] >= t_max
+        state[live[over]] = ENDED
+        live = live[~over]
+        if not len(live):
+            return found, state
+        phi, known = field(live, o[live] + t[live, None] * d[live])
+        live, phi = live[known], np.abs(phi[known])
+        lost = np.isnan(phi)
+        state[live[lost]] = UNDEFINED
+        live, phi = live[~lost], phi[~lost]
+        near = phi < tolerance
+        for i in live[near & ~inside[live]]:
+            found[i].append(float(t[i]))
+        inside[live] = near
+        t[live] += np.maximum(phi, tolerance)
+
+
+def _columns(batch, names):
+    import numpy as np
+
+    return np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in names], 1)
+
+
+def _state(rays: DataFrame) -> DataFrame:
+    return rays.select("rid", *[F.col(c).cast("double").alias(c) for c in RAY], F.lit(0.0).alias("t"), F.lit(False).alias("inside"), F.array().cast("array<double>").alias("found"), F.lit(LIVE).alias("state"))
+
+
+def _first(ended: DataFrame) -> DataFrame:
+    """(rid, t, hit): a ray's first crossing; without one where it ended, and hit is NULL if that was for want of a field."""
+    hit = F.when(F.size("found") > 0, True).when(F.col("state") == ENDED, False)
+    return ended.select("rid", F.coalesce(F.get("found", F.lit(0)), "t").alias("t"), hit.alias("hit"))
+
+
+def shape_crossings(rays: DataFrame, name: str, lift: str, amount: float, t_max: float = 6.0, tolerance: float = TOLERANCE, **params) -> DataFrame:
+    """(rid, t, found, state) of rays against a lifted shape: all crossings in order, marched to t_max however many steps that takes."""
+    source = over_arrays({"revolved": shapes.revolved, "extruded": shapes.extruded}[lift](name, vec(""), amount, **params))
+    rows = _state(rays)
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        phi = _made(source)
+        for b in batches:
+            at, t = _columns(b, RAY), np.zeros(b.num_rows)
+            known = lambda live, p: (np.broadcast_to(phi(dict(zip("xyz", p.T, strict=True))), len(p)), np.full(len(p), True))
+            found, state = _march(known, at[:, :3], at[:, 3:], t, np.zeros(len(t), bool), t_max, tolerance)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t), pa.array(found, pa.list_(pa.float64())), pa.array(state)], names=["rid", "t", "found", "state"])
+
+    return rows.mapInArrow(work, f"rid {rows.schema['rid'].dataType.simpleString()}, t double, found array<double>, state int")
+
+
+def trace_shape(rays: DataFrame, name: str, lift: str, amount: float, t_max: float = 6.0, tolerance: float = TOLERANCE, **params) -> DataFrame:
+    """(rid, t, hit) of rays against a lifted shape."""
+    return _first(shape_crossings(rays, name, lift, amount, t_max, tolerance, **params))
+
+
+def _near_step(live: DataFrame, cloud: neighbours.Tree, how: Evaluation, t_max: float, tolerance: float) -> DataFrame:
+    """March each ray as far as the nearest NEARBY * k points of its place tell the field: a place is known where its k-th nearest of
+    them is nearer than any other point can be. That holds where the round begins, so each round makes a step at least."""
+    held = ("px", "py", "pz", *torus.columns(), "outlier", *(["area"] if how.use_areas else []))
+    here = live.select(F.col("rid").alias("qid"), *[F.expr(f"o{c} + t * d{c}").alias(c) for c in "xyz"])
+    near = neighbours.knn(here, cloud, min(cloud.n, NEARBY * how.k))
+    near = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pid", *[F.col(c).cast("double").alias(c) for c in held]))).alias("near"))
+    rows = live.join(near.withColumnRenamed("qid", "rid"), "rid", "left")
+    source, whole, n = over_arrays(torus.distance(vec(""), torus.columns())), cloud.n <= NEARBY * how.k, min(cloud.n, NEARBY * how.k)
+    k, isovalue, sharp, areas = min(how.k, cloud.n), how.isovalue, fields.SHARP * how.lambda_scale, how.use_areas
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        g = _made(source)
+        for large in batches:
+            for b in (large.slice(i, RAYS) for i in range(0, large.num_rows, RAYS)):
+                at, t = _columns(b, RAY), _columns(b, ["t"])[:, 0]
+                o, d = at[:, :3], at[:, 3:]
+                inside = b.column(8).to_numpy(zero_copy_only=False).astype(bool)
+                column = b.column(11)
+                has = column.is_valid().to_numpy(zero_copy_only=False)
+                parts = column.flatten()
+                c = {x: np.full((len(t), n), np.nan) for x in held}
+                for x in held:
+                    c[x][has] = parts.field(x).to_numpy(zero_copy_only=False).reshape(-1, n)
+                cloud_at, start = np.stack([c.pop(x) for x in ("px", "py", "pz")], 2), o + t[:, None] * d
+                began = t.copy()
+
+                def spread(live, p):
+                    r = p[:, None] - cloud_at[live]
+                    return np.sqrt(r[..., 0] * r[..., 0] + r[..., 1] * r[..., 1] + r[..., 2] * r[..., 2])
+
+                reach = spread(np.arange(len(t)), start).max(1)
+
+                def phi(live, p):
+                    dist = spread(live, p)
+                    order = np.argsort(dist, axis=1, kind="stable")[:, :k]  # ties by pid, the order of the candidates
+                    dist = np.take_along_axis(dist, order, 1)
+                    moved = np.sqrt(((p - start[live]) ** 2).sum(1))
+                    known = whole | (t[live] == began[live]) | ~has[live] | (dist[:, -1] + moved < reach[live] * (1 - 1e-9))
+                    here = {x: np.take_along_axis(v[live], order, 1) for x, v in c.items()} | dict(zip("xyz", p.T[:, :, None], strict=True))
+                    with np.errstate(all="ignore"):
+                        shift = dist[:, -1:] * 0.5
+                        w = np.exp(-(sharp / np.where(shift == 0, np.nan, shift)) * (dist - shift)) * (here["area"] if areas else 1.0)
+                        w = np.where(here["outlier"] == 1, 0.0, w)
+                        return (w * g(here)).sum(1) / w.sum(1) - isovalue, known
+
+                crossed, state = _march(phi, o, d, t, inside, t_max, tolerance)
+                found = [a + x for a, x in zip(b.column(9).to_pylist(), crossed, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(t), pa.array(inside), pa.array(found, pa.list_(pa.float64())), pa.array(state)], names=b.schema.names[:11])
+
+    return rows.mapInArrow(work, live.schema)
+
+
+def _one_step(live: DataFrame, cloud: DataFrame, how: Evaluation, t_max: float, tolerance: float) -> DataFrame:
+    """One step of each ray under any evaluation."""
+    here = live.select(F.col("rid").alias("qid"), *[F.expr(f"o{c} + t * d{c}").alias(c) for c in "xyz"])
+    phi = fields.evaluate(here, cloud, how).select(F.col("qid").alias("rid"), F.abs("distance").alias("phi"))
+    now = live.join(phi, "rid", "left").withColumn("phi", F.expr("CASE WHEN NOT isnan(phi) THEN phi END"))
+    near, step = F.coalesce(F.col("phi") < tolerance, F.lit(False)), F.col("t") + F.greatest("phi", F.lit(tolerance))
+    found = F.when(near & ~F.col("inside"), F.concat("found", F.array("t"))).otherwise(F.col("found"))
+    state = F.when(F.col("phi").isNull(), UNDEFINED).when(step >= t_max, ENDED).otherwise(LIVE)
+    return now.select("rid", *RAY, F.when(F.col("phi").isNull(), F.col("t")).otherwise(step).alias("t"), near.alias("inside"), found.alias("found"), state.alias("state"))
+
+
+def field_crossings(rays: DataFrame, cloud: DataFrame, how: Evaluation, t_max: float = 6.0, tolerance: float = TOLERANCE) -> DataFrame:
+    """(rid, t, found, state) of rays against a torus field: all crossings in order. Rounds go on until no ray is under way; each moves on
+    all that are, by many steps at a time where the field is one of nearest points."""
+    live = materialize(_state(rays), "trace")
+    cloud = materialize(fields.finite(cloud), "tori")
+    step = _one_step
     if how.k > 0 >= how.radius:
-        cloud = neighbours.tree(materialize(fields.finite(cloud), "tori"))
-    done = None
-    for _ in range(steps):
-        here = live.select(F.col("rid").alias("qid"), *[F.expr(f"o{c} + t * d{c}").alias(c) for c in "xyz"])
-        phi = fields.evaluate(here, cloud, how).select(F.col("qid").alias("rid"), F.col("distance").alias("phi"))
-        now = materialize(live.join(phi, "rid"), "trace")
-        ended = now.where((F.abs("phi") < tolerance) | (F.col("t") > t_max)).select("rid", "t", (F.abs("phi") < tolerance).alias("hit"))
-        done = ended if done is None else done.union(ended)
-        live = now.where((F.abs("phi") >= tolerance) & (F.col("t") <= t_max)).withColumn("t", F.col("t") + F.abs("phi")).drop("phi")
-        if live.isEmpty():
-            break
-    return done.union(live.select("rid", "t", F.lit(False).alias("hit")))
+        cloud, step = neighbours.tree(cloud), _near_step
+        if not cloud.n:
+            return live.select("rid", "t", "found", F.lit(UNDEFINED).alias("state"))
+    done = live.limit(0)
+    while not live.isEmpty():
+        now = materialize(step(live, cloud, how, t_max, tolerance), "trace")
+        done, live = done.union(now.where(F.col("state") != LIVE)), now.where(F.col("state") == LIVE)
+    return done.select("rid", "t", "found", "state")
+
+
+def trace_field(rays: DataFrame, cloud: DataFrame, how: Evaluation, t_max: float = 6.0, tolerance: float = TOLERANCE) -> DataFrame:
+    """(rid, t, hit) of rays against a torus field."""
+    return _first(field_crossings(rays, cloud, how, t_max, tolerance))
 
 
 def torus_vertices(tori: DataFrame) -> DataFrame:
