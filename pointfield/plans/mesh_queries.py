@@ -135,7 +135,7 @@ register(
 register("r08_farthest_points", lambda s, d: sampling.farthest_points(frame(s, d, "cloud_sphere").select("pid", *XYZ), 64).select("rank", "pid"))
 register(
     "j03_knn_and_farthest_subsample",
-    lambda s, d: sampling.farthest_points(fields.neighbours.self_knn(sphere_points(s, d).where("pid < 50"), 16).select("i", "pid").join(sphere_points(s, d).select("pid", *XYZ), "pid"), 4, "i").select("i", "pid", "rank"),
+    lambda s, d: sampling.farthest_points(fields.neighbours.self_knn(sphere_points(s, d), 16).select("i", "pid").join(sphere_points(s, d).select("pid", *XYZ), "pid"), 4, "i").select("i", "pid", "rank"),
 )
 register(
     "s19_train_test_split",

@@ -56,7 +56,7 @@ register(
 )
 register("n07_least_squares_patches", lambda s, d: rounded_frame(predictor.coefficients(sphere(s, d), predictor.least_squares, 16)))
 register("c09_point_areas", lambda s, d: rounded_frame(predictor.areas(sphere(s, d), 20)))
-register("t14_torus_mesh", lambda s, d: rounded_frame(marching.torus_vertices(tori(s, d).where("pid < 10"))))
+register("t14_torus_mesh", lambda s, d: rounded_frame(marching.torus_vertices(tori(s, d))))
 register("a22_trace_extruded_box", lambda s, d: marching.trace_shape(frame(s, d, "rays"), "box", "extruded", 0.25).select("rid", "hit", F.round("t", 4).alias("t")))
 register(
     "k06_trace_sphere_field",
