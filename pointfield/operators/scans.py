@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import Program, add, basis, col, mul, num, vec
+from ..plans.session import materialize
 from . import marching, meshes, sampling
 from .fields import Evaluation
 
@@ -41,8 +43,8 @@ def scan(tri: DataFrame, cameras: int = 12, spacing: float = 0.1, points: int |
     return sampling.farthest_points(hits, points).drop("rank")
 
 
-def random_lines(spark, n: int, radius: float, seed: int = 0) -> DataFrame:
-    """(rid, origin, direction) of lines through a ball: between two uniform points of its sphere."""
+def random_lines(spark, n: int, radius: float, seed: int = 0, first: int = 0) -> DataFrame:
+    """(rid, origin, direction) of lines through a ball, from number ``first`` on: between two uniform points of its sphere."""
 
     def on_sphere(draw: int):
         z = 2 * sampling.uniform(seed, draw, "id") - 1
@@ -50,27 +52,50 @@ def random_lines(spark, n: int, radius: float, seed: int = 0) -> DataFrame:
         r = F.sqrt(F.greatest(F.lit(0.0), 1 - z * z))
         return r * F.cos(a) * radius, r * F.sin(a) * radius, z * radius
 
-    rows = spark.range(n).select(F.col("id").alias("rid"), *[v.alias(c) for v, c in zip((*on_sphere(0), *on_sphere(2)), ("ox", "oy", "oz", "tx", "ty", "tz"), strict=True)])
+    rows = spark.range(first, first + n).select(F.col("id").alias("rid"), *[v.alias(c) for v, c in zip((*on_sphere(0), *on_sphere(2)), ("ox", "oy", "oz", "tx", "ty", "tz"), strict=True)])
     rows = rows.withColumn("l", F.expr("sqrt((tx-ox)*(tx-ox) + (ty-oy)*(ty-oy) + (tz-oz)*(tz-oz))"))
     return rows.select("rid", "ox", "oy", "oz", *[F.expr(f"(t{c} - o{c}) / nullif(l, 0e0)").alias(f"d{c}") for c in "xyz"])
 
 
+#: Lines whose points are numbered together.
+DEALT = 4096
+
+
+def _until(spark, n: int, radius: float, seed: int, cast: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Exactly the first n of the rows (rid, k, ..) that ``cast`` gives for seeded random lines, by line and k; rid and k become pid, from 0.
+    Rounds of lines go on until there are enough. An error if no line of 10 n, 1,000 at least, meets anything."""
+    got, cast_lines, found = None, 0, 0
+    while found < n or got is None:
+        if not found and cast_lines >= max(10 * n, 1000):
+            raise ValueError(f"none of {cast_lines} lines meets the surface")
+        more = n if got is None else math.ceil(1.1 * (n - found) * cast_lines / found) + 16 if found else max(10 * n, 1000) - cast_lines
+        now = materialize(cast(random_lines(spark, more, radius, seed, cast_lines)), "lines")
+        got, cast_lines, found = now if got is None else got.union(now), cast_lines + more, found + now.count()
+        if n <= 0:
+            break
+    got = got.withColumn("_deal", F.floor(F.col("rid") / DEALT))
+    before = got.groupBy("_deal").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    turn = F.row_number().over(Window.partitionBy("_deal").orderBy("rid", "k"))
+    numbered = got.withColumn("_turn", turn).join(F.broadcast(before), "_deal").withColumn("pid", F.col("_before") + F.col("_turn") - 1)
+    return numbered.where(F.col("pid") < n).select("pid", *[c for c in now.columns if c not in ("rid", "k")])
+
+
+def _crossed(rays: DataFrame, found: DataFrame) -> DataFrame:
+    """(rid, k, x, y, z) of all crossings."""
+    at = found.select("rid", F.posexplode("found").alias("k", "s")).join(rays, "rid")
+    return at.select("rid", "k", *[F.expr(f"o{c} + s * d{c}").alias(c) for c in "xyz"])
+
+
 def by_random_lines(tri: DataFrame, n: int, radius: float = 1.0, seed: int = 0) -> DataFrame:
-    """First hits of ``n`` random lines, at most n points."""
-    return meshes.hit_points(random_lines(tri.sparkSession, n, radius, seed), tri).withColumnRenamed("rid", "pid")
+    """(pid, x, y, z, nx, ny, nz): n first hits of random lines, as the reference has them."""
+    return _until(tri.sparkSession, n, radius, seed, lambda rays: meshes.hit_points(rays, tri).withColumn("k", F.lit(0)))
 
 
 def lifted_samples(spark, name: str, lift: str, amount: float, n: int, radius: float = 1.5, seed: int = 0, **params) -> DataFrame:
-    """(pid, x, y, z): first hits of ``n`` random lines on a lifted shape."""
-    rays = random_lines(spark, n, radius, seed)
-    hits = marching.trace_shape(rays, name, lift, amount, 2 * radius, **params).where("hit").join(rays, "rid")
-    return hits.select(F.col("rid").alias("pid"), *[F.expr(f"o{c} + t * d{c}").alias(c) for c in "xyz"])
+    """(pid, x, y, z): n crossings of random lines with a lifted shape, all of a line's."""
+    return _until(spark, n, radius, seed, lambda rays: _crossed(rays, marching.shape_crossings(rays, name, lift, amount, 2 * radius, **params)))
 
 
 def isosurface_samples(cloud: DataFrame, n: int, how: Evaluation, radius: float = 1.5, seed: int = 0) -> DataFrame:
-    """(pid, x, y, z): first hits of ``n`` random lines on the zero set of a torus field."""
-    rays = random_lines(cloud.sparkSession, n, radius, seed)
-    hits = marching.trace_field(rays, cloud, how, 2 * radius).where("hit").join(rays, "rid")
-    return hits.select(F.col("rid").alias("pid"), *[F.expr(f"o{c} + t * d{c}").alias(c) for c in "xyz"])
-
-
+    """(pid, x, y, z): n crossings of random lines with the zero set of a torus field, all of a line's."""
+    return _until(cloud.sparkSession, n, radius, seed, lambda rays: _crossed(rays, marching.field_crossings(rays, cloud, how, 2 * radius)))
