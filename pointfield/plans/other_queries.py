@@ -98,6 +98,11 @@ register(
     lambda s, d: scans.lifted_samples(s, "box", "extruded", 0.25, 1000).selectExpr("count(*) > 100 AS enough", "max(abs(greatest(abs(x) - 0.6e0, abs(y) - 0.4e0, abs(z) - 0.25e0))) < 1e-3 AS on_surface"),
     "SELECT true AS enough, true AS on_surface",
 )
+register(
+    "r12_isosurface_sample",
+    lambda s, d: scans.isosurface_samples(tori(s, d, "coeffs_sphere"), 100, Evaluation(k=8)).selectExpr("count(*) AS n", "max(abs(sqrt(x*x + y*y + z*z) - 1e0)) < 1e-3 AS on_surface"),
+    "SELECT CAST(100 AS BIGINT) AS n, true AS on_surface",
+)
 
 # Boxes that overlap (closed), inside and outside, groups of enough points, losses that pass over NaN.
 BOXES = "SELECT qid, x - 0.1e0 AS lx, x + 0.1e0 AS hx, y - 0.1e0 AS ly, y + 0.1e0 AS hy, z - 0.1e0 AS lz, z + 0.1e0 AS hz FROM "
