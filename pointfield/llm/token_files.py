@@ -1,10 +1,10 @@
 """Token-ID output in the Arrow file format: fixed-size-list batches of equal-length sequences and their masks.
 
-Documents are dealt by ranges of their id and sorted, so that the shards, taken in order, hold the stream in
-ascending id order. Each task writes its shard as it reads: the stream of ids is cut into sequences of equal
-length, the last one padded and masked, and a second file lists where the shard's documents lie. Any sequence
-is reached by its number without copying. A task that is run again writes files of another name; only those that
-the manifest names count.
+Documents are encoded where they are read; what is shuffled are their ids, of two bytes each under a vocabulary of up to 65,536 pieces. They
+are dealt by ranges of their document id and sorted, so that the shards, taken in order, hold the stream in ascending order. Each
+task writes its shard as it reads: the stream of ids is cut into sequences of equal length, the last one padded and masked, and a
+second file lists where the shard's documents lie. Any sequence is reached by its number without copying. A task that is run again
+writes files of another name; only those that the manifest names count.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from .common import documents, materialize, per_worker, scratch_dir, short_batch
 
 SEQUENCE, ROWS = 1024, 256
 END_ID = 2
-#: Pre-tokens that a worker remembers at most.
-CACHE = 1_000_000
+#: Pre-tokens that a worker remembers at most, and the characters of the longest of them.
+CACHE, LONG = 1_000_000, 48
 
 # The pre-token pattern of the byte-level vocabulary, in the form that agrees with it on the characters of _PLAIN.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_NOT_PLAIN = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ]")
+_NOT_PLAIN = "[^\t\n\r -~¡-±´-¸º»¿-ɏ]"
 
 
 def default_vocabulary() -> str:
@@ -40,28 +41,32 @@ def default_vocabulary() -> str:
 
 
 class Encoder(dict):
-    """Text to the bytes of its ids. The library encodes each distinct pre-token once; texts with characters on which
-    the pattern might differ are encoded by the library as a whole."""
+    """Text to the bytes of its ids, as the library's encode without added special tokens gives them. The library encodes each
+    distinct short pre-token once; texts with characters on which the pattern might differ, or with a string that the vocabulary
+    treats as one token whatever stands around it, are encoded by the library as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        whole = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_NOT_PLAIN, *whole]))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self._ids(piece)
+        out = self._ids(piece)
+        if len(piece) <= LONG:
+            self[piece] = out
         return out
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _NOT_PLAIN.search(text):
+        if self.whole.search(text):
             return self._ids(text)
         if len(self) > CACHE:
             self.clear()
@@ -109,56 +114,74 @@ class _Shard:
         self.file.close()
 
 
-def _fold(batches):
-    """Equal rows that follow each other become one with their number."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids, texts, n = b.column(0), b.column(1), b.num_rows
-        same = pc.and_(pc.equal(texts.slice(1), texts.slice(0, n - 1)), pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, n - 1)), False))
-        starts = np.flatnonzero(np.concatenate([[True], ~same.to_numpy(zero_copy_only=False).astype(bool)]))
-        at = pa.array(starts)
-        yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(np.diff(np.append(starts, n)))], names=["_id", "_text", "_copies"])
+def _runs(ids: pa.Array, texts: pa.Array, fold: bool) -> np.ndarray:
+    """Where runs of equal rows begin; without ``fold`` every row is one."""
+    n = len(ids)
+    if not fold or not n:
+        return np.arange(n)
+    same = pc.and_(pc.equal(texts.slice(1), texts.slice(0, n - 1)), pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, n - 1)), False))
+    return np.flatnonzero(np.concatenate([[True], ~same.to_numpy(zero_copy_only=False).astype(bool)]))
+
+
+def _edges(rows: DataFrame, n: int) -> list[tuple]:
+    """The greatest (id is there, id, tie) of each of n ranges with about as many rows; one row per range comes to the driver."""
+    dealt = rows.select("_id", "_tie").repartitionByRange(n, "_id", "_tie")
+    last = dealt.groupBy(F.spark_partition_id()).agg(F.max(F.struct("_id", "_tie")).alias("e")).select("e.*").collect()
+    return sorted((r[0] is not None, r[0], r[1]) for r in last)[:-1]
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, length: int = SEQUENCE, shards: int | None = None, fold: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``docs`` below ``folder`` and return the manifest: (shard, path, docs_path, n_docs, n_tokens, start).
 
     ``folder`` is a URI that executors reach (file of a shared mount, or any store that Arrow's file systems know).
-    Null texts count as empty and give the end id alone. Null ids come first; rows with one id follow each other by
-    text. An empty input gives an empty manifest. Other columns are ignored. ``fold`` sends repeated rows that stand together, as
-    a mix makes them, through the shuffle once; the files are the same.
+    Null texts count as empty and give the end id alone. Null ids come first; rows with one id follow each other by a hash of
+    their texts, so that even one id on very many rows is dealt to several shards. An empty input gives an empty manifest. Other
+    columns are ignored, whatever their names. ``fold`` sends repeated rows that stand together, as a mix makes them, through the
+    encoder and the shuffle once; the files are the same.
     """
     spark = docs.sparkSession
     short_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    id_kind = rows.schema["_id"].dataType.simpleString()
-    rows = rows.mapInArrow(_fold, f"_id {id_kind}, _text string, _copies bigint") if fold else rows.withColumn("_copies", F.lit(1).cast("long"))
-    rows = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
+    rows = rows.withColumn("_tie", F.xxhash64("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    edges = _edges(rows, n)
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    id_type = pa.int64() if rows.schema["_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
+    id_type = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
+
+    def encode(batches):
+        encoder = per_worker(("encoder", vocabulary), lambda: Encoder(vocabulary))
+        end = np.array([end_id], encoder.dtype).tobytes()
+        for whole in batches:
+            for b in text_slices(whole, "_text"):
+                at = _runs(b.column(0), b.column(1), fold)
+                copies = np.diff(np.append(at, b.num_rows))
+                b = b.take(pa.array(at))
+                shard = [bisect_left(edges, (i is not None, i, t)) for i, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                ids = [encoder(t) + end for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(copies, pa.int64())], names=["_shard", "_id", "_tie", "_ids", "_copies"])
+
+    dealt = rows.select("_id", "_text", "_tie").mapInArrow(tidied(encode), f"_shard int, _id {kind}, _tie bigint, _ids binary, _copies bigint")
+    dealt = dealt.repartitionById(n, F.col("_shard")).sortWithinPartitions("_id", "_tie", "_ids").select("_id", "_ids", "_copies")
 
     def work(batches):
         shard = docs_file = None
         n_docs = 0
         ctx = TaskContext.get()
         name = f"{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
-        encoder = end = outs = None
+        outs = None
         for whole in batches:
-            for b in text_slices(whole, "_text"):
+            for b in text_slices(whole, "_ids"):
                 if shard is None:
                     where, base = pafs.FileSystem.from_uri(folder)
-                    encoder = per_worker(("encoder", vocabulary), lambda: Encoder(vocabulary))
-                    end = np.array([end_id], encoder.dtype).tobytes()
+                    dtype = per_worker(("encoder", vocabulary), lambda: Encoder(vocabulary)).dtype
                     outs = [where.open_output_stream(f"{base}/{kind}-{name}.arrow") for kind in ("tokens", "docs")]
-                    shard = _Shard(outs[0], encoder.dtype, length)
+                    shard = _Shard(outs[0], dtype, length)
                     docs_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                     docs_file = pa.ipc.new_file(outs[1], docs_schema)
                 starts, sizes, copies = [], [], b.column(2).to_pylist()
-                for t, times in zip(b.column(1).to_pylist(), copies, strict=True):
-                    ids = encoder(t) + end
+                for ids, times in zip(b.column(1).to_pylist(), copies, strict=True):
                     for _ in range(times):
                         before = shard.n
                         shard.add(ids)
@@ -174,7 +197,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, l
                 o.close()
             yield pa.RecordBatch.from_pylist([{"shard": ctx.partitionId(), "path": f"tokens-{name}.arrow", "docs_path": f"docs-{name}.arrow", "n_docs": n_docs, "n_tokens": shard.n}])
 
-    manifest = materialize(rows.mapInArrow(tidied(work), "shard bigint, path string, docs_path string, n_docs bigint, n_tokens bigint"), "token-manifest")
+    manifest = materialize(dealt.mapInArrow(tidied(work), "shard bigint, path string, docs_path string, n_docs bigint, n_tokens bigint"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

@@ -8,7 +8,6 @@ from tokenizers import Tokenizer
 from pointfield.llm import token_files as tf
 
 LIB = Tokenizer.from_file(tf.default_vocabulary())
-LIB.encode_special_tokens = True
 ENC = tf.Encoder(tf.default_vocabulary())
 
 
@@ -22,6 +21,12 @@ def test_encoder_equals_the_library(text):
     assert np.frombuffer(ENC(text), ENC.dtype).tolist() == ids(text)
 
 
+def test_special_strings_as_the_library_takes_them():
+    assert ids("x <|endoftext|> y") == [87, 220, 50256, 331]
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "<|startoftext|>"):
+        assert np.frombuffer(ENC(text), ENC.dtype).tolist() == ids(text)
+
+
 def brute(docs):
     at, out = 0, []
     for d in sorted(docs, key=lambda d: (d.doc_id is not None, d.doc_id or 0, d.text or "")):
@@ -56,6 +61,16 @@ def test_random_access(spark, sf, tmp_path):
             assert sum(sum(x.as_py()) for i in range(f.num_record_batches) for x in f.get_batch(i).column("mask")) == r.n_tokens
 
 
+def test_one_id_on_all_rows(spark):
+    rows = [(None, f"text {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    manifest = tf.write(docs, f"{tf.scratch_dir(spark)}/tokens-one-id", tf.default_vocabulary(), shards=4)
+    assert sorted(r.n_docs for r in manifest.collect()) == [10] * 4
+    got = tf.read(manifest, f"{tf.scratch_dir(spark)}/tokens-one-id").collect()
+    crc = lambda t: zlib.crc32(np.array([*ids(t), tf.END_ID], "<u4").tobytes())
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc(t) for _, t in rows) and {r.doc_id for r in got} == {None}
+
+
 def test_folding_changes_nothing(spark, odd):
     docs = odd.union(odd).union(odd.limit(3)).select("doc_id", "text").coalesce(1).sortWithinPartitions("text")
     got = [tuple(r) for r in tf.write_and_read(docs, length=64, fold=True).collect()]
