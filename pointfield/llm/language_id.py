@@ -5,8 +5,9 @@ words with their ends marked. A known word is scored by its own frequencies. An
 longest n-grams of which any is known, then to shorter ones; one without any known n-gram says nothing. Every
 word gives a distribution over the languages; a text's is their mean, and its language the most probable.
 
-The model is fitted on a bounded sample of labelled rows (MAX_ROWS) and is itself bounded (MAX_WORDS, MAX_GRAMS over all
-languages), so it can be sent to every worker. Prediction is a map over all rows without a shuffle.
+The model is fitted on a bounded sample of labelled rows, MAX_ROWS over all languages and as many of each, and keeps every word and
+n-gram of them, as sorted 64-bit hashes beside one array of frequencies (two of a million keys agree with odds of one in 10^7).
+Prediction is a map over all rows without a shuffle; a worker looks the new words of a slice of texts up together.
 """
 
 from __future__ import annotations
@@ -17,94 +18,161 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import regex
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, per_worker, short_batches, text_slices, tidied
 
-MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 20_000, 120_000, 80_000, 4
+MAX_ROWS, MAX_N = 20_000, 4
 UNKNOWN = "und"
-#: Words whose distribution a worker remembers at most.
-CACHE = 150_000
+#: Words and characters of words that a worker remembers at most, beyond one slice of texts.
+CACHE, CACHE_CHARACTERS = 300_000, 8_000_000
 SMOOTH = 0.5
+#: The table of languages (a name and two numbers a row) is broadcast up to so many rows; beyond, the optimizer chooses.
+BROADCAST_LANGUAGES = 10_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+# A word is a run of letters and of the marks that combine with them. On the characters up to U+024F other than the numbers among
+# them the first pattern says the same and is faster.
+_LATIN = re.compile(r"[^\W\d_]+")
+_NOT_LATIN = re.compile("[^\x00-±´-¸º»¿-ɏ]")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+_U = np.uint64
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return (_LETTERS if _NOT_LATIN.search(low) else _LATIN).findall(low)
+
+
+def _word_keys(some: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in some], np.uint64)
+
+
+def _gram_keys(some: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of the word) of every n-gram of the words with their ends marked."""
+    sizes = np.array([len(w) + 2 for w in some], np.int64)
+    points = np.frombuffer("".join(f"<{w}>" for w in some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(points) < n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = np.zeros(len(points) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            h = (h ^ (points[j : j + len(h)] + _U(1))) * _U(0x9E3779B97F4A7C15)
+            h ^= h >> _U(29)
+        h = h * _U(0xBF58476D1CE4E5B9)
+        h ^= h >> _U(32)
+    word = np.repeat(np.arange(len(some)), sizes)
+    left = np.cumsum(sizes)[word] - np.arange(len(points))  # characters from here to the word's end
+    at = np.flatnonzero(left[: len(h)] >= n)
+    return h[at], word[at]
+
+
+class _Table:
+    """Sorted keys and their log frequencies by language."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+
+    @classmethod
+    def counted(cls, keys: np.ndarray, language: np.ndarray, n: np.ndarray, languages: int) -> _Table:
+        known, at = np.unique(keys, return_inverse=True)
+        table = np.full((len(known), languages), SMOOTH)
+        np.add.at(table, (at, language), n)
+        logs = np.log(table) - np.log(table.sum(axis=0, keepdims=True)) if len(table) else table
+        return cls(known, logs.astype(np.float32))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the keys are known, their places)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return known, at[known]
 
 
-def grams(word: str, n: int) -> list[str]:
-    w = f"<{word}>"
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
+class _Numbers(dict):
+    """Words by number; new ones are listed until they are scored."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.characters = 0
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.new.append(word)
+        self.characters += len(word)
+        return at
 
 
 class Model:
-    def __init__(self, languages: list[str], word_counts: dict[str, dict[str, int]], gram_counts: dict[int, dict[str, dict[str, int]]]):
-        """word_counts: by word, then language; gram_counts: by length, gram, language."""
-        self.languages = languages
-        self.words = self._log(word_counts)
-        self.grams = {n: self._log(x) for n, x in gram_counts.items()}
-        self.remember()
-
-    def remember(self) -> Model:
-        self.seen: dict[str, int] = {}
-        self.rows = np.empty((0, len(self.languages)), np.float32)
-        return self
+    def __init__(self, languages: list[str], tables: dict[int, _Table]):
+        """``tables``: of words at 0, of n-grams at their length."""
+        self.languages, self.tables = languages, tables
+        self.forget()
+
+    @classmethod
+    def counted(cls, languages: list[str], size: np.ndarray, language: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Model:
+        """From counts by length (0 for words), number of the language and key."""
+        return cls(languages, {k: _Table.counted(keys[m], language[m], n[m], len(languages)) for k in range(MAX_N + 1) for m in [size == k]})
 
     def state(self) -> tuple:
         """All that a worker needs, in types that any worker can unpickle."""
-        return self.languages, self.words, self.grams
+        return self.languages, {k: (t.keys, t.logs) for k, t in self.tables.items()}
 
     @classmethod
     def of(cls, state: tuple) -> Model:
-        self = cls.__new__(cls)
-        self.languages, self.words, self.grams = state
-        return self.remember()
-
-    def _log(self, counts):
-        at = {x: i for i, x in enumerate(self.languages)}
-        table = np.full((len(counts), len(at)), SMOOTH)
-        for i, by in enumerate(counts.values()):
-            for lang, n in by.items():
-                table[i, at[lang]] += n
-        table = np.log(table) - np.log(table.sum(axis=0, keepdims=True)) if len(table) else table
-        return dict(zip(counts, table.astype(np.float32), strict=True))
-
-    def word(self, w: str) -> np.ndarray:
-        """The distribution over languages that a word speaks for."""
-        v = self.words.get(w)
-        if v is None:
-            for n in sorted(self.grams, reverse=True):
-                known = [g for x in grams(w, n) if (g := self.grams[n].get(x)) is not None]
-                if known:
-                    v = np.sum(known, axis=0)
-                    break
-            else:
-                return np.full(len(self.languages), 1 / len(self.languages), np.float32)
-        e = np.exp(v - v.max())
-        return e / e.sum()
-
-    def _at(self, w: str) -> int:
-        i = self.seen.get(w)
-        if i is None:
-            i = self.seen[w] = len(self.seen)
-            if i >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty((max(4096, len(self.rows)), len(self.languages)), np.float32)])
-            self.rows[i] = self.word(w)
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        got = words(text)
-        if not got or not self.languages:
-            return UNKNOWN, 0.0
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        at = [self._at(w) for w in got]
-        mean = self.rows[at].mean(axis=0, dtype=np.float64)
-        k = int(mean.argmax())
-        return self.languages[k], min(1.0, float(mean[k]))
+        return cls(state[0], {k: _Table(*t) for k, t in state[1].items()})
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.rows = np.empty((0, len(self.languages)), np.float32)
+
+    def score(self, some: list[str]) -> np.ndarray:
+        """The distribution over languages that each word speaks for."""
+        total = np.zeros((len(some), len(self.languages)))
+        known, at = self.tables[0].find(_word_keys(some))
+        total[known] = self.tables[0].logs[at]
+        left = np.flatnonzero(~known)
+        for n in range(MAX_N, 0, -1):
+            if not len(left):
+                break
+            keys, word = _gram_keys([some[i] for i in left.tolist()], n)
+            known, at = self.tables[n].find(keys)
+            word, logs = word[known], self.tables[n].logs[at]
+            have = np.bincount(word, minlength=len(left)) > 0
+            for k in range(len(self.languages)):
+                total[left, k] = np.bincount(word, weights=logs[:, k], minlength=len(left))
+            left = left[~have]
+        e = np.exp(total - total.max(axis=1, keepdims=True))
+        return (e / e.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if len(self.numbers) > CACHE or self.numbers.characters > CACHE_CHARACTERS:
+            self.forget()
+        get = self.numbers.__getitem__
+        at = [np.array(list(map(get, words(t))), np.int64) for t in texts]
+        new = self.numbers.new
+        for i in range(0, len(new), 50_000):
+            self.rows = np.concatenate([self.rows, self.score(new[i : i + 50_000])])
+        new.clear()
+        out = []
+        for a in at:
+            if not len(a):
+                out.append((UNKNOWN, 0.0))
+                continue
+            which, times = np.unique(a, return_counts=True) if len(a) > 10_000 else (a, np.ones(len(a), np.int64))
+            mean = times @ self.rows[which].astype(np.float64) / len(a)
+            k = int(mean.argmax())
+            out.append((self.languages[k], min(1.0, float(mean[k]))))
+        return out
 
 
 def _count(batches, top: int = 200_000):
@@ -125,42 +193,46 @@ def _count(batches, top: int = 200_000):
         yield out()
 
 
-def _gram_count(batches):
+def _keyed(batches):
+    """Counts of words to counts of their keys and of those of their n-grams."""
     for b in batches:
-        held: Counter = Counter()
-        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for k in range(1, MAX_N + 1):
-                for g in grams(word, k):
-                    held[lang, k, g] += n
-        keys = list(held)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys]), pa.array([held[k] for k in keys], pa.int64())], names=["lang", "len", "item", "n"])
+        lang = np.array(b.column(0).to_pylist(), object)
+        for one in sorted(set(lang.tolist())):
+            at = np.flatnonzero(lang == one)
+            some, n = b.column(1).take(pa.array(at)).to_pylist(), np.asarray(b.column(2).take(pa.array(at)))
+            for size in range(MAX_N + 1):
+                keys, word = (_word_keys(some), np.arange(len(some))) if size == 0 else _gram_keys(some, size)
+                known, back = np.unique(keys, return_inverse=True)
+                sums = np.zeros(len(known), np.int64)
+                np.add.at(sums, back, n[word])
+                k = len(known)
+                yield pa.RecordBatch.from_arrays([pa.array([one] * k, pa.string()), pa.array(np.full(k, size, np.int32)), pa.array(known.view(np.int64)), pa.array(sums)], names=["lang", "len", "key", "n"])
+
+
+def sample(labelled: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(lang, text) of about ``max_rows`` distinct rows (doc_id, text, lang), or of all: the same number for every language, chosen by a hash
+    of the row; a language with fewer gives all of them."""
+    sizes = materialize(labelled.groupBy("lang").agg(F.count("*").alias("_n")), "lang-sizes")
+    languages = sizes.count()
+    sizes = sizes.withColumn("_share", F.lit(max_rows / max(1, languages)) / F.col("_n"))
+    hashed = labelled.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(3)))
+    some = hashed.join(F.broadcast(sizes) if languages <= BROADCAST_LANGUAGES else sizes, "lang").where(F.pmod("_h", F.lit(1_000_003)) < F.col("_share") * 1_000_003)
+    return some.groupBy("lang", "doc_id", "_h").agg(F.first("text").alias("text")).select("lang", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on rows (doc_id, text, lang) without null languages: all of them, or about ``max_rows`` chosen by a hash of their ids."""
+    """Fit on rows (doc_id, text, lang) without null languages: all of them, or a sample of about ``max_rows``. Rows that repeat id,
+    text and language count once. An empty input gives a model of no language. What comes to the driver are the counts of the
+    sample's words and n-grams."""
     short_batches(labelled.sparkSession)
-    share = max_rows / max(1, labelled.count())
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003))
-    rows = labelled.select(F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = sample(labelled, max_rows)
     counts = materialize(rows.mapInArrow(tidied(_count), "lang string, item string, n bigint").groupBy("lang", "item").agg(F.sum("n").alias("n")), "lang-words")
-    by_gram = materialize(counts.mapInArrow(tidied(_gram_count), "lang string, len int, item string, n bigint").groupBy("lang", "len", "item").agg(F.sum("n").alias("n")), "lang-grams")
-    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    each = max(1, len(languages))
-
-    def largest(df: DataFrame, keys: list[str], most: int) -> list:
-        """The most frequent items of each language; the size of the model, whatever the input."""
-        w = Window.partitionBy(*keys).orderBy(F.desc("n"), "item")
-        return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r").collect()
-
-    word_counts: dict = {}
-    for r in largest(counts.where("n > 1"), ["lang"], MAX_WORDS // each):
-        word_counts.setdefault(r.item, {})[r.lang] = r.n
-    gram_counts: dict = {}
-    for r in largest(by_gram, ["lang", "len"], MAX_GRAMS // (each * MAX_N)):
-        gram_counts.setdefault(r.len, {}).setdefault(r.item, {})[r.lang] = r.n
-    return Model(languages, word_counts, gram_counts)
+    keyed = counts.mapInArrow(tidied(_keyed), "lang string, len int, key bigint, n bigint").groupBy("lang", "len", "key").agg(F.sum("n").alias("n"))
+    got = keyed.toArrow()
+    lang = got.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(lang.dictionary.to_pylist())
+    place = np.array([languages.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+    return Model.counted(languages, got.column("len").to_numpy(), place[np.asarray(lang.indices)] if len(lang) else np.empty(0, np.int64), got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy())
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -178,7 +250,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = per_worker(("language-model", name), lambda: Model.of(sent.value))
         for whole in batches:
             for b in text_slices(whole, text_col):
-                got = [m.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+                got = m.predict(b.column(b.schema.get_field_index(text_col)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return rows.mapInArrow(tidied(work), f"{fields}, lang_pred string, score double")
