@@ -4,24 +4,29 @@ k nearest neighbours are found by descent. The cloud is summarised at every leve
 number of the points in each; the queries' candidate cells are refined level by level. At each level a query's k-th distance is
 bounded by its candidates alone (the least farthest corner within which k points must lie), and cells that begin beyond it are
 dropped, so the answer is exact whatever the cloud. Every step is an equi-join on the parent cell and a window over one query's
-few candidates; nothing pairs all queries with all points.
+few candidates; nothing pairs all queries with all points. All levels are written when the tree is made, so a search's plan has
+one join and one window a level. A finest cell that holds many points gets a grid of its own over its tight box, again and again:
+points that crowd far from a few others are told apart like any.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import materialize
+from ..plans.session import materialize, scratch_dir
 
-#: Points that a cell of the finest level holds on average, on a surface.
-LEAF = 12
-#: Cells of a level up to this many are broadcast: 8 columns each.
+#: Points that a cell of the finest level holds on average, on a surface; a cell with more than FULL is split.
+LEAF, FULL = 12, 512
+#: Levels of up to so many cells are broadcast: 9 columns each.
 BROADCAST_CELLS = 4096
+#: Levels of one grid.
 DEEPEST = 16
+BOX = [f"{n}{c}" for n in "lh" for c in "xyz"]
 
 
 def bounds(cloud: DataFrame):
@@ -29,62 +34,97 @@ def bounds(cloud: DataFrame):
     return cloud.agg(*[f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xyz"], F.count("*").alias("n")).first()
 
 
-def _key(level: int, low, side: float):
-    """Cell number at a level: the levels' bits of the three coordinates side by side."""
-    at = [F.least(F.lit(2**level - 1), F.greatest(F.lit(0), F.floor((F.col(c) - F.lit(m)) / F.lit(side / 2**level)))).cast("long") for c, m in zip("xyz", low, strict=True)]
+def _key(level: int, low, side):
+    """Cell number at a level: the levels' bits of the three coordinates side by side. ``low`` and ``side`` are columns."""
+    at = [F.least(F.lit(2**level - 1), F.greatest(F.lit(0), F.floor((F.col(c) - m) * 2**level / side))).cast("long") for c, m in zip("xyz", low, strict=True)]
     return at[0] * 2 ** (2 * level) + at[1] * 2**level + at[2]
 
 
-def _parent(level: int):
-    """The cell of the level above that holds ``cell``."""
-    k, up = F.col("cell"), level - 1
-    x, y, z = F.shiftright(k, 2 * level), F.shiftright(k, level).bitwiseAND(2**level - 1), k.bitwiseAND(2**level - 1)
-    return F.shiftright(x, 1) * 2 ** (2 * up) + F.shiftright(y, 1) * 2**up + F.shiftright(z, 1)
+def _above(key, depth: int, level: int):
+    """The cell of ``level`` that holds a cell of ``depth``."""
+    x, y, z = F.shiftright(key, 2 * depth), F.shiftright(key, depth).bitwiseAND(2**depth - 1), key.bitwiseAND(2**depth - 1)
+    x, y, z = (F.shiftright(c, depth - level) for c in (x, y, z))
+    return x * 2 ** (2 * level) + y * 2**level + z
 
 
 def _squared(parts):
     return parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
 
 
+def _depth(n: int) -> int:
+    return max(1, min(DEEPEST, round(math.log(max(1, n / LEAF), 4))))
+
+
 @dataclass(frozen=True)
 class Tree:
-    """A cloud's cells at every level, ready for any number of searches."""
+    """A cloud's cells at every level, ready for any number of searches. Points carry the finest cell; a level is (cells, their number),
+    its cells (up, cell, box, m) with the cell of the level above."""
 
     points: DataFrame
-    levels: dict
+    levels: list
     n: int
 
 
+def _grid(points: DataFrame, depth: int, name) -> list:
+    """Levels 1 to ``depth`` of points with (_root, _key); ``name`` gives the id of a cell from (root, its key, level). One aggregation."""
+    tight = [f(c).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
+    finest = points.groupBy("_root", "_key").agg(*tight, F.count("*").alias("m"))
+    chain = F.array(*[F.struct(F.lit(k).alias("level"), name(F.col("_root"), _above(F.col("_key"), depth, k - 1), k - 1).alias("up"), name(F.col("_root"), _above(F.col("_key"), depth, k), k).alias("cell")) for k in range(1, depth + 1)])
+    every = finest.withColumn("_at", F.explode(chain)).select("_at.*", *BOX, "m")
+    again = [f(f"{n}{c}").alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
+    every = every.groupBy("level", "up", "cell").agg(*again, F.sum("m").alias("m"))
+    path = f"{scratch_dir(points.sparkSession)}/cells-{uuid.uuid4().hex}"
+    every.write.partitionBy("level").parquet(path)
+    read = points.sparkSession.read.schema(every.schema).parquet(path)
+    counts = {r.level: r["count"] for r in read.groupBy("level").count().collect()}
+    return [(read.where(F.col("level") == k).drop("level"), counts[k]) for k in range(1, depth + 1)]
+
+
 def tree(cloud: DataFrame) -> Tree:
+    """Points without all three coordinates are in no cell and never found."""
+    cloud = cloud.where("x is not null and y is not null and z is not null")
     box = bounds(cloud)
     if not box.n:
-        return Tree(cloud, {}, 0)
-    low = [box.min_x, box.min_y, box.min_z]
-    side = max(box.max_x - box.min_x, box.max_y - box.min_y, box.max_z - box.min_z) or 1.0
-    depth = max(1, min(DEEPEST, round(math.log(max(1, box.n / LEAF), 4))))
-    finest = cloud.withColumn("cell", _key(depth, low, side))
-    tight = [f(c).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
-    levels = {depth: materialize(finest.groupBy("cell").agg(*tight, F.count("*").alias("m")), "cells")}
-    for level in range(depth - 1, 0, -1):
-        again = [f(f"{n}{c}").alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
-        levels[level] = levels[level + 1].withColumn("cell", _parent(level + 1)).groupBy("cell").agg(*again, F.sum("m").alias("m"))
-    return Tree(finest, levels, box.n)
+        return Tree(cloud, [], 0)
+    low = [F.lit(m) for m in (box.min_x, box.min_y, box.min_z)]
+    side = F.lit(max(box.max_x - box.min_x, box.max_y - box.min_y, box.max_z - box.min_z) or 1.0)
+    depth = _depth(box.n)
+    points = cloud.withColumn("cell", _key(depth, low, side))
+    levels = _grid(points.withColumns({"_root": F.lit(0).cast("long"), "_key": F.col("cell")}), depth, lambda root, key, level: key)
+    while True:  # a round splits what is full at an eighth of its box or finer, so boxes shrink until they hold few points or one place
+        leaves, n = levels[-1]
+        wide = F.greatest(*[F.col(f"h{c}") - F.col(f"l{c}") for c in "xyz"])
+        full = leaves.where((F.col("m") > FULL) & (wide > 0))
+        most = full.agg(F.max("m"), F.count("*")).first()
+        if not most[1]:
+            return Tree(points, levels, box.n)
+        depth = max(3, min(10, _depth(most[0])))
+        full = full.select(F.col("cell").alias("_root"), *[F.col(f"l{c}").alias(f"_l{c}") for c in "xyz"], wide.alias("_side"))
+        inside = points.withColumnRenamed("cell", "_root").join(F.broadcast(full) if most[1] <= BROADCAST_CELLS else full, "_root", "left")
+        inside = inside.withColumn("_key", F.when(F.col("_side").isNotNull(), _key(depth, [F.col(f"_l{c}") for c in "xyz"], F.col("_side"))))
+        name = lambda root, key, level: F.xxhash64(root, F.lit(level), key) if level else root
+        inside = materialize(inside.withColumn("cell", F.coalesce(F.when(F.col("_key").isNotNull(), name(F.col("_root"), F.col("_key"), depth)), F.col("_root"))).drop("_side", *[f"_l{c}" for c in "xyz"]), "cell-points")
+        split = _grid(inside.where("_key is not null"), depth, name)
+        rest = leaves.join(full.select(F.col("_root").alias("cell")), "cell", "left_anti").select(F.col("cell").alias("up"), "cell", *BOX, "m")
+        rest = materialize(rest, "cells")
+        levels = levels + [(cells.unionByName(rest), k + n - most[1]) for cells, k in split]
+        points = inside.drop("_root", "_key")
 
 
 def knn(queries: DataFrame, cloud: DataFrame | Tree, k: int, id_col: str = "qid") -> DataFrame:
     """(query columns, pid, px, py, pz, other cloud columns, d, rank) of each query's k nearest points, ties by pid; all points where
-    the cloud has k or fewer. Cloud columns x, y, z come as px, py, pz; both sides' other columns must differ in name."""
+    the cloud has k or fewer. Cloud columns x, y, z come as px, py, pz; both sides' other columns must differ in name. Queries and
+    points without all three coordinates have no neighbours."""
     if k < 1:
         raise ValueError("k must be positive")
     index = cloud if isinstance(cloud, Tree) else tree(cloud)
     if not index.n:
         return queries.join(index.points.limit(0).withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumns({"d": F.lit(0.0), "rank": F.lit(1)}))
-    finest, levels, depth = index.points, index.levels, max(index.levels)
     asked = queries.select(id_col, "x", "y", "z")
     found = asked.withColumn("_up", F.lit(0).cast("long"))
-    for level in range(1, depth + 1):
-        cells = levels[level].withColumn("_up", _parent(level))
-        found = found.join(F.broadcast(cells) if 8**level <= BROADCAST_CELLS else cells, "_up")
+    for cells, n in index.levels:
+        cells = cells.withColumnRenamed("up", "_up")
+        found = found.join(F.broadcast(cells) if n <= BROADCAST_CELLS else cells, "_up")
         near = _squared([F.greatest(F.col(f"l{c}") - F.col(c), F.col(c) - F.col(f"h{c}"), F.lit(0.0)) for c in "xyz"])
         far = _squared([F.greatest(F.abs(F.col(c) - F.col(f"l{c}")), F.abs(F.col(c) - F.col(f"h{c}"))) for c in "xyz"])
         found = found.select(id_col, "x", "y", "z", F.col("cell").alias("_up"), "m", near.alias("_near"), far.alias("_far"))
@@ -92,7 +132,7 @@ def knn(queries: DataFrame, cloud: DataFrame | Tree, k: int, id_col: str = "qid"
         found = found.withColumn("_sum", F.sum("m").over(inside))
         reach = F.min(F.when(F.col("_sum") >= min(k, index.n), F.col("_far"))).over(Window.partitionBy(id_col))
         found = found.withColumn("_reach", reach).where(F.col("_near") <= F.col("_reach") * (1 + 1e-9) + 1e-300).select(id_col, "x", "y", "z", "_up")
-    points = finest.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumnRenamed("cell", "_up")
+    points = index.points.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumnRenamed("cell", "_up")
     pairs = found.select(id_col, "x", "y", "z", "_up").join(points, "_up").drop("_up")
     pairs = pairs.withColumn("d", F.sqrt(_squared([F.col(c) - F.col(f"p{c}") for c in "xyz"])))
     order = Window.partitionBy(id_col).orderBy("d", "pid")
@@ -102,7 +142,12 @@ def knn(queries: DataFrame, cloud: DataFrame | Tree, k: int, id_col: str = "qid"
 
 
 def within(queries: DataFrame, cloud: DataFrame, radius: float, id_col: str = "qid") -> DataFrame:
-    """Pairs no farther apart than ``radius`` (closed): each point looks into the 27 cells of that side around it."""
+    """Pairs no farther apart than ``radius`` (closed): each point looks into the 27 cells of that side around it. At radius 0 the pairs
+    of one place, below it none."""
+    if radius <= 0:
+        points = cloud.withColumnsRenamed({c: f"p{c}" for c in "xyz"})
+        same = [F.col(c) + 0.0 == F.col(f"p{c}") + 0.0 for c in "xyz"]
+        return queries.join(points, same[0] & same[1] & same[2]).withColumn("d", F.lit(0.0)).where(F.lit(radius == 0))
     cell = lambda c, k: (F.floor(F.col(c) / radius) + k).cast("long")
     steps = F.sequence(F.lit(-1), F.lit(1))
     points = cloud.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumns({f"_{c}": cell(f"p{c}", 0) for c in "xyz"})

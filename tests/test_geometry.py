@@ -141,3 +141,53 @@ def test_least_squares_patch_of_the_sphere(spark):
     cloud = frame(spark, SF, "cloud_sphere").select("pid", "x", "y", "z", "nx", "ny", "nz")
     got = predictor.coefficients(cloud, predictor.least_squares, 12).collect()
     assert len(got) == cloud.count() and np.median([abs(r.a20 + 0.5) + abs(r.a02 + 0.5) for r in got]) < 0.1
+
+
+def crowd(seed, n):
+    """Points that crowd on two scales far from one another, some in one place, and lone ones far off."""
+    r = np.random.default_rng(seed)
+    near = r.normal(size=(n, 3)) * 1e-3
+    nearer = r.normal(size=(n, 3)) * 1e-7 + 0.5
+    return np.vstack([near, nearer, np.repeat([[0.25, 0.25, 0.25]], n // 2, axis=0), [[1e6, 0, 0], [0, -1e9, 1]]])
+
+
+def test_crowded_cells_are_split(spark):
+    p = crowd(1, 1500)
+    cloud = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "pid bigint, x double, y double, z double")
+    index = neighbours.tree(cloud)
+    cells, n = index.levels[-1]
+    assert cells.count() == n and cells.agg({"m": "sum"}).first()[0] == len(p) == index.points.count()
+    wide = cells.where("hx > lx or hy > ly or hz > lz").agg({"m": "max"}).first()[0]
+    assert wide <= neighbours.FULL
+    q = np.vstack([p[::400] + 1e-8, [[5e5, 1, 1]]])
+    asked = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(q)], "qid bigint, x double, y double, z double")
+    want = {}
+    for i, x in enumerate(q):
+        d = np.sqrt(((x - p) ** 2).sum(axis=1))
+        want[i] = sorted(zip(d.tolist(), range(len(p)), strict=True))[:5]
+    got = {}
+    for r in neighbours.knn(asked, index, 5).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = (r.d, r.pid)
+    for i, w in want.items():
+        assert [got[i][k + 1][0] for k in range(5)] == pytest.approx([d for d, _ in w], rel=1e-12, abs=1e-300)
+
+
+def test_plan_grows_with_the_depth_alone(spark):
+    cloud = spark.range(50).selectExpr("id as pid", "cast(id as double) as x", "0.0d as y", "0.0d as z")
+    asked = cloud.withColumnRenamed("pid", "qid")
+    index = neighbours.tree(cloud)
+    cells = index.levels[0][0]
+    sizes = {}
+    for depth in (4, 8, 16):
+        deep = neighbours.Tree(index.points, [(cells, 1 << 20)] * depth, index.n)
+        plan = neighbours.knn(asked, deep, 3)._jdf.queryExecution().optimizedPlan().toString()
+        sizes[depth] = sum(len(line.lstrip(" :+-")) for line in plan.splitlines())  # without the indents
+    assert sizes[16] - sizes[8] < 2.2 * (sizes[8] - sizes[4]) and sizes[16] < 60_000
+
+
+def test_radius_of_nothing(spark):
+    cloud = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, -0.0, 0.0, 1.0), (3, None, 0.0, 1.0)], "pid bigint, x double, y double, z double")
+    asked = cloud.withColumnRenamed("pid", "qid")
+    assert sorted((r.qid, r.pid, r.d) for r in neighbours.within(asked, cloud, 0.0).collect()) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 0.0)]
+    assert neighbours.within(asked, cloud, -1.0).count() == 0
+    assert sorted((r.qid, r.pid) for r in neighbours.knn(asked, cloud, 5).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
