@@ -2,6 +2,9 @@ import base64
 import hashlib
 import json
 import re
+import time
+
+import pytest
 
 from pointfield.llm import secrets
 
@@ -30,6 +33,48 @@ def rsa():
     return der(0x30, der(2, b"\0"), *[num(k) for k in (128, 2, 128, 64, 64, 64, 64, 64)])
 
 
+def pkcs8(key):
+    return der(0x30, der(2, b"\0"), der(0x30, der(6, bytes.fromhex("2a864886f70d010101")), der(5)), der(4, key))
+
+
+def encrypted(scheme="2a864886f70d01050d"):
+    return der(0x30, der(0x30, der(6, bytes.fromhex(scheme)), der(0x30, der(4, b"x" * 8))), der(4, bytes(range(64))))
+
+
+def test_inner_keys_are_parsed():
+    assert secrets.is_der_private_key(rsa()) and secrets.is_der_private_key(pkcs8(rsa()))
+    assert secrets.is_der_private_key(pkcs8(der(4, bytes(range(32)))))  # a key of plain octets
+    assert not secrets.is_der_private_key(pkcs8(rsa()[:-2])) and not secrets.is_der_private_key(pkcs8(b"no key at all, just text in octets"))
+    assert secrets.is_der_private_key(encrypted()) and not secrets.is_der_private_key(encrypted("2a864886f70d010101"))
+    nested = rsa()
+    for _ in range(3000):
+        nested = pkcs8(nested) if len(nested) < 60_000 else nested
+    assert not secrets.is_der_private_key(nested)
+
+
+def test_url_safe_and_encrypted_blocks():
+    kinds = lambda t: [k for k, _, _ in secrets.confirmed(t)]
+    raw = der(0x30, der(2, b"\0"), *[der(2, b"\x01" + b"\xff\xfe" * 30) for _ in range(8)])
+    safe = base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    assert ("-" in safe or "_" in safe) and kinds(f"key {safe} end") == ["der"]
+    body = base64.encodebytes(encrypted()).decode()
+    block = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{body}-----END ENCRYPTED PRIVATE KEY-----"
+    assert "pem" in kinds(block)
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" + block)[:1] == ["pem"]  # a heading without an ending before it
+    assert not kinds(block.replace("END ENCRYPTED", "END RSA"))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["-----BEGIN PRIVATE KEY-----" * 40_000, "-----BEGIN RSA PRIVATE KEY----- x" * 30_000 + "-----END RSA PRIVATE KEY-----", "-----BEGIN " * 100_000, "-----BEGIN " + "A" * 1_000_000, "a" * 999_999, "A" * 1_000_000, "ey.ey" * 200_000, "ey" * 500_000, "eyA." * 250_000, "password" + " " * 1_000_000, "password" * 125_000, "AKIA" * 250_000, "a-" * 500_000, "token=" * 160_000, ("A" * 39 + " ") * 25_000],
+    ids=lambda t: t[:14].strip(),
+)
+def test_a_megabyte_of_anything_takes_seconds(text):
+    began = time.process_time()
+    secrets.spans(text)
+    assert time.process_time() - began < 4
+
+
 CASES = [
     'token = "8b7b7ebadd0a6c91de764263600241f1767a83f0"',
     "secret:token :abcdef PASSWORD=abcdef passwd: 'x' api-key: abcdefg API_KEY='aa.bb-cc=='",
