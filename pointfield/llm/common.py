@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pointfield.plans.session import materialize, scratch_dir  # noqa: F401
+from pointfield.plans.session import drop, materialize, passing, scratch_dir  # noqa: F401
 
 #: Bytes of text that one Python batch works on at a time.
 BATCH_BYTES = 4 << 20

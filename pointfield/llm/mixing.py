@@ -7,8 +7,9 @@ and the water level of the rest is (total - caps of the prefix) / (weights of th
 
 Sampling is seeded and exact. Within a source the documents stand in the order of a seeded digest. Each is
 taken a whole number of times, and the remaining words of the target are taken from the front of that order;
-the document at the border is taken in part. Only the one digest bucket per source that holds the border is ever
-sorted; elsewhere the sums per bucket decide, so no task gets a whole source.
+the document at the border is taken in part. The border is found from sums: first per digest bucket, then, inside the one bucket
+per source that holds it, per digest and size. A row is decided by comparing it with its source's border; only rows that are equal
+to it in digest and size, as rows of one id can be, are ever numbered, so no task gets a whole source.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, passing
 
 #: Weights dealt to the sources in code point order, again and again.
 WEIGHTS = (5, 2, 1)
@@ -53,36 +54,50 @@ def targets(sizes: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs:
     return out.withColumn("target", F.least("_cap", water * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
-def _sized(docs: DataFrame, seed: int, id_col: str) -> DataFrame:
-    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    return docs.withColumns({"_size": words(F.col("text")), "_rank": rank}).withColumn("_bucket", F.substring("_rank", 1, BUCKET_DIGITS))
+def _rank(key: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def _taken(rows: DataFrame, sizes: DataFrame, weights, ratio: float, epochs: float) -> DataFrame:
-    """``rows`` (with _size, _rank, _bucket and source) with _source_size, _target and _taken; ``sizes`` are those four columns
-    of the same rows."""
-    buckets = materialize(sizes.groupBy("source", "_bucket").agg(F.sum("_size").alias("_n")), "mix-buckets")
+def _plan(sizes: DataFrame, weights, ratio: float, epochs: float) -> DataFrame:
+    """One row per source: _of, _source_size, _target, _whole, _rest and the border (_edge_rank, _edge_size, _ahead, _equal) where the rest
+    ends, or none. ``sizes``: (source, _size, _rank), a row per document."""
+    sized = sizes.withColumn("_bucket", F.substring("_rank", 1, BUCKET_DIGITS))
+    buckets = materialize(sized.groupBy("source", "_bucket").agg(F.sum("_size").alias("_n")), "mix-buckets")
     plan = targets(buckets.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, ratio, epochs)
     plan = plan.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     plan = plan.withColumn("_rest", F.floor(F.col("target") + 0.5) - F.col("_whole") * F.col("source_size"))
+    plan = materialize(plan.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_rest"), "mix-targets")
     order = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    border = sums.join(plan, sums["source"].eqNullSafe(plan["source"])).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_n")))
-    border = border.select(sums["source"].alias("_source"), F.col("_bucket").alias("_border"), "_before")
-    plan = plan.join(border, plan["source"].eqNullSafe(border["_source"]), "left")
-    plan = plan.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_rest", "_border", "_before")
-    plan = materialize(plan, "mix-plan")
-    small = plan.count() <= BROADCAST_SOURCES
-    found = rows.join(F.broadcast(plan) if small else plan, rows["source"].eqNullSafe(plan["_of"]))
-    inside = F.col("_border").isNull() | (F.col("_bucket") < F.col("_border"))
-    at = F.coalesce(F.col("_bucket") == F.col("_border"), F.lit(False))
-    taken = F.col("_whole") * F.col("_size")
-    plain = found.where(~at).withColumn("_taken", taken + F.when(inside & (F.col("_rest") > 0), F.col("_size")).otherwise(F.lit(0)))
-    run = Window.partitionBy("source").orderBy("_rank", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = found.where(at).withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("_size").over(run), F.lit(0)))
-    ordered = ordered.withColumn("_taken", taken + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_ahead"))))
-    columns = [*rows.columns, "_source_size", "_target", "_taken"]
-    return plain.select(*columns).union(ordered.select(*columns))
+    border = sums.join(plan, F.col("source").eqNullSafe(F.col("_of"))).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_n")))
+    border = materialize(border.select("_of", "_rest", F.col("_bucket").alias("_at"), "_before"), "mix-borders")
+    inside = sized.join(_maybe_broadcast(border), F.col("source").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_at")))
+    inside = inside.groupBy("_of", "_rank", "_size").agg(F.count("*").alias("_equal"), F.first("_rest").alias("_rest"), F.first("_before").alias("_before"))
+    run = Window.partitionBy("_of").orderBy("_rank", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_ahead", F.col("_before") + F.coalesce(F.sum(F.col("_equal") * F.col("_size")).over(run), F.lit(0)))
+    inside = inside.where((F.col("_ahead") <= F.col("_rest")) & (F.col("_rest") < F.col("_ahead") + F.col("_equal") * F.col("_size")))
+    edges = inside.select(F.col("_of").alias("_edge_of"), F.col("_rank").alias("_edge_rank"), F.col("_size").alias("_edge_size"), "_ahead", "_equal")
+    return materialize(plan.join(edges, F.col("_of").eqNullSafe(F.col("_edge_of")), "left").drop("_edge_of"), "mix-plan")
+
+
+def _maybe_broadcast(plan: DataFrame) -> DataFrame:
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
+def _taken(rows: DataFrame, plan: DataFrame, tie: Column) -> DataFrame:
+    """``rows`` (with source, _size, _rank) with the plan's columns and _taken. ``tie`` orders rows of one digest and size."""
+    found = rows.join(_maybe_broadcast(plan), F.col("source").eqNullSafe(F.col("_of")))
+    row, edge = F.struct("_rank", "_size"), F.struct(F.col("_edge_rank").alias("_rank"), F.col("_edge_size").alias("_size"))
+    alone = F.when(F.col("_edge_rank").isNull() & (F.col("_rest") > 0), F.col("_size")).when(row < edge, F.col("_size")).when(row == edge, F.least("_size", F.col("_rest") - F.col("_ahead"))).otherwise(F.lit(0))
+    whole = F.col("_whole") * F.col("_size")
+    many = F.coalesce((row == edge) & (F.col("_equal") > 1), F.lit(False))
+    out = found.where(~many).withColumn("_taken", whole + alone)
+    if not plan.where("_equal > 1").isEmpty():
+        turn = F.row_number().over(Window.partitionBy("source").orderBy("_tie")) - 1
+        shared = found.where(many).withColumn("_tie", tie)
+        part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_ahead") - turn * F.col("_size")))
+        out = out.unionByName(shared.withColumn("_taken", whole + part).drop("_tie"))
+    return out
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
@@ -90,22 +105,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs: int
 
     taken counts words, repetitions included; the taken words of a source sum to its target, rounded. Documents
     without words or text have size 0 and are taken 0 times. Repeated rows count each on its own; a null id is an
-    id like any other, a null source is a source of its own. Other columns are ignored. An empty input gives no rows.
+    id like any other, a null source is a source of its own. Other columns are ignored, whatever their names. An empty input gives no rows.
     """
-    base = _sized(docs.select(F.col(id_col).alias("_key"), "source", "text"), seed, "_key").drop("text")
-    base = materialize(base, "mix-sizes")
-    out = _taken(base, base, weights, ratio, epochs)
+    with passing(docs.sparkSession) as keep:
+        base = docs.select(F.col(id_col).alias("_key"), F.col("source").alias("source"), words(F.col("text")).alias("_size"), _rank(F.col(id_col), seed).alias("_rank"))
+        base = keep(materialize(base, "mix-sizes"))
+        out = _taken(base, keep(_plan(base, weights, ratio, epochs)), F.lit(0))
     return out.select(F.col("_key").alias(id_col), "source", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, ratio: float = MIX_RATIO, epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; of the one document per source that is taken in part a whole copy
-    is given if at least half of it is taken. Documents without words are in no mix. The texts are not shuffled."""
-    rows = _sized(docs, seed, id_col)
-    sizes = materialize(rows.select("source", "_size", "_rank", "_bucket"), "mix-sizes")
-    out = _taken(rows, sizes, weights, ratio, epochs).where("_size > 0")
+    is given if at least half of it is taken. Documents without words or text are in no mix. The texts are not shuffled, and read twice.
+
+    Null ids and sources are ids and a source like others; repeated rows count each on its own, and rows of one id and size stand in the
+    order of a hash of the whole row, so reruns agree. All columns of ``docs`` come back as they are, whatever their names. An empty input
+    gives no rows."""
+    facts = [F.col("source").alias("source"), words(F.col("text")).alias("_size"), _rank(F.col(id_col), seed).alias("_rank")]
+    with passing(docs.sparkSession) as keep:
+        sizes = materialize(docs.select(*facts), "mix-sizes")
+        plan = keep(_plan(sizes, weights, ratio, epochs))
+    out = _taken(docs.select(F.struct("*").alias("_row"), *facts), plan, F.xxhash64("_row")).where("_size > 0")
     times = F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return out.select("_row", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
