@@ -12,7 +12,10 @@ Documents under one index key are compared by size and by a parity bitmap of the
 differ are no more than the shingles in which the sets differ, so nothing over the threshold is lost. Of those that pass,
 each key gives a spanning forest, never all pairs. The forests' components hold every link. Inside each component
 the sets themselves are compared, again giving a spanning forest, now of true links, whose components are the result.
-A key or component with many documents is dealt out by pairs of blocks; nothing is capped.
+
+A key or component of many documents is dealt out, and nothing is capped. First its documents are dealt into blocks, each with
+the same few of them besides; groups of near copies become one there. Where that leaves several parts, the largest
+stays in its blocks and the others meet each of them, and one another by pairs of blocks; documents of one part are not compared again.
 """
 
 from __future__ import annotations
@@ -26,13 +29,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, per_worker, short_batches, text_slices, tidied
+from .common import documents, drop, materialize, passing, per_worker, short_batches, text_slices, tidied
 from .graph import components
 
 #: Shingles in more prefixes than this are indexed in pairs.
 FREQUENT = 16
-#: Documents of a block of an index key; shingles of a block of a component.
-BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 1_000_000
+#: Documents of a block of an index key or of a component; shingles of a block of a component; documents that all first blocks have.
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 2_000, 1_000_000, 16
+#: Rows of a cell from which on a document is compared with all others of it at once.
+WIDE_CELL = 48
+#: Bits of a bitmap for each shingle: of those that are shuffled, and of those made where the sets are at hand.
+SHUFFLED_BITS, LOCAL_BITS = 0.5, 4
 #: Word hashes that a worker remembers at most.
 CACHE = 100_000
 #: Sizes from one band to the next.
@@ -113,10 +120,10 @@ class Rule:
         return min(n, self.tau(n) + 1 + self.parts(self.band(n)))
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the set's hashes by bit; half as many bits as shingles, a power of two."""
+def bitmap(s: np.ndarray, per_shingle: float = SHUFFLED_BITS) -> bytes:
+    """Parity of the set's hashes by bit; a power of two of bits, and never more for fewer shingles."""
     bits = 64
-    while bits < len(s) // 2:
+    while bits < int(len(s) * per_shingle):
         bits *= 2
     odd = np.bincount((s >> _U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -172,6 +179,64 @@ class _Forest:
         return True
 
 
+class _Bitmaps:
+    """Bitmaps of rows in ascending order of size, so that those of one width stand together."""
+
+    def __init__(self, maps: list[bytes], n: np.ndarray, rule: Rule):
+        self.n, self.rule = n, rule
+        self.words = np.array([len(m) // 8 for m in maps])
+        edges = [0, *(np.flatnonzero(np.diff(self.words)) + 1).tolist(), len(maps)]
+        self.parts = [(a, b, int(self.words[a]), np.frombuffer(b"".join(maps[a:b]), "<u8").reshape(b - a, -1)) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def _at_width(self, k: int, words: int) -> np.ndarray:
+        a, _, own, m = self.parts[k]
+        if own == words:
+            return m
+        if (k, words) not in self.folded:
+            while m.shape[1] > words:
+                half = m.shape[1] // 2
+                m = m[:, :half] ^ m[:, half:]
+            self.folded[k, words] = m
+        return self.folded[k, words]
+
+    def near(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """Those of the ascending ``rows``, all after i, whose sets may differ from row i's in no more than a link allows."""
+        words = int(self.words[i])
+        own = next(k for k, p in enumerate(self.parts) if p[0] <= i < p[1])
+        mine = self.parts[own][3][i - self.parts[own][0]]
+        out = []
+        for k in range(own, len(self.parts)):
+            a, b, _, _ = self.parts[k]
+            at = rows[np.searchsorted(rows, a) : np.searchsorted(rows, b)]
+            if len(at):
+                differ = np.bitwise_count(self._at_width(k, words)[at - a] ^ mine).sum(axis=1, dtype=np.int64)
+                out.append(at[differ <= self.rule.misses(int(self.n[i]), self.n[at])])
+        return np.concatenate(out) if out else rows[:0]
+
+
+def _spanning(n: np.ndarray, maps: list[bytes], rule: Rule, linked=None, part=None, side=None):
+    """Pairs of rows (ascending in size n) that span what passes sizes, bitmaps and ``linked``. Rows of one ``part`` count as joined
+    already; with ``side`` only rows of different sides are compared."""
+    label = np.unique(part, return_inverse=True)[1] if part is not None else np.arange(len(n))
+    left = len(np.unique(label))
+    bits = _Bitmaps(maps, n, rule)
+    for i in range(len(n) - 1):
+        if left == 1:
+            return
+        stop = int(np.searchsorted(n * rule.num, n[i] * rule.den, "right"))
+        rows = np.flatnonzero(label[i + 1 : stop] != label[i]) + i + 1
+        if side is not None:
+            rows = rows[side[rows] != side[i]]
+        if not len(rows):
+            continue
+        for j in bits.near(i, rows).tolist():
+            if label[j] != label[i] and (linked is None or linked(i, j)):
+                yield i, j
+                label[label == label[j]] = label[i]
+                left -= 1
+
+
 def _runs(batches, key: str):
     """Record batches in which every run of ``key`` is whole, from batches that come sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -189,70 +254,129 @@ def _runs(batches, key: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _pairs(node: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    i, j = np.array(pairs).T
+    return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+
+def _optional(t: pa.Table, name: str) -> np.ndarray | None:
+    return t.column(name).to_numpy() if name in t.column_names else None
+
+
 def _forest_by_bitmap(batches, rule: Rule):
     """Spanning forests of the pairs under one cell that pass sizes and bitmaps."""
     for t in _runs(batches, "cell"):
         cell, node, n = (t.column(c).to_numpy() for c in ("cell", "node", "n"))
-        maps = t.column("bits")
-        ints: dict[int, tuple[int, int]] = {}
-
-        def bits(i: int, ints=ints, maps=maps) -> tuple[int, int]:
-            if (x := ints.get(i)) is None:
-                raw = maps[i].as_py()
-                x = ints[i] = (int.from_bytes(raw, "little"), 8 * len(raw))
-            return x
-
-        forest, out, d = _Forest(len(cell)), [], 1
-        while d < len(cell):
-            same = cell[d:] == cell[:-d]
-            if not same.any():
-                break
-            for i in np.flatnonzero(same & (node[d:] != node[:-d]) & rule.sizes(n[d:], n[:-d])).tolist():
-                j = i + d
-                if forest.root(i) == forest.root(j):
-                    continue
-                (x, p), (y, q) = bits(i), bits(j)
-                if p != q:
-                    x, y = _fold(x, p, q), _fold(y, q, p)
-                if (x ^ y).bit_count() <= rule.misses(int(n[i]), int(n[j])):
-                    forest.join(i, j)
-                    out.append((i, j))
-            d += 1
+        part, side, maps = _optional(t, "part"), _optional(t, "side"), t.column("bits")
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        small = np.ones(len(cell), bool)
+        out = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a >= WIDE_CELL or (part is not None and b - a > 1):
+                small[a:b] = False
+                order = a + np.argsort(n[a:b], kind="stable")
+                got = _spanning(n[order], [maps[k].as_py() for k in order.tolist()], rule, None, part if part is None else part[order], side if side is None else side[order])
+                out += [(order[i], order[j]) for i, j in got]
+        out += _small_forests(cell, node, n, maps, np.flatnonzero(small), rule)
         if out:
-            i, j = np.array(out).T
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+            yield _pairs(node, out)
+
+
+def _small_forests(cell, node, n, maps, at: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """The same for many cells of few rows: all pairs of rows that stand d apart at a time."""
+    cell, node, n = cell[at], node[at], n[at]
+    ints: dict[int, tuple[int, int]] = {}
+
+    def bits(i: int) -> tuple[int, int]:
+        if (x := ints.get(i)) is None:
+            raw = maps[int(at[i])].as_py()
+            x = ints[i] = (int.from_bytes(raw, "little"), 8 * len(raw))
+        return x
+
+    forest, out, d = _Forest(len(cell)), [], 1
+    while d < len(cell):
+        same = cell[d:] == cell[:-d]
+        if not same.any():
+            break
+        for i in np.flatnonzero(same & (node[d:] != node[:-d]) & rule.sizes(n[d:], n[:-d])).tolist():
+            j = i + d
+            if forest.root(i) == forest.root(j):
+                continue
+            (x, p), (y, q) = bits(i), bits(j)
+            if p != q:
+                x, y = _fold(x, p, q), _fold(y, q, p)
+            if (x ^ y).bit_count() <= rule.misses(int(n[i]), int(n[j])):
+                forest.join(i, j)
+                out.append((int(at[i]), int(at[j])))
+        d += 1
+    return out
 
 
 def _forest_by_set(batches, rule: Rule):
     """Spanning forests of the true links in one cell."""
     for t in _runs(batches, "cell"):
         cell, node = t.column("cell").to_numpy(), t.column("node").to_numpy()
-        sets = t.column("shingles")
+        part, side, sets = _optional(t, "part"), _optional(t, "side"), t.column("shingles")
+        out = []
         for whole in np.split(np.arange(len(cell)), np.flatnonzero(cell[1:] != cell[:-1]) + 1):
-            got = [sets[int(i)].values.to_numpy() for i in whole]
-            maps = [int.from_bytes(np.packbits((np.bincount(s.view(np.uint64).astype(np.int64) & 4095, minlength=4096) & 1).astype(np.uint8)).tobytes(), "little") for s in got]
-            forest, out = _Forest(len(whole)), []
-            for d in range(1, len(whole)):
-                for i in range(len(whole) - d):
-                    j = i + d
-                    a, b = len(got[i]), len(got[j])
-                    if not rule.sizes(a, b) or forest.root(i) == forest.root(j) or (maps[i] ^ maps[j]).bit_count() > rule.misses(a, b):
-                        continue
-                    if rule.linked(len(np.intersect1d(got[i], got[j], assume_unique=True)), a, b):
-                        forest.join(i, j)
-                        out.append((node[whole[i]], node[whole[j]]))
-            if out:
-                i, j = np.array(out).T
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["a", "b"])
-
-
-def _dealt(df: DataFrame, blocks: str, by: str, *keys: str) -> DataFrame:
+            if len(whole) < 2:
+                continue
+            got = [sets[int(i)].values.to_numpy().view(np.uint64) for i in whole]
+            n = np.array([len(x) for x in got])
+            order = np.argsort(n, kind="stable")
+            got, n, whole = [got[k] for k in order.tolist()], n[order], whole[order]
+
+            def linked(i: int, j: int, got=got) -> bool:
+                a, b = got[i], got[j]
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                return rule.linked(int((b[at] == a).sum()), len(a), len(b))
+
+            pairs = _spanning(n, [bitmap(x, LOCAL_BITS) for x in got], rule, linked, part if part is None else part[whole], side if side is None else side[whole])
+            out += [(whole[i], whole[j]) for i, j in pairs]
+        if out:
+            yield _pairs(node, out)
+
+
+def _dealt(df: DataFrame, blocks: str, by: str, *keys) -> DataFrame:
     """Rows to the cells of pairs of blocks that their block is in: one cell for one block, else ``blocks`` of them."""
     block = F.pmod(F.xxhash64(by, F.lit(5)), F.col(blocks))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
     out = df.withColumn("_block", block).withColumn("_other", other)
     cell = F.when(F.col(blocks) == 1, F.xxhash64(*keys)).otherwise(F.xxhash64(*keys, F.least("_block", "_other"), F.greatest("_block", "_other")))
-    return out.withColumn("cell", cell).drop("_block", "_other", blocks)
+    return out.withColumn("cell", cell).drop("_block", "_other")
+
+
+def _large(rows: DataFrame, work, payload: str) -> DataFrame:
+    """The links (a, b) that span those of every group of ``rows``, a written table (key, blocks, docs, node, n, payload) of groups that
+    are too large for a cell; docs is the number of a group's rows, blocks how many blocks they need. ``work`` makes links from cells."""
+    spark = rows.sparkSession
+
+    def links(cells: DataFrame, *more: str) -> DataFrame:
+        cells = cells.select("cell", "node", "n", payload, *more)
+        return cells.repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node").mapInArrow(tidied(work), "a bigint, b bigint")
+
+    # Blocks, each with the same few documents besides.
+    block = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
+    pivot = F.pmod(F.xxhash64("node", "key", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("docs") / PIVOTS))) == 0
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    first = rows.withColumn("_block", F.explode(F.when(pivot, every).otherwise(F.array(block)))).withColumn("cell", F.xxhash64("key", "_block"))
+    found = materialize(links(first), "join-block-links")
+    parts = components(found).withColumnRenamed("root", "part")
+    rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = materialize(rows.groupBy("key", "part").agg(F.count("*").alias("_n")), "join-block-parts")
+    best = sizes.groupBy("key").agg(F.max(F.struct("_n", "part")).alias("_most"), F.count("*").alias("_parts")).where("_parts > 1")
+    rows = materialize(rows.join(best.select("key", "_most"), "key"), "join-block-rest")
+    if rows.isEmpty():
+        return found
+    share = lambda n: F.greatest(F.lit(1), F.ceil(F.col("blocks") * n / F.col("docs"))).cast("long")
+    rows = rows.withColumn("_main", share(F.col("_most._n"))).withColumn("_rest", share(F.col("docs") - F.col("_most._n")))
+    main, rest = rows.where(F.col("part") == F.col("_most.part")), rows.where(F.col("part") != F.col("_most.part"))
+    columns = ("cell", "node", "n", payload, "part", "side")
+    here = main.withColumn("cell", F.xxhash64("key", F.lit("main"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("_main")))).withColumn("side", F.lit(0))
+    there = rest.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_main") - 1))).withColumn("cell", F.xxhash64("key", F.lit("main"), "_b")).withColumn("side", F.lit(1))
+    across = links(here.select(*columns).union(there.select(*columns)), "part", "side")
+    among = links(_dealt(rest, "_rest", "node", "key", F.lit("rest")), "part")
+    return found.union(across).union(among)
 
 
 def _parts(spark: SparkSession) -> int:
@@ -286,35 +410,72 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["_id", "hash", "n", "key", "low", "bits"])
 
     out = T.StructType().add("_id", id_type).add("hash", T.LongType()).add("n", T.LongType()).add("key", T.BinaryType()).add("low", T.ArrayType(T.LongType())).add("bits", T.BinaryType())
-    every = materialize(rows.mapInArrow(tidied(sets), out).withColumn("uid", F.monotonically_increasing_id()), "join-sets")
-    classes = every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "uid")).alias("best"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
-    classes = materialize(classes, "join-classes")
+    with passing(spark) as keep:
+        every = keep(materialize(rows.mapInArrow(tidied(sets), out).withColumn("uid", F.monotonically_increasing_id()), "join-sets"))
+        classes = every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "uid")).alias("best"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
+        classes = materialize(classes, "join-classes")
+        close = _candidates(classes, rule)
+        found = _verified(rows.select("_id", "_text"), classes, close, shingle, rule)
+        members = found.join(classes.select("node", "best"), "node")
+        least = members.groupBy("root").agg(F.min("best").alias("first"))
+        named = members.join(least, "root").select("node", "first")
+        ids = classes.select("key", "node", "best").join(named, "node", "left")
+        ids = keep(materialize(ids.select("key", F.coalesce("first", "best").alias("best")), "join-class-ids"))
+    plain = every.select("_id", "hash", "uid", "n", "key")
+    linked = plain.where("n > 0").join(ids, "key").select("_id", "n", "best._id", "hash", F.col("uid") == F.col("best.uid"))
+    empty = plain.where("n = 0").select("_id", "n", F.col("_id"), "hash", F.lit(True))
+    return linked.union(empty).toDF(id_col, "n_shingles", "component_id", "text_hash", "kept")
+
 
+def _candidates(classes: DataFrame, rule: Rule) -> DataFrame:
+    """(node, root) of the components of pairs that meet under a signature and pass sizes and bitmaps."""
+    spark = classes.sparkSession
     tokens = classes.select("node", F.posexplode("low").alias("pos", "token"))
     counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "join-counts")
-    shared = tokens.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("pos", "token", "c")).alias("tokens"))
-    indexed = shared.join(classes.select("node", "n", "bits"), "node")
-
-    def index(batches):
-        for b in batches:
-            keys, most, at = [], [], []
-            for i, (n, got) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                found = dict(_signatures(n, [(x["pos"], x["token"] & (2**64 - 1), x["c"]) for x in got], rule))
-                keys += map(_signed, found)
-                most += found.values()
-                at += [i] * len(found)
-            at = pa.array(at, pa.int64())
-            blocks = (np.array(most, np.int64) + BLOCK_DOCS - 1) // BLOCK_DOCS
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.int64()), *(b.column(k).take(at) for k in range(3))], names=["sig", "blocks", "node", "n", "bits"])
-
-    keyed = indexed.select("node", "n", "bits", "tokens").mapInArrow(tidied(index), "sig bigint, blocks bigint, node bigint, n bigint, bits binary")
-    cells = _dealt(keyed, "blocks", "node", "sig").select("cell", "node", "n", "bits").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
-    close = components(cells.mapInArrow(tidied(lambda b: _forest_by_bitmap(b, rule)), "a bigint, b bigint"))
-    close = materialize(close, "join-candidates")
-
-    volume = close.join(classes.select("node", "n", "key", "best._id"), "node")
-    volume = materialize(volume, "join-candidate-sets")
-    blocks = volume.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    work = lambda b: _forest_by_bitmap(b, rule)
+
+    def keyed(tokens: DataFrame, many: bool) -> DataFrame:
+        """The signatures of documents, those under which more than a block may meet or the others; (key, node, n, bits)."""
+
+        def index(batches):
+            for b in batches:
+                keys, at = [], []
+                for i, (n, got) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                    found = dict(_signatures(n, [(x["pos"], x["token"] & (2**64 - 1), x["c"]) for x in got], rule))
+                    mine = [k for k, most in found.items() if (most > BLOCK_DOCS) == many]
+                    keys += map(_signed, mine)
+                    at += [i] * len(mine)
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(at) for k in range(3))], names=["key", "node", "n", "bits"])
+
+        shared = tokens.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("pos", "token", "c")).alias("tokens"))
+        found = shared.join(classes.select("node", "n", "bits"), "node").select("node", "n", "bits", "tokens")
+        return found.mapInArrow(tidied(index), "key bigint, node bigint, n bigint, bits binary")
+
+    cells = keyed(tokens, False).withColumnRenamed("key", "cell").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
+    links = cells.mapInArrow(tidied(work), "a bigint, b bigint")
+    hot = counts.where(F.col("c") > BLOCK_DOCS)
+    if not hot.isEmpty():
+        # Only documents with a shingle of so many can have such a signature; how many really meet under it is counted.
+        some = materialize(tokens.join(tokens.join(hot, "token").select("node").distinct(), "node", "left_semi"), "join-frequent")
+        rows = materialize(keyed(some, True), "join-frequent-keys")
+        true = materialize(rows.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1").withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS)), "join-frequent-counts")
+        rows = rows.join(true, "key")
+        few = rows.where("blocks = 1").select(F.col("key").alias("cell"), "node", "n", "bits").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
+        links = links.union(few.mapInArrow(tidied(work), "a bigint, b bigint"))
+        if not true.where("blocks > 1").isEmpty():
+            links = links.union(_large(materialize(rows.where("blocks > 1"), "join-frequent-large"), work, "bits"))
+    return components(links)
+
+
+def _verified(rows: DataFrame, classes: DataFrame, close: DataFrame, shingle: int, rule: Rule) -> DataFrame:
+    """(node, root) of the components of true links inside those of candidates. The sets are made again from the texts."""
+    spark = classes.sparkSession
+    work = lambda b: _forest_by_set(b, rule)
+    volume = materialize(close.join(classes.select("node", "n", "key", "best._id"), "node"), "join-candidate-sets")
+    drop(close)
+    blocks = volume.groupBy("root").agg(F.count("*").alias("docs"), F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).alias("blocks"))
+    blocks = materialize(blocks, "join-candidate-blocks")
     wanted = volume.select(F.col("_id").alias("_want")).distinct()
     read = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_want")), "left_semi")
 
@@ -324,37 +485,36 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
                 got = [shingles(t, shingle) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in got], pa.binary()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["key", "shingles"])
 
-    read = read.select("_text").mapInArrow(tidied(again), "key binary, shingles array<bigint>").join(volume.select("key", "node", "root"), "key")
-    read = read.groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")).join(blocks, "root")
-    cells = _dealt(read, "blocks", "node", "root").select("cell", "node", "shingles").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
-    found = materialize(components(cells.mapInArrow(tidied(lambda b: _forest_by_set(b, rule)), "a bigint, b bigint")), "join-components")
-
-    members = found.join(classes.select("node", "best"), "node")
-    least = members.groupBy("root").agg(F.min("best").alias("first"))
-    named = members.join(least, "root").select("node", "first")
-    ids = classes.select("key", "node", "best").join(named, "node", "left")
-    ids = materialize(ids.select("key", F.coalesce("first", "best").alias("best")), "join-class-ids")
-    plain = every.select("_id", "hash", "uid", "n", "key")
-    linked = plain.where("n > 0").join(ids, "key").select("_id", "n", "best._id", "hash", F.col("uid") == F.col("best.uid"))
-    empty = plain.where("n = 0").select("_id", "n", F.col("_id"), "hash", F.lit(True))
-    return linked.union(empty).toDF(id_col, "n_shingles", "component_id", "text_hash", "kept")
+    named = volume.join(blocks, "root").select("key", "node", "n", F.col("root").alias("group"), "docs", "blocks")
+    read = read.select("_text").mapInArrow(tidied(again), "key binary, shingles array<bigint>").join(named, "key")
+    read = read.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "group", "docs", "blocks", "shingles")])
+    many = not blocks.where("blocks > 1").isEmpty()
+    if many:
+        read = materialize(read, "join-verified-sets")
+    few = read.where("blocks = 1").select(F.xxhash64("group").alias("cell"), "node", "shingles").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
+    links = few.mapInArrow(tidied(work), "a bigint, b bigint")
+    if many:
+        large = materialize(read.where("blocks > 1").withColumnRenamed("group", "key"), "join-verified-large")
+        links = links.union(_large(large, work, "shingles"))
+    return components(links)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``join`` keeps: one of each component. Only keys of what goes are joined with the texts; rows that
-    repeat an id and its text and of which one stays are thinned apart."""
-    marked = materialize(join(docs, shingle, num, den, id_col, text_col).groupBy(id_col, "text_hash").agg(F.sum(F.col("kept").cast("long")).alias("_stay"), F.count("*").alias("_rows")), "join-marks")
-    marked = marked.where("_stay < _rows").withColumnRenamed(id_col, "_key").withColumnRenamed("text_hash", "_hash")
-    named = docs.withColumn("_h", F.xxhash64(text_col))
-    same = named[id_col].eqNullSafe(marked["_key"]) & (named["_h"] == marked["_hash"])
-    kept = named.join(marked.select("_key", "_hash"), same, "left_anti")
-    if not marked.where("_stay > 0").isEmpty():
-        some = marked.where("_stay > 0")
-        again = named.join(some, named[id_col].eqNullSafe(some["_key"]) & (named["_h"] == some["_hash"]))
-        turn = Window.partitionBy("_key", "_hash").orderBy(*[F.col(c) for c in docs.columns if c != text_col])
-        again = again.withColumn("_turn", F.row_number().over(turn)).where("_turn <= _stay")
-        kept = kept.unionByName(again.select(*named.columns))
-    return kept.select(*docs.columns)
+    """The rows of ``docs`` that ``join`` keeps: one of each component, and every row without shingles. Only keys of what goes are
+    joined with the texts; rows that repeat an id and its text and of which one stays are thinned apart, by a hash of the whole row.
+    Null ids are ids; all columns come back as they are, whatever their names. An empty input gives no rows."""
+    with passing(docs.sparkSession) as keep:
+        marked = join(docs, shingle, num, den, id_col, text_col).groupBy(id_col, "text_hash").agg(F.sum(F.col("kept").cast("long")).alias("_stay"), F.count("*").alias("_rows"))
+        marked = keep(materialize(marked.where("_stay < _rows").withColumnsRenamed({id_col: "_key", "text_hash": "_hash"}), "join-marks"))
+    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"))
+    same = F.col("_i").eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash"))
+    kept = named.join(marked.select("_key", "_hash"), same, "left_anti").select("_row")
+    some = marked.where("_stay > 0")
+    if not some.isEmpty():
+        turn = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64("_row"))
+        again = named.join(some, same).withColumn("_turn", F.row_number().over(turn)).where("_turn <= _stay")
+        kept = kept.unionByName(again.select("_row"))
+    return kept.select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
