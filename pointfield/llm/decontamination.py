@@ -2,27 +2,31 @@
 
 Benchmark items are cut into windows of WINDOW words. Of every W consecutive k-gram hashes of a text the minimum
 is kept as a fingerprint; with k + W - 1 = WINDOW, any shared window has a fingerprint in common with the
-benchmark. Document fingerprints are joined with the benchmark's on each executor (a map-side join against a
-block of the benchmark of bounded size), and each hit is extended to the windows around it, which must be equal word
+benchmark. Document fingerprints are joined on each executor with those of the benchmark (a map-side join: an index of bounded size
+that a worker builds once), and each hit is extended to the windows around it, which must be equal word
 for word. Items shorter than WINDOW are one window each and get their own k and W.
 
-The documents are never shuffled. A benchmark larger than a block is worked off in blocks for each slice of documents;
-one larger than GROUP_WORDS in several passes, each written before the next begins.
+The documents are never shuffled. A benchmark of more than GROUP_WORDS is worked off in several passes, each written before the next
+begins; an item is never cut, so one that is longer makes a larger pass.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, short_batches, text_slices, tidied
+from .common import documents, drop, materialize, per_worker, short_batches, text_slices, tidied
 
 WINDOW, K = 10, 5
-#: Words of benchmark that an executor indexes at a time, and that are broadcast at once.
-BLOCK_WORDS, GROUP_WORDS = 200_000, 4_000_000
+#: Words of benchmark that are broadcast and indexed at once: some 30 bytes of a worker's memory each, and 100 a distinct word.
+GROUP_WORDS = 4_000_000
+#: Candidate windows that are compared at a time.
+COMPARED = 100_000
 
 # Word bytes are digits, lower-case letters and all of non-ASCII; A-Z become lower case, everything else a space.
 _TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -68,40 +72,88 @@ def winnow(ids: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+class _Level:
+    """The windows of one length: their places in the sequence of all words, by hash, and their fingerprints."""
+
+    def __init__(self, size: int, starts: np.ndarray, item: np.ndarray, prints: np.ndarray, flat: np.ndarray):
+        self.size, self.k = size, min(K, size)
+        self.w = size - self.k + 1
+        h = np.concatenate([_hashed(flat, starts[i : i + COMPARED], size) for i in range(0, len(starts), COMPARED)])
+        order = np.lexsort((item, h))
+        h, starts, item = h[order], starts[order], item[order]
+        again = (h[1:] == h[:-1]) & (item[1:] == item[:-1])  # a window that an item repeats counts once
+        for j in range(size):
+            again &= flat[starts[1:] + j] == flat[starts[:-1] + j]
+        keep = np.concatenate([[True], ~again])
+        self.hashes, self.starts, self.item = h[keep], starts[keep], item[keep]
+        self.prints = np.unique(prints)
+
+
+def _hashed(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows that begin there."""
+    h = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + ids[starts + j].astype(np.uint64) + np.uint64(1)
+        return _mixed(h)
+
+
 class Index:
-    """A block of the benchmark: its vocabulary, windows by length, and the fingerprints of each length."""
+    """A part of the benchmark: its vocabulary, all its words in sequence, and its windows by length."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.levels: dict[int, tuple[int, int, dict[bytes, set[str]], set[int]]] = {}
-        for item, text in items:
+        self.names: list[str] = []
+        parts: list[np.ndarray] = []
+        by_size: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        at = 0
+        for name, text in items:
             got = words(text)
             if not got:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in got], np.int32)
             size = min(window, len(ids))
             k = min(K, size)
-            _, _, windows, prints = self.levels.setdefault(size, (k, size - k + 1, {}, set()))
-            for s in range(len(ids) - size + 1):
-                windows.setdefault(ids[s : s + size].tobytes(), set()).add(item)
-            prints.update(winnow(ids, k, size - k + 1)[1].tolist())
-        self.sorted = {size: np.array(sorted(x[3]), np.uint64) for size, x in self.levels.items()}
+            by_size.setdefault(size, []).append((at, len(self.names), len(ids) - size + 1, winnow(ids, k, size - k + 1)[1]))
+            self.names.append(name)
+            parts.append(ids)
+            at += len(ids)
+        self.flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        self.levels = []
+        for size, some in by_size.items():
+            starts = np.concatenate([np.arange(a, a + n, dtype=np.int32) for a, _, n, _ in some])
+            item = np.concatenate([np.full(n, i, np.int32) for _, i, n, _ in some])
+            self.levels.append(_Level(size, starts, item, np.concatenate([p for *_, p in some]), self.flat))
 
     def search(self, ids: np.ndarray):
-        """(start, size, items) of each occurrence of a window."""
-        for size, (k, w, windows, _) in self.levels.items():
-            at, h = winnow(ids, k, w)
-            known = self.sorted[size]
-            near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            done = -1
-            for p in at[known[near] == h].tolist():
-                for s in range(max(p + k - size, done + 1, 0), min(p, len(ids) - size) + 1):
-                    done = s
-                    if found := windows.get(ids[s : s + size].tobytes()):
-                        yield s, size, found
-
-
-def _matches(texts: list, blocks: list, window: int) -> tuple[list, list, list]:
+        """(starts, size, items) of the occurrences of windows, a row per window and item that has it."""
+        for level in self.levels:
+            size = level.size
+            at, h = winnow(ids, level.k, level.w)
+            near = np.minimum(np.searchsorted(level.prints, h), len(level.prints) - 1)
+            at = at[level.prints[near] == h]
+            if not len(at):
+                continue
+            around = (at[:, None] + np.arange(level.k - size, 1)).ravel()  # every window that holds the hit
+            around = np.unique(around[(around >= 0) & (around + size <= len(ids))])
+            for i in range(0, len(around), COMPARED):
+                starts = around[i : i + COMPARED]
+                h = _hashed(ids, starts, size)
+                low, high = np.searchsorted(level.hashes, h, "left"), np.searchsorted(level.hashes, h, "right")
+                n = high - low
+                starts, low, n = starts[n > 0], low[n > 0], n[n > 0]
+                for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(np.cumsum(n) // COMPARED)) + 1):
+                    m = n[part]
+                    mine = np.repeat(starts[part], m)
+                    theirs = np.repeat(low[part], m) + np.arange(len(mine)) - np.repeat(np.cumsum(m) - m, m)
+                    same = np.ones(len(mine), bool)
+                    for k in range(size):
+                        same &= ids[mine + k] == self.flat[level.starts[theirs] + k]
+                    if same.any():
+                        yield mine[same], size, level.item[theirs[same]]
+
+
+def _matches(texts: list, index: Index) -> tuple[list, list, list]:
     """Per text: number of words, hit stretches [start, end), items. The texts are searched as one sequence of words;
     between two of them stands a gap of a number that no benchmark word has."""
     split = [words(t) for t in texts]
@@ -109,17 +161,18 @@ def _matches(texts: list, blocks: list, window: int) -> tuple[list, list, list]:
     starts = np.cumsum([0] + [n + 1 for n in sizes])
     total = int(starts[-1])
     items: list[set[str]] = [set() for _ in texts]
-    hit = np.zeros(total + 1, bool)
-    for block in blocks:
-        index = block if isinstance(block, Index) else Index(block, window)
-        get = index.vocabulary.get
-        ids = np.zeros(total, np.int32)
-        for at, got in zip(starts.tolist(), split, strict=False):
-            ids[at : at + len(got)] = [get(w, 0) for w in got]
-        for s, size, found in index.search(ids):
-            hit[s : s + size] = True
-            items[int(np.searchsorted(starts, s, "right")) - 1].update(found)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    change = np.zeros(total + 1, np.int64)  # +1 where a window begins, -1 where it ends
+    get = index.vocabulary.get
+    ids = np.zeros(total, np.int32)
+    for at, got in zip(starts.tolist(), split, strict=False):
+        ids[at : at + len(got)] = [get(w, 0) for w in got]
+    for begin, size, item in index.search(ids):
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + size, -1)
+        doc = np.searchsorted(starts, begin, "right") - 1
+        for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
+            items[d].add(index.names[i])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(change) > 0).astype(np.int8), [0]])))
     spans: list[list[dict]] = [[] for _ in texts]
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         d = int(np.searchsorted(starts, a, "right")) - 1
@@ -158,33 +211,25 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     base = len(rows.columns)
     for g in range(groups):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g) if groups > 1 else bench
-        listed = [(r.item, r.text) for r in part.collect()]
-        blocks, held = [[]], 0
-        for item in listed:
-            n = len(item[1]) // 2 + 1
-            if blocks[-1] and held + n > BLOCK_WORDS:
-                blocks.append([])
-                held = 0
-            blocks[-1].append(item)
-            held += n
-        sent = spark.sparkContext.broadcast(blocks)
-
-        def work(batches, sent=sent):
-            use = sent.value
-            if len(use) == 1:
-                use = [Index(use[0], window)]
+        sent, name = spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()]), uuid.uuid4().hex
+
+        def work(batches, sent=sent, name=name):
+            index = None
             for whole in batches:
-                for b in text_slices(whole, text_col, (4 if len(use) == 1 else 64) << 20):
-                    sizes, spans, items = _matches(b.column(b.schema.get_field_index(text_col)).to_pylist(), use, window)
+                for b in text_slices(whole, text_col):
+                    if index is None:
+                        index = per_worker(("benchmark", name), lambda: Index(sent.value, window))
+                    sizes, spans, items = _matches(b.column(b.schema.get_field_index(text_col)).to_pylist(), index)
                     if b.num_columns > base:  # found in the passes before
                         spans = [_merged(x + y) for x, y in zip(spans, b.column(base + 1).to_pylist(), strict=True)]
                         items = [x | set(y) for x, y in zip(items, b.column(base + 2).to_pylist(), strict=True)]
                     new = [pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*b.columns[:base], *new], names=schema.names)
 
-        rows = rows.mapInArrow(tidied(work), schema)
+        before, rows = rows, rows.mapInArrow(tidied(work), schema)
         if groups > 1:
             rows = materialize(rows, "decontamination")
+            drop(before)
     return rows
 
 

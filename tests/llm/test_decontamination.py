@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from pointfield.llm import decontamination as dc
 
@@ -56,11 +59,29 @@ def test_blocks_and_groups_change_nothing(tables, monkeypatch):
     docs = docs.limit(60)
     docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
     want = sorted(brute(docs.collect(), [tuple(r) for r in bench.collect()]), key=key)
-    monkeypatch.setattr(dc, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(dc, "COMPARED", 7)
     monkeypatch.setattr(dc, "GROUP_WORDS", 1500)
     assert sorted(shaped(dc.find(docs, bench)), key=key) == want
 
 
+def test_hot_windows(spark):
+    """Items that repeat a window, many items with one passage, and hashes that agree."""
+    items = [(i, "one two three four five six seven eight nine ten " + f"tail{i % 7}") for i in range(200)] + [(300, "a b " * 500), (301, "a a a")]
+    docs = [(1, "x one two three four five six seven eight nine ten y"), (2, "a b " * 300), (3, "a a"), (4, "b a a a b"), (5, "nine ten")]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(shaped(dc.find(d, b)), key=key) == sorted(brute(d.collect(), items), key=key)
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(dc, "_mixed", lambda x: x & np.uint64(3))
+    rng = random.Random(1)
+    items = [(str(i), " ".join(rng.choices("abcd", k=rng.randint(1, 30)))) for i in range(30)]
+    texts = [" ".join(rng.choices("abcde", k=200)) for _ in range(5)]
+    sizes, spans, found = dc._matches(texts, dc.Index(items, 10))
+    want = list(brute([Row(doc_id=0, text=t) for t in texts], items))
+    assert [(0, n, sum(s["end"] - s["start"] for s in x), len(f)) for n, x, f in zip(sizes, spans, found, strict=True)] == [w[:4] for w in want]
+
+
 def test_empty(odd, none, spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert {r[2] for r in shaped(dc.find(odd, bench))} == {0} and dc.find(none, bench).count() == 0
