@@ -22,6 +22,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, materialize, per_worker, short_batches, text_slices, tidied
 
@@ -243,7 +244,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     short_batches(docs.sparkSession)
     rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = T.StructType(list(rows.schema)).add("lang_pred", T.StringType()).add("score", T.DoubleType())
     sent, name = docs.sparkSession.sparkContext.broadcast(model.state()), uuid.uuid4().hex
 
     def work(batches):
@@ -253,7 +254,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 got = m.predict(b.column(b.schema.get_field_index(text_col)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return rows.mapInArrow(tidied(work), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidied(work), schema)
 
 
 def held_out():

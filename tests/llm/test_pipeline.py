@@ -89,3 +89,11 @@ def test_entry_has_it():
 
     names = list(e.queries())
     assert "pipeline" in names and [n for n in names if n.startswith("op")] and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_columns_of_any_name(spark, odd):
+    names = ("lang_pred", "score", "n_words", "spans", "items", "_size", "_h", "c1", "a.b")
+    docs = spark.createDataFrame([(*r[:4], *range(9)) for r in odd.collect() if r.doc_id is not None], "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    for _, f in cp.STAGES[:-1]:
+        got = f(spark, docs, SF)
+        assert got.columns == docs.columns and {tuple(r)[4:] for r in got.collect()} <= {tuple(range(9))}
