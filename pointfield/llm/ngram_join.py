@@ -13,8 +13,8 @@ differ are no more than the shingles in which the sets differ, so nothing over t
 each key gives a spanning forest, never all pairs. The forests' components hold every link. Inside each component
 the sets themselves are compared, again giving a spanning forest, now of true links, whose components are the result.
 
-A key or component of many documents is dealt out, and nothing is capped. First its documents are dealt into blocks, each with
-the same few of them besides; groups of near copies become one there. Where that leaves several parts, the largest
+A key or component of many documents is dealt out, and nothing is capped. First its documents are dealt into blocks (those of a component
+each with the same few of them besides); groups of near copies become one there. Where that leaves several parts, the largest
 stays in its blocks and the others meet each of them, and one another by pairs of blocks; documents of one part are not compared again.
 """
 
@@ -346,37 +346,43 @@ def _dealt(df: DataFrame, blocks: str, by: str, *keys) -> DataFrame:
     return out.withColumn("cell", cell).drop("_block", "_other")
 
 
-def _large(rows: DataFrame, work, payload: str) -> DataFrame:
-    """The links (a, b) that span those of every group of ``rows``, a written table (key, blocks, docs, node, n, payload) of groups that
-    are too large for a cell; docs is the number of a group's rows, blocks how many blocks they need. ``work`` makes links from cells."""
-    spark = rows.sparkSession
+def _links(cells: DataFrame, work, payload: str, *more: str) -> DataFrame:
+    """The links (a, b) that ``work`` makes of cells."""
+    spark = cells.sparkSession
+    cells = cells.select("cell", "node", "n", payload, *more).repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
+    return cells.mapInArrow(tidied(work), "a bigint, b bigint")
 
-    def links(cells: DataFrame, *more: str) -> DataFrame:
-        cells = cells.select("cell", "node", "n", payload, *more)
-        return cells.repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node").mapInArrow(tidied(work), "a bigint, b bigint")
 
-    # Blocks, each with the same few documents besides.
+def _large(rows: DataFrame, work, payload: str) -> DataFrame:
+    """The links (a, b) that span those of every group of ``rows``, a written table (key, blocks, docs, node, n, payload) of groups that
+    are too large for a cell; docs is the number of a group's rows, blocks how many blocks they need."""
     block = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
     pivot = F.pmod(F.xxhash64("node", "key", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("docs") / PIVOTS))) == 0
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     first = rows.withColumn("_block", F.explode(F.when(pivot, every).otherwise(F.array(block)))).withColumn("cell", F.xxhash64("key", "_block"))
-    found = materialize(links(first), "join-block-links")
+    found = materialize(_links(first, work, payload), "join-block-links")
     parts = components(found).withColumnRenamed("root", "part")
     rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    sizes = materialize(rows.groupBy("key", "part").agg(F.count("*").alias("_n")), "join-block-parts")
-    best = sizes.groupBy("key").agg(F.max(F.struct("_n", "part")).alias("_most"), F.count("*").alias("_parts")).where("_parts > 1")
-    rows = materialize(rows.join(best.select("key", "_most"), "key"), "join-block-rest")
-    if rows.isEmpty():
+    open_ = materialize(rows.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("key"), "join-open-groups")
+    if open_.isEmpty():
         return found
+    return found.union(_across(materialize(rows.join(open_, "key"), "join-open-rows"), work, payload))
+
+
+def _across(rows: DataFrame, work, payload: str) -> DataFrame:
+    """The links between the parts of groups, ``rows`` as in ``_large`` with the part that each row is in. The largest part of a
+    group stays in its blocks and the others meet each of them, and one another by pairs of blocks."""
+    sizes = materialize(rows.groupBy("key", "part").agg(F.count("*").alias("_n")), "join-parts")
+    rows = rows.join(sizes.groupBy("key").agg(F.max(F.struct("_n", "part")).alias("_most")), "key")
     share = lambda n: F.greatest(F.lit(1), F.ceil(F.col("blocks") * n / F.col("docs"))).cast("long")
     rows = rows.withColumn("_main", share(F.col("_most._n"))).withColumn("_rest", share(F.col("docs") - F.col("_most._n")))
     main, rest = rows.where(F.col("part") == F.col("_most.part")), rows.where(F.col("part") != F.col("_most.part"))
     columns = ("cell", "node", "n", payload, "part", "side")
     here = main.withColumn("cell", F.xxhash64("key", F.lit("main"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("_main")))).withColumn("side", F.lit(0))
     there = rest.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_main") - 1))).withColumn("cell", F.xxhash64("key", F.lit("main"), "_b")).withColumn("side", F.lit(1))
-    across = links(here.select(*columns).union(there.select(*columns)), "part", "side")
-    among = links(_dealt(rest, "_rest", "node", "key", F.lit("rest")), "part")
-    return found.union(across).union(among)
+    across = _links(here.select(*columns).union(there.select(*columns)), work, payload, "part", "side")
+    among = _links(_dealt(rest, "_rest", "node", "key", F.lit("rest")), work, payload, "part")
+    return across.union(among)
 
 
 def _parts(spark: SparkSession) -> int:
@@ -427,50 +433,67 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_co
     return linked.union(empty).toDF(id_col, "n_shingles", "component_id", "text_hash", "kept")
 
 
+def _block(key: int, node: int, blocks: int) -> int:
+    """The cell of a document under a signature that ``blocks`` blocks may be needed for."""
+    at = (((node ^ key) * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 32) % blocks
+    return int.from_bytes(hashlib.blake2b(f"{key}:{at}".encode(), digest_size=8).digest(), "big")
+
+
 def _candidates(classes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, root) of the components of pairs that meet under a signature and pass sizes and bitmaps."""
-    spark = classes.sparkSession
+    """(node, root) of the components of pairs that meet under a signature and pass sizes and bitmaps.
+
+    Documents under a signature that more than a block may have are dealt into blocks by a hash that differs from signature to
+    signature, each to one, so that what is alike soon hangs together. Then the signatures whose documents still are in several
+    parts are looked up, and those parts are compared."""
     tokens = classes.select("node", F.posexplode("low").alias("pos", "token"))
     counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "join-counts")
+    shared = tokens.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("pos", "token", "c")).alias("tokens"))
+    indexed = materialize(shared.join(classes.select("node", "n", "bits"), "node").select("node", "n", "bits", "tokens"), "join-index")
     work = lambda b: _forest_by_bitmap(b, rule)
 
-    def keyed(tokens: DataFrame, many: bool) -> DataFrame:
-        """The signatures of documents, those under which more than a block may meet or the others; (key, node, n, bits)."""
-
-        def index(batches):
-            for b in batches:
-                keys, at = [], []
-                for i, (n, got) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    found = dict(_signatures(n, [(x["pos"], x["token"] & (2**64 - 1), x["c"]) for x in got], rule))
-                    mine = [k for k, most in found.items() if (most > BLOCK_DOCS) == many]
-                    keys += map(_signed, mine)
-                    at += [i] * len(mine)
-                at = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(at) for k in range(3))], names=["key", "node", "n", "bits"])
-
-        shared = tokens.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("pos", "token", "c")).alias("tokens"))
-        found = shared.join(classes.select("node", "n", "bits"), "node").select("node", "n", "bits", "tokens")
-        return found.mapInArrow(tidied(index), "key bigint, node bigint, n bigint, bits binary")
-
-    cells = keyed(tokens, False).withColumnRenamed("key", "cell").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
-    links = cells.mapInArrow(tidied(work), "a bigint, b bigint")
-    hot = counts.where(F.col("c") > BLOCK_DOCS)
-    if not hot.isEmpty():
-        # Only documents with a shingle of so many can have such a signature; how many really meet under it is counted.
-        some = materialize(tokens.join(tokens.join(hot, "token").select("node").distinct(), "node", "left_semi"), "join-frequent")
-        rows = materialize(keyed(some, True), "join-frequent-keys")
-        true = materialize(rows.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1").withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS)), "join-frequent-counts")
-        rows = rows.join(true, "key")
-        few = rows.where("blocks = 1").select(F.col("key").alias("cell"), "node", "n", "bits").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
-        links = links.union(few.mapInArrow(tidied(work), "a bigint, b bigint"))
-        if not true.where("blocks > 1").isEmpty():
-            links = links.union(_large(materialize(rows.where("blocks > 1"), "join-frequent-large"), work, "bits"))
-    return components(links)
+    def signed(row_n, got):
+        return dict(_signatures(row_n, [(x["pos"], x["token"] & (2**64 - 1), x["c"]) for x in got], rule))
+
+    def dealt(batches):
+        for b in batches:
+            keys, at = [], []
+            for i, (node, n, got) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                mine = [_signed(k if most <= BLOCK_DOCS else _block(k, node, -(-most // BLOCK_DOCS))) for k, most in signed(n, got).items()]
+                keys += mine
+                at += [i] * len(mine)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(at) for k in range(3))], names=["cell", "node", "n", "bits"])
+
+    def large(batches):
+        for b in batches:
+            keys, at = [], []
+            for i, (n, got) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                mine = [_signed(k) for k, most in signed(n, got).items() if most > BLOCK_DOCS]
+                keys += mine
+                at += [i] * len(mine)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(at) for k in (0, 1, 2, 4))], names=["key", "node", "n", "bits", "part"])
+
+    close = components(_links(indexed.mapInArrow(tidied(dealt), "cell bigint, node bigint, n bigint, bits binary"), work, "bits"))
+    some = indexed.where(F.exists("tokens", lambda t: t["c"] > BLOCK_DOCS))
+    if some.isEmpty():
+        return close
+    some = some.join(close, "node", "left").select("node", "n", "bits", "tokens", F.coalesce("root", "node").alias("part"))
+    some = materialize(some, "join-frequent")
+    rows = some.mapInArrow(tidied(large), "key bigint, node bigint, n bigint, bits binary, part bigint")
+    open_ = rows.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count("*").alias("docs")).where("_a <> _b")
+    open_ = materialize(open_.select("key", "docs", F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks")), "join-open-keys")
+    if open_.isEmpty():
+        return close
+    rows = materialize(rows.join(open_, "key"), "join-open-rows")
+    links = _links(rows.where("blocks = 1").withColumnRenamed("key", "cell"), work, "bits", "part")
+    if not open_.where("blocks > 1").isEmpty():
+        links = links.union(_across(rows.where("blocks > 1"), work, "bits"))
+    return components(links.union(close.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _verified(rows: DataFrame, classes: DataFrame, close: DataFrame, shingle: int, rule: Rule) -> DataFrame:
     """(node, root) of the components of true links inside those of candidates. The sets are made again from the texts."""
-    spark = classes.sparkSession
     work = lambda b: _forest_by_set(b, rule)
     volume = materialize(close.join(classes.select("node", "n", "key", "best._id"), "node"), "join-candidate-sets")
     drop(close)
@@ -491,8 +514,7 @@ def _verified(rows: DataFrame, classes: DataFrame, close: DataFrame, shingle: in
     many = not blocks.where("blocks > 1").isEmpty()
     if many:
         read = materialize(read, "join-verified-sets")
-    few = read.where("blocks = 1").select(F.xxhash64("group").alias("cell"), "node", "shingles").repartition(_parts(spark), "cell").sortWithinPartitions("cell", "node")
-    links = few.mapInArrow(tidied(work), "a bigint, b bigint")
+    links = _links(read.where("blocks = 1").withColumn("cell", F.xxhash64("group")), work, "shingles")
     if many:
         large = materialize(read.where("blocks > 1").withColumnRenamed("group", "key"), "join-verified-large")
         links = links.union(_large(large, work, "shingles"))
