@@ -29,7 +29,7 @@ from .common import documents, materialize, per_worker, short_batches, text_slic
 MAX_ROWS, MAX_N = 20_000, 4
 UNKNOWN = "und"
 #: Words and characters of words that a worker remembers at most, beyond one slice of texts.
-CACHE, CACHE_CHARACTERS = 300_000, 8_000_000
+CACHE, CACHE_CHARACTERS = 200_000, 4_000_000
 SMOOTH = 0.5
 #: The table of languages (a name and two numbers a row) is broadcast up to so many rows; beyond, the optimizer chooses.
 BROADCAST_LANGUAGES = 10_000

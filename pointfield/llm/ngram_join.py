@@ -36,6 +36,8 @@ from .graph import components
 FREQUENT = 16
 #: Documents of a block of an index key or of a component; shingles of a block of a component; documents that all first blocks have.
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 2_000, 1_000_000, 16
+#: Signatures whose documents stay in several parts are sent to workers up to so many, some 500 bytes each; beyond, they are joined.
+OPEN_KEYS = 50_000
 #: Rows of a cell from which on a document is compared with all others of it at once.
 WIDE_CELL = 48
 #: Bits of a bitmap for each shingle: of those that are shuffled, and of those made where the sets are at hand.
@@ -353,7 +355,7 @@ def _links(cells: DataFrame, work, payload: str, *more: str) -> DataFrame:
     return cells.mapInArrow(tidied(work), "a bigint, b bigint")
 
 
-def _large(rows: DataFrame, work, payload: str) -> DataFrame:
+def _large(rows: DataFrame, work, payload: str, rule: Rule) -> DataFrame:
     """The links (a, b) that span those of every group of ``rows``, a written table (key, blocks, docs, node, n, payload) of groups that
     are too large for a cell; docs is the number of a group's rows, blocks how many blocks they need."""
     block = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
@@ -363,17 +365,34 @@ def _large(rows: DataFrame, work, payload: str) -> DataFrame:
     found = materialize(_links(first, work, payload), "join-block-links")
     parts = components(found).withColumnRenamed("root", "part")
     rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_ = materialize(rows.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("key"), "join-open-groups")
-    if open_.isEmpty():
-        return found
-    return found.union(_across(materialize(rows.join(open_, "key"), "join-open-rows"), work, payload))
+    apart = _apart(rows)
+    return found if apart.isEmpty() else found.union(_across(_open(rows.drop("docs"), apart, rule), work, payload))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Of the groups of ``rows`` (key, node, n, part) those in several parts: (key, docs, _most, _low, _high), with the number of rows, size
+    and name of the largest part, and the least and greatest n in the others. Of groups with the same documents, told by their
+    number and 128 bits of hashes, one stands for all."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"_x{i}") for i in (1, 2)]
+    sizes = materialize(rows.groupBy("key", "part").agg(F.count("*").alias("_n"), F.min("n").alias("_low"), F.max("n").alias("_high"), *marks), "join-parts")
+    again = [F.bit_xor(f"_x{i}").alias(f"_x{i}") for i in (1, 2)]
+    groups = sizes.groupBy("key").agg(F.sum("_n").alias("docs"), F.max(F.struct("_n", "part")).alias("_most"), F.count("*").alias("_parts"), *again).where("_parts > 1")
+    groups = groups.groupBy("docs", "_x1", "_x2").agg(F.min(F.struct("key", "_most")).alias("_g")).select("_g.*", "docs")
+    rest = sizes.join(groups, "key").where("part <> _most.part").groupBy("key").agg(F.first("docs").alias("docs"), F.first("_most").alias("_most"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    return materialize(rest, "join-apart")
+
+
+def _open(rows: DataFrame, apart: DataFrame, rule: Rule) -> DataFrame:
+    """The ``rows`` of groups in several parts, with docs and _most; of a largest part only those whose size allows a link with the others."""
+    apart = apart.withColumnRenamed("key", "_k")
+    fits = (F.col("n") * rule.den >= F.col("_low") * rule.num) & (F.col("_high") * rule.den >= F.col("n") * rule.num)
+    rows = rows.join(apart, (F.col("key") == F.col("_k")) & (fits | (F.col("part") != F.col("_most.part"))))
+    return materialize(rows.drop("_k", "_low", "_high"), "join-open-rows")
 
 
 def _across(rows: DataFrame, work, payload: str) -> DataFrame:
-    """The links between the parts of groups, ``rows`` as in ``_large`` with the part that each row is in. The largest part of a
-    group stays in its blocks and the others meet each of them, and one another by pairs of blocks."""
-    sizes = materialize(rows.groupBy("key", "part").agg(F.count("*").alias("_n")), "join-parts")
-    rows = rows.join(sizes.groupBy("key").agg(F.max(F.struct("_n", "part")).alias("_most")), "key")
+    """The links between the parts of groups, ``rows`` as in ``_large`` with the part that each row is in and the group's largest, _most.
+    That stays in its blocks and the others meet each of them, and one another by pairs of blocks."""
     share = lambda n: F.greatest(F.lit(1), F.ceil(F.col("blocks") * n / F.col("docs"))).cast("long")
     rows = rows.withColumn("_main", share(F.col("_most._n"))).withColumn("_rest", share(F.col("docs") - F.col("_most._n")))
     main, rest = rows.where(F.col("part") == F.col("_most.part")), rows.where(F.col("part") != F.col("_most.part"))
@@ -464,15 +483,25 @@ def _candidates(classes: DataFrame, rule: Rule) -> DataFrame:
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(at) for k in range(3))], names=["cell", "node", "n", "bits"])
 
-    def large(batches):
+    def large(batches, wanted=None):
         for b in batches:
-            keys, at = [], []
-            for i, (n, got) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            keys, at, more = [], [], []
+            rows = zip(*(b.column(c).to_pylist() for c in (1, 3, 4)), strict=True)
+            for i, (n, got, part) in enumerate(rows):
                 mine = [_signed(k) for k, most in signed(n, got).items() if most > BLOCK_DOCS]
+                if wanted is not None:
+                    kept = [(k, x) for k in mine if (x := wanted.get(k)) and (part != x[1]["part"] or (n * rule.den >= x[2] * rule.num and x[3] * rule.den >= n * rule.num))]
+                    mine = [k for k, _ in kept]
+                    more += [x for _, x in kept]
                 keys += mine
                 at += [i] * len(mine)
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(at) for k in (0, 1, 2, 4))], names=["key", "node", "n", "bits", "part"])
+            columns = [pa.array(keys, pa.int64()), *(b.column(k).take(at) for k in (0, 1, 2, 4))]
+            names = ["key", "node", "n", "bits", "part"]
+            if wanted is not None:
+                most = pa.array([x[1] for x in more], pa.struct([("_n", pa.int64()), ("part", pa.int64())]))
+                columns, names = [*columns, pa.array([x[0] for x in more], pa.int64()), most], [*names, "docs", "_most"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     close = components(_links(indexed.mapInArrow(tidied(dealt), "cell bigint, node bigint, n bigint, bits binary"), work, "bits"))
     some = indexed.where(F.exists("tokens", lambda t: t["c"] > BLOCK_DOCS))
@@ -481,13 +510,18 @@ def _candidates(classes: DataFrame, rule: Rule) -> DataFrame:
     some = some.join(close, "node", "left").select("node", "n", "bits", "tokens", F.coalesce("root", "node").alias("part"))
     some = materialize(some, "join-frequent")
     rows = some.mapInArrow(tidied(large), "key bigint, node bigint, n bigint, bits binary, part bigint")
-    open_ = rows.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count("*").alias("docs")).where("_a <> _b")
-    open_ = materialize(open_.select("key", "docs", F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks")), "join-open-keys")
-    if open_.isEmpty():
+    apart = _apart(rows)
+    if apart.isEmpty():
         return close
-    rows = materialize(rows.join(open_, "key"), "join-open-rows")
+    if apart.count() <= OPEN_KEYS:  # sent to the workers, so that only rows of these signatures are made
+        sent = apart.sparkSession.sparkContext.broadcast({r.key: (r.docs, {"_n": r._most._n, "part": r._most.part}, r._low, r._high) for r in apart.collect()})
+        rows = some.mapInArrow(tidied(lambda b: large(b, sent.value)), "key bigint, node bigint, n bigint, bits binary, part bigint, docs bigint, _most struct<_n: bigint, part: bigint>")
+        rows = materialize(rows, "join-open-rows")
+    else:
+        rows = _open(rows, apart, rule)
+    rows = rows.withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS))
     links = _links(rows.where("blocks = 1").withColumnRenamed("key", "cell"), work, "bits", "part")
-    if not open_.where("blocks > 1").isEmpty():
+    if not rows.where("blocks > 1").isEmpty():
         links = links.union(_across(rows.where("blocks > 1"), work, "bits"))
     return components(links.union(close.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
@@ -517,7 +551,7 @@ def _verified(rows: DataFrame, classes: DataFrame, close: DataFrame, shingle: in
     links = _links(read.where("blocks = 1").withColumn("cell", F.xxhash64("group")), work, "shingles")
     if many:
         large = materialize(read.where("blocks > 1").withColumnRenamed("group", "key"), "join-verified-large")
-        links = links.union(_large(large, work, "shingles"))
+        links = links.union(_large(large, work, "shingles", rule))
     return components(links)
 
 

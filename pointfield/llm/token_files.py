@@ -27,7 +27,7 @@ from .common import documents, materialize, per_worker, scratch_dir, short_batch
 SEQUENCE, ROWS = 1024, 256
 END_ID = 2
 #: Pre-tokens that a worker remembers at most, and the characters of the longest of them.
-CACHE, LONG = 1_000_000, 48
+CACHE, LONG = 500_000, 48
 
 # The pre-token pattern of the byte-level vocabulary, in the form that agrees with it on the characters of _PLAIN.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")

@@ -71,7 +71,9 @@ def test_equals_brute_force(near, k, num, den, monkeypatch):
     assert len({r[2] for r in want}) < len(want)
 
 
-def test_frequent_shingles_and_blocks(near, monkeypatch):
+@pytest.mark.parametrize("keys", [0, 50_000])
+def test_frequent_shingles_and_blocks(near, monkeypatch, keys):
+    monkeypatch.setattr(nj, "OPEN_KEYS", keys)
     monkeypatch.setattr(nj, "FREQUENT", 2)
     monkeypatch.setattr(nj, "BLOCK_DOCS", 4)
     monkeypatch.setattr(nj, "BLOCK_SHINGLES", 300)
