@@ -76,6 +76,10 @@ for key, guarded in (("t01_curvatures_plain", False), ("t03_curvatures_guarded",
     over_patches(key, k_min=k_min, k_max=k_max, **dict(zip(("hx", "hy", "hz"), normal, strict=True)))
 k_min, k_max, v_min, v_max, normal = torus.curvatures(N, COEFFS, False)
 over_patches("t02_principal_directions", **dict(zip(("lx", "ly", "lz", "mx", "my", "mz"), v_min + v_max, strict=True)))
+# The same from a table of nine: the six as before, and three of higher degree that don't bend the origin.
+TABLE = {f"c{n[1]}{n[2]}": col(n) for n in torus.NAMES} | {"c12": col("a11") * 3, "c21": col("a20") + 1, "c22": num(7)}
+k_low, k_high, v_low, _, up = torus.curvatures(N, {n: TABLE[e.form] for n, e in torus.polynomial().items()}, False)
+over_patches("t04_curvatures_of_polynomial", k_min=k_low, k_max=k_high, **dict(zip(("vx", "vy", "vz", "hx", "hy", "hz"), v_low + up, strict=True)))
 over_patches("t09_principal_curvatures", k_min=k_min, k_max=k_max)
 over_patches("t05_fit_torus", **torus.fit(P, N, COEFFS))
 over_patches("t07_fit_torus_sphere_patch", "coeffs_sphere", minor_r=torus.fit(P, N, COEFFS)["minor_r"], major_r=torus.fit(P, N, COEFFS)["major_r"], cz=torus.fit(P, N, COEFFS)["cz"])

@@ -191,3 +191,35 @@ def test_radius_of_nothing(spark):
     assert sorted((r.qid, r.pid, r.d) for r in neighbours.within(asked, cloud, 0.0).collect()) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 0.0)]
     assert neighbours.within(asked, cloud, -1.0).count() == 0
     assert sorted((r.qid, r.pid) for r in neighbours.knn(asked, cloud, 5).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_curvatures_against_the_shape_operator(spark):
+    """Eigenvalues and directions by numpy, from the two forms; the polynomial's table gives the same; fits lie on the surface."""
+    from pointfield.functions import torus
+    from pointfield.functions.expr import Program, vec
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        n = rng.normal(size=3)
+        n /= np.linalg.norm(n)
+        rows.append((i, *map(float, rng.normal(size=3)), *map(float, n), *map(float, rng.uniform(-1, 1, 6))))
+    df = spark.createDataFrame(rows, "pid bigint, x double, y double, z double, nx double, ny double, nz double, " + ", ".join(f"{c} double" for c in torus.NAMES))
+    named = df.withColumnsRenamed({c: f"c{c[1]}{c[2]}" for c in torus.NAMES})
+    outputs = lambda c: dict(zip(("lo", "hi", "vx", "vy", "vz"), (*(k := torus.curvatures(vec("n"), c))[:2], *k[2]), strict=True))
+    got = {r.pid: r for r in Program(**outputs(torus.coefficients())).on(df, "pid").collect()}
+    assert got == {r.pid: r for r in Program(**outputs(torus.polynomial())).on(named, "pid").collect()}
+    for r in df.collect():
+        n = np.array([r.nx, r.ny, r.nz])
+        u = np.array([0, 1, 0] if abs(n[0]) > 0.9 else [1, 0, 0])
+        s = np.cross(n, u)
+        s /= np.linalg.norm(s)
+        t = np.cross(n, s)
+        ru, rv = s + r.a10 * n, t + r.a01 * n
+        first = np.array([[ru @ ru, ru @ rv], [ru @ rv, rv @ rv]])
+        second = np.array([[2 * r.a20, r.a11], [r.a11, 2 * r.a02]]) / np.linalg.norm(np.cross(ru, rv))
+        k, e = np.linalg.eig(np.linalg.solve(first, second))
+        at = int(np.argmin(abs(k)))
+        assert (got[r.pid].lo, got[r.pid].hi) == pytest.approx((k[at], k[1 - at]), rel=1e-7)
+        v, w = e[0, at] * ru + e[1, at] * rv, np.array([got[r.pid].vx, got[r.pid].vy, got[r.pid].vz])
+        assert abs(v @ w) == pytest.approx(np.linalg.norm(v) * np.linalg.norm(w), rel=1e-9)
