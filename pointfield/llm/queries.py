@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, filter_audit, html_text, language_id, licenses, mixing, ngram_join, secrets, token_counts, token_files
+from . import decontamination, exact_dedup, filter_audit, html_text, language_id, licenses, mixing, ngram_join, secrets, token_counts, token_files, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secrets.query,
     "op10_license_scan": licenses.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_warc": warc.query,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op6_ngram_join": ngram_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_warc": warc.SQL,
 }
