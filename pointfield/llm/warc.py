@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, passing, scratch_dir, short_batches, text_slices, tidied
+from .common import BATCH_BYTES, materialize, passing, scratch_dir, short_batches, text_slices, tidied
 
 #: A group of more than 1 / HOT of all rows comes by broadcast: fewer than HOT groups can be so large.
 HOT = 10_000
@@ -146,8 +146,14 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id"
     def work(batches):
         for whole in batches:
             for b in text_slices(whole, "payload"):
-                made = [r for row in b.to_pylist() for r in _records(row, date)]
-                out = [member(r)[:-1] if compress else r[: -len(END)] for r in made]
+                out, size = [], 0
+                for row in b.to_pylist():
+                    for r in _records(row, date):
+                        out.append(member(r)[:-1] if compress else r[: -len(END)])
+                        size += len(out[-1])
+                        if size >= BATCH_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                            out, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     with passing(spark):
