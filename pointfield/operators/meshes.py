@@ -1,17 +1,25 @@
 """Distances, winding, rays and measures over triangle tables.
 
-A mesh is a table (fid, ax..cz). Queries that need every triangle meet them block by block in an equi-join, as clouds do.
+A mesh is a table (fid, ax..cz), or its tree as ``farfield.of_triangles`` makes it, which can be made once and searched often. The nearest triangle
+and the hits of rays are found by descent over the boxes of the tree's cells; signs come from winding numbers whose error is
+bounded. Sums over every triangle meet them block by block in an equi-join, as clouds do.
+
+Triangles without all corners are not there; without triangles there are no distances and no hits. Queries without a place and rays
+without an origin or direction have NULL distances and no hit. Ties go to the lower fid; ids are unique.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mesh
 from ..functions.expr import Program, col, dot, mul, norm, sub, vec, where
+from ..plans.session import materialize
+from . import farfield, neighbours
+from .neighbours import BROADCAST_CELLS, Tree
 
 BLOCK = 2_000
 TRIANGLE = ("ax", "ay", "az", "bx", "by_", "bz", "cx", "cy", "cz")
@@ -36,40 +44,120 @@ POINT = mesh.closest_on_triangle(vec(""), *mesh.corners())
 PER_PAIR = {"px": POINT[0], "py": POINT[1], "pz": POINT[2], "d": norm(sub(vec(""), POINT)), "angle": mesh.solid_angle(vec(""), *mesh.corners())}
 
 
+def tree(tri: DataFrame | Tree) -> Tree:
+    return tri if isinstance(tri, Tree) else farfield.of_triangles(tri)
+
+
 def distances(queries: DataFrame, tri: DataFrame) -> DataFrame:
-    """(qid, x, y, z, winding, fid, px, py, pz, d): the nearest point of the mesh, ties to the lower fid, and the sum of solid angles,
-    in one aggregation."""
+    """(qid, x, y, z, winding, fid, px, py, pz, d): the nearest point of the mesh, ties to the lower fid, and the exact sum of solid angles,
+    in one aggregation over all triangles."""
     pairs = Program(**PER_PAIR).on(with_triangles(queries, tri), "qid", "x", "y", "z", "fid")
     near = F.min(F.struct("d", "fid", "px", "py", "pz")).alias("near")
     return pairs.groupBy("qid", "x", "y", "z").agg(near, F.sum("angle").alias("winding")).select("qid", "x", "y", "z", "winding", "near.*")
 
 
+NEAREST = {c: e for c, e in PER_PAIR.items() if c != "angle"}
+
+
+def nearest(queries: DataFrame, tri: DataFrame | Tree) -> DataFrame:
+    """(qid, x, y, z, fid, px, py, pz, d): the nearest point of the mesh, from the triangles of those cells that may hold it."""
+    index = tree(tri)
+    corners = index.points.select(F.col("cell").alias("_up"), "fid", *TRIANGLE) if index.n else index.points.select(F.lit(0).cast("long").alias("_up"), "fid", *TRIANGLE)
+    pairs = Program(**NEAREST).on(neighbours.candidates(queries, index, 1).join(corners, "_up"), "qid", "fid")
+    best = pairs.groupBy("qid").agg(F.min(F.struct("d", "fid", "px", "py", "pz")).alias("near"))
+    return queries.select("qid", "x", "y", "z").join(best, "qid", "left").select("qid", "x", "y", "z", "near.*")
+
+
+def in_boxes(boxes: DataFrame, tri: DataFrame | Tree) -> DataFrame:
+    """(qid, fid) of the triangles whose own box meets a box (qid, blx .. bhz), borders included. Boxes with a NULL side meet nothing."""
+    index = tree(tri)
+    sides = [f"b{n}{c}" for n in "lh" for c in "xyz"]
+    meet = None
+    for c in "xyz":
+        this = (F.col(f"l{c}") <= F.col(f"bh{c}")) & (F.col(f"h{c}") >= F.col(f"bl{c}"))
+        meet = this if meet is None else meet & this
+    found = boxes.select("qid", *sides).withColumn("_up", F.lit(0).cast("long"))
+    for cells, n in index.levels:
+        cells = cells.select(F.col("up").alias("_up"), "cell", *neighbours.BOX)
+        found = found.join(F.broadcast(cells) if n <= BROADCAST_CELLS else cells, "_up").where(meet).select("qid", *sides, F.col("cell").alias("_up"))
+    own = index.points.select(F.col("cell").alias("_up") if index.n else F.lit(0).cast("long").alias("_up"), "fid", *neighbours.BOX)
+    return found.join(own, "_up").where(meet).select("qid", "fid")
+
+
 INSIDE = where(col("winding") > 2 * math.pi, -1.0, 1.0)
 SIGNED = {"distance": INSIDE * col("d")}
 SIGNED_GRADIENT = SIGNED | {f"g{c}": INSIDE * g for c, g in zip("xyz", mul(sub(vec(""), vec("p")), 1 / col("d")), strict=True)}
 
 
-def signed_distance(queries: DataFrame, tri: DataFrame, gradient: bool = False) -> DataFrame:
+def signed_distance(queries: DataFrame, tri: DataFrame | Tree, gradient: bool = False) -> DataFrame:
     """Negative inside a closed outward mesh; the gradient is NULL on the surface."""
-    return Program(**(SIGNED_GRADIENT if gradient else SIGNED)).on(distances(queries, tri), "qid")
+    index = tree(tri)
+    within = farfield.inside(queries, index, "solid_angle").select("qid", F.when(F.col("inside"), 4 * math.pi).otherwise(0.0).alias("winding"))
+    return Program(**(SIGNED_GRADIENT if gradient else SIGNED)).on(nearest(queries, index).join(within, "qid"), "qid")
 
 
 ORIGIN, DIRECTION = tuple(col(c) for c in ("ox", "oy", "oz")), tuple(col(c) for c in ("dx", "dy", "dz"))
+RAY = ("ox", "oy", "oz", "dx", "dy", "dz")
 CROSSING = mesh.ray_triangle(ORIGIN, DIRECTION, *mesh.corners())
-
-
-def first_hits(rays: DataFrame, tri: DataFrame, t_min: float = 0.0, t_max: float = math.inf) -> DataFrame:
-    """(rid, hit, t, fid, u, v): the nearest crossing with t in [t_min, t_max), ties to the lower fid."""
-    pairs = Program(**CROSSING).on(with_triangles(rays, tri), "rid", "fid")
-    ok = (F.col("t") >= t_min) & (F.col("t") < t_max)
-    first = F.min(F.when(ok, F.struct("t", "fid", "u", "v")))
-    got = pairs.groupBy("rid").agg(first.alias("f"))
-    return got.select("rid", F.col("f").isNotNull().alias("hit"), "f.t", "f.fid", "f.u", "f.v")
-
-
-def hit_points(rays: DataFrame, tri: DataFrame) -> DataFrame:
+#: Cells that a ray tries first; of the others only those that it enters before its first hit there.
+AHEAD = 4
+#: Boxes are wider by so much of the mesh's extent: a flat one has no inside that rounding could not miss.
+PAD = 1e-9
+
+
+def _ahead(rays: DataFrame, index: Tree, t_min: float, t_max: float) -> DataFrame:
+    """(rid, ray, _up, entry): the finest cells that a ray passes between t_min and t_max, and where it enters them."""
+    box = index.levels[0][0].agg(*[F.greatest(F.max(F.abs(f"h{c}")), F.max(F.abs(f"l{c}"))).alias(c) for c in "xyz"]).first()
+    pad = PAD * max(box)
+    entry, exit_ = mesh.ray_box(ORIGIN, DIRECTION, [col(f"l{c}") - pad for c in "xyz"], [col(f"h{c}") + pad for c in "xyz"])
+    program = Program(entry=entry, exit=exit_)
+    found = rays.select("rid", *RAY).withColumn("_up", F.lit(0).cast("long"))
+    for cells, n in index.levels:
+        cells = cells.select(F.col("up").alias("_up"), "cell", *neighbours.BOX)
+        met = program.on(found.join(F.broadcast(cells) if n <= BROADCAST_CELLS else cells, "_up"), "rid", *RAY, "cell")
+        met = met.where((F.col("entry") <= F.col("exit")) & (F.col("exit") >= t_min) & (F.col("entry") < t_max))
+        found = met.select("rid", *RAY, F.col("cell").alias("_up"), "entry")
+    return found
+
+
+def _crossed(ahead: DataFrame, index: Tree) -> DataFrame:
+    """(rid, fid, t, u, v) of the rays and the triangles of the cells ahead."""
+    corners = index.points.select(F.col("cell").alias("_up"), "fid", *TRIANGLE)
+    return Program(**CROSSING).on(ahead.join(corners, "_up"), "rid", "fid").where("t IS NOT NULL")
+
+
+def crossings(rays: DataFrame, tri: DataFrame | Tree) -> DataFrame:
+    """(rid, fid, t, u, v) of every crossing in front of a ray's origin."""
+    index = tree(tri)
+    if not index.n:
+        return rays.select("rid", *[F.lit(None).cast(k).alias(c) for c, k in (("fid", "bigint"), ("t", "double"), ("u", "double"), ("v", "double"))]).limit(0)
+    return _crossed(_ahead(rays, index, 0.0, math.inf), index)
+
+
+def first_hits(rays: DataFrame, tri: DataFrame | Tree, t_min: float = 0.0, t_max: float = math.inf) -> DataFrame:
+    """(rid, hit, t, fid, u, v): the nearest crossing with t in [t_min, t_max), ties to the lower fid. A ray meets the triangles of
+    its first cells; those of later cells only where these begin before the hit that it has by then."""
+    index = tree(tri)
+    if not index.n:
+        none = crossings(rays, index)
+        return rays.select("rid").join(none, "rid", "left").select("rid", F.lit(False).alias("hit"), "t", "fid", "u", "v")
+    order = Window.partitionBy("rid").orderBy("entry", "_up")
+    ahead = materialize(_ahead(rays, index, t_min, t_max).withColumn("_rank", F.row_number().over(order)), "ray-cells")
+
+    def best(cells: DataFrame) -> DataFrame:
+        ok = _crossed(cells.select("rid", *RAY, "_up"), index).where((F.col("t") >= t_min) & (F.col("t") < t_max))
+        return ok.groupBy("rid").agg(F.min(F.struct("t", "fid", "u", "v")).alias("f"))
+
+    near = materialize(best(ahead.where(F.col("_rank") <= AHEAD)), "ray-hits")
+    later = ahead.where(F.col("_rank") > AHEAD).join(near, "rid", "left").where(F.col("f").isNull() | (F.col("entry") <= F.col("f.t")))
+    got = near.unionByName(best(later)).groupBy("rid").agg(F.min("f").alias("f"))
+    return rays.select("rid").join(got, "rid", "left").select("rid", F.col("f").isNotNull().alias("hit"), "f.t", "f.fid", "f.u", "f.v")
+
+
+def hit_points(rays: DataFrame, tri: DataFrame | Tree) -> DataFrame:
     """(rid, x, y, z, nx, ny, nz) of rays that hit, the normal turned against the ray."""
-    hits = first_hits(rays, tri).where("hit").join(rays, "rid").join(tri, "fid")
+    index = tree(tri)
+    hits = first_hits(rays, index).where("hit").join(rays, "rid").join(index.points.select("fid", *TRIANGLE), "fid")
     return Program(**HIT).on(hits, "rid")
 
 

@@ -12,13 +12,12 @@ points that crowd far from a few others are told apart like any.
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import materialize, scratch_dir
+from ..plans.session import materialize
 
 #: Points that a cell of the finest level holds on average, on a surface; a cell with more than FULL is split.
 LEAF, FULL = 12, 512
@@ -63,25 +62,26 @@ class Tree:
     points: DataFrame
     levels: list
     n: int
+    #: What the places that totals are taken of were moved by; see ``farfield``.
+    middle: tuple = ()
 
 
-def _grid(points: DataFrame, depth: int, name) -> list:
+def _grid(points: DataFrame, depth: int, name, extents: bool = False, sums: tuple = ()) -> list:
     """Levels 1 to ``depth`` of points with (_root, _key); ``name`` gives the id of a cell from (root, its key, level). One aggregation."""
-    tight = [f(c).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
-    finest = points.groupBy("_root", "_key").agg(*tight, F.count("*").alias("m"))
+    tight = [f(f"{n}{c}" if extents else c).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
+    finest = points.groupBy("_root", "_key").agg(*tight, F.count("*").alias("m"), *[F.sum(c).alias(c) for c in sums])
     chain = F.array(*[F.struct(F.lit(k).alias("level"), name(F.col("_root"), _above(F.col("_key"), depth, k - 1), k - 1).alias("up"), name(F.col("_root"), _above(F.col("_key"), depth, k), k).alias("cell")) for k in range(1, depth + 1)])
-    every = finest.withColumn("_at", F.explode(chain)).select("_at.*", *BOX, "m")
+    every = finest.withColumn("_at", F.explode(chain)).select("_at.*", *BOX, "m", *sums)
     again = [f(f"{n}{c}").alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
-    every = every.groupBy("level", "up", "cell").agg(*again, F.sum("m").alias("m"))
-    path = f"{scratch_dir(points.sparkSession)}/cells-{uuid.uuid4().hex}"
-    every.write.partitionBy("level").parquet(path)
-    read = points.sparkSession.read.schema(every.schema).parquet(path)
+    every = every.groupBy("level", "up", "cell").agg(*again, F.sum("m").alias("m"), *[F.sum(c).alias(c) for c in sums])
+    read = materialize(every, "cells", "level")
     counts = {r.level: r["count"] for r in read.groupBy("level").count().collect()}
     return [(read.where(F.col("level") == k).drop("level"), counts[k]) for k in range(1, depth + 1)]
 
 
-def tree(cloud: DataFrame) -> Tree:
-    """Points without all three coordinates are in no cell and never found."""
+def tree(cloud: DataFrame, extents: bool = False, sums: tuple = ()) -> Tree:
+    """Points without all three coordinates are in no cell and never found. With ``extents`` the rows are objects about (x, y, z) with
+    boxes of their own, lx .. hz, which the cells' boxes enclose. Cells also have the totals of the columns ``sums``."""
     cloud = cloud.where("x is not null and y is not null and z is not null")
     box = bounds(cloud)
     if not box.n:
@@ -90,11 +90,15 @@ def tree(cloud: DataFrame) -> Tree:
     side = F.lit(max(box.max_x - box.min_x, box.max_y - box.min_y, box.max_z - box.min_z) or 1.0)
     depth = _depth(box.n)
     points = cloud.withColumn("cell", _key(depth, low, side))
-    levels = _grid(points.withColumns({"_root": F.lit(0).cast("long"), "_key": F.col("cell")}), depth, lambda root, key, level: key)
+    levels = _grid(points.withColumns({"_root": F.lit(0).cast("long"), "_key": F.col("cell")}), depth, lambda root, key, level: key, extents, sums)
     while True:  # a round splits what is full at an eighth of its box or finer, so boxes shrink until they hold few points or one place
         leaves, n = levels[-1]
         wide = F.greatest(*[F.col(f"h{c}") - F.col(f"l{c}") for c in "xyz"])
-        full = leaves.where((F.col("m") > FULL) & (wide > 0))
+        full = leaves.where(F.col("m") > FULL)
+        if extents:  # objects are dealt out by their places, which may be one place for all
+            places = [f(c).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
+            full = full.select("cell", "m").join(points.groupBy("cell").agg(*places), "cell")
+        full = full.where(wide > 0)
         most = full.agg(F.max("m"), F.count("*")).first()
         if not most[1]:
             return Tree(points, levels, box.n)
@@ -104,8 +108,8 @@ def tree(cloud: DataFrame) -> Tree:
         inside = inside.withColumn("_key", F.when(F.col("_side").isNotNull(), _key(depth, [F.col(f"_l{c}") for c in "xyz"], F.col("_side"))))
         name = lambda root, key, level: F.xxhash64(root, F.lit(level), key) if level else root
         inside = materialize(inside.withColumn("cell", F.coalesce(F.when(F.col("_key").isNotNull(), name(F.col("_root"), F.col("_key"), depth)), F.col("_root"))).drop("_side", *[f"_l{c}" for c in "xyz"]), "cell-points")
-        split = _grid(inside.where("_key is not null"), depth, name)
-        rest = leaves.join(full.select(F.col("_root").alias("cell")), "cell", "left_anti").select(F.col("cell").alias("up"), "cell", *BOX, "m")
+        split = _grid(inside.where("_key is not null"), depth, name, extents, sums)
+        rest = leaves.join(full.select(F.col("_root").alias("cell")), "cell", "left_anti").select(F.col("cell").alias("up"), "cell", *BOX, "m", *sums)
         rest = materialize(rest, "cells")
         levels = levels + [(cells.unionByName(rest), k + n - most[1]) for cells, k in split]
         points = inside.drop("_root", "_key")
@@ -120,6 +124,17 @@ def knn(queries: DataFrame, cloud: DataFrame | Tree, k: int, id_col: str = "qid"
     index = cloud if isinstance(cloud, Tree) else tree(cloud)
     if not index.n:
         return queries.join(index.points.limit(0).withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumns({"d": F.lit(0.0), "rank": F.lit(1)}))
+    points = index.points.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumnRenamed("cell", "_up")
+    pairs = candidates(queries, index, k, id_col).join(points, "_up").drop("_up")
+    pairs = pairs.withColumn("d", F.sqrt(_squared([F.col(c) - F.col(f"p{c}") for c in "xyz"])))
+    order = Window.partitionBy(id_col).orderBy("d", "pid")
+    pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rest = [c for c in queries.columns if c not in (id_col, "x", "y", "z")]
+    return pairs.join(queries.select(id_col, *rest), id_col) if rest else pairs
+
+
+def candidates(queries: DataFrame, index: Tree, k: int, id_col: str = "qid") -> DataFrame:
+    """(id, x, y, z, _up): the finest cells that may hold one of a query's k nearest points, or objects."""
     asked = queries.select(id_col, "x", "y", "z")
     found = asked.withColumn("_up", F.lit(0).cast("long"))
     for cells, n in index.levels:
@@ -132,13 +147,7 @@ def knn(queries: DataFrame, cloud: DataFrame | Tree, k: int, id_col: str = "qid"
         found = found.withColumn("_sum", F.sum("m").over(inside))
         reach = F.min(F.when(F.col("_sum") >= min(k, index.n), F.col("_far"))).over(Window.partitionBy(id_col))
         found = found.withColumn("_reach", reach).where(F.col("_near") <= F.col("_reach") * (1 + 1e-9) + 1e-300).select(id_col, "x", "y", "z", "_up")
-    points = index.points.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumnRenamed("cell", "_up")
-    pairs = found.select(id_col, "x", "y", "z", "_up").join(points, "_up").drop("_up")
-    pairs = pairs.withColumn("d", F.sqrt(_squared([F.col(c) - F.col(f"p{c}") for c in "xyz"])))
-    order = Window.partitionBy(id_col).orderBy("d", "pid")
-    pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    rest = [c for c in queries.columns if c not in (id_col, "x", "y", "z")]
-    return pairs.join(queries.select(id_col, *rest), id_col) if rest else pairs
+    return found
 
 
 def within(queries: DataFrame, cloud: DataFrame, radius: float, id_col: str = "qid") -> DataFrame:

@@ -51,7 +51,7 @@ projection("v12_erf", "queries", ("qid",), e=erf(col("x")))
 projection("v13_point_box_distance", "queries", ("qid",), d2=dot(*[[high(vabs(c) - b, 0) for c, b in zip(P, (0.5, 0.7, 0.9), strict=True)]] * 2))
 A_, B_, C_ = (tuple(col(k) for k in ks) for ks in (("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")))
 face = cross(sub(B_, A_), sub(C_, A_))
-projection("v14_triangle_properties", "mesh_cube", ("fid",), area=norm(face) * 0.5, **dict(zip(("ux", "uy", "uz"), unit(face), strict=True)), **dict(zip(("mx", "my", "mz"), mul(add(add(A_, B_), C_), 1 / 3), strict=True)))
+projection("v14_triangle_properties", "mesh_torus", ("fid",), area=norm(face) * 0.5, **dict(zip(("ux", "uy", "uz"), unit(face), strict=True)), **dict(zip(("mx", "my", "mz"), mul(add(add(A_, B_), C_), 1 / 3), strict=True)))
 box = [vabs(a - b) for a, b in zip(P, C, strict=True)]
 projection("v15_box_surface", "queries", ("qid",), s=2 * (box[0] * box[1] + box[1] * box[2] + box[2] * box[0]))
 

@@ -6,6 +6,61 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+
+
+#: Rows of quads around a tube, ``across`` of them, and as many along it as there are parts for.
+_QUADS = """(select p_partkey, i, j, along, across, (i + 1) % along as i1, (j + 1) % across as j1
+  from (select p_partkey, cast(floor(p_partkey/across) as bigint) as i, p_partkey % cast(across as bigint) as j, cast(across as bigint) as across, cast(floor(n/across) as bigint) as along
+        from {part} cross join (select count(*) as n, 20e0*greatest(1e0, floor(sqrt(count(*)/2e3))) as across from {part}) c) r where i < along) q"""
+_HALVES = ((("i", "j"), ("i1", "j"), ("i1", "j1")), (("i", "j"), ("i1", "j1"), ("i", "j1")))
+_CORNERS = (("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz"))
+
+
+def _tube(i: str, j: str) -> tuple[str, str, str]:
+    """A bumpy torus."""
+    u, v = f"(2e0*pi()*{i}/along)", f"(2e0*pi()*{j}/across)"
+    r = f"(0.4e0 + 0.04e0*sin(5e0*{u} + 3e0*{v}))"
+    return f"(1e0 + {r}*cos({v}))*cos({u})", f"(1e0 + {r}*cos({v}))*sin({u})", f"{r}*sin({v})"
+
+
+def _torus_mesh() -> str:
+    def half(k: int) -> str:
+        named = [f"{e} as {n}" for names, at in zip(_CORNERS, _HALVES[k], strict=True) for n, e in zip(names, _tube(*at), strict=True)]
+        return f"select 2*p_partkey + {k} as fid, {', '.join(named)} from {_QUADS}"
+
+    return f"\n{half(0)} union all\n{half(1)}"
+
+
+def _torus_vertices() -> str:
+    return f"\nselect p_partkey as vid, {', '.join(f'{e} as {c}' for c, e in zip('xyz', _tube('i', 'j'), strict=True))} from {_QUADS}"
+
+
+def _torus_faces() -> str:
+    half = lambda k: f"select 2*p_partkey + {k} as fid, {', '.join(f'{i}*across + {j} as v{n}' for n, (i, j) in enumerate(_HALVES[k]))} from {_QUADS}"
+    return f"\n{half(0)} union all\n{half(1)}"
+
+
+def _cube_mesh() -> str:
+    """The cube of half-extent 1/2, every side cut into as many squares as there are parts for, outward."""
+    quads = """(select p_partkey, m, cast(floor(p_partkey/(m*m)) as bigint) as side, cast(floor((p_partkey % (m*m))/m) as bigint) as i, p_partkey % m as j,
+      cast(floor((p_partkey % (m*m))/m) as bigint) + 1 as i1, p_partkey % m + 1 as j1
+      from {part} cross join (select cast(floor(sqrt(count(*)/6e0)) as bigint) as m from {part}) c where p_partkey < 6*m*m) q"""
+
+    def at(i: str, j: str) -> list[str]:
+        s, t, w = f"(-0.5e0 + {i}*1e0/m)", f"(-0.5e0 + {j}*1e0/m)", "(CASE WHEN side < 3 THEN -0.5e0 ELSE 0.5e0 END)"
+        # The two axes after a side's own, in turn.
+        return [f"CASE side % 3 WHEN {k} THEN {w} WHEN {(k + 2) % 3} THEN {s} ELSE {t} END" for k in range(3)]
+
+    def half(k: int) -> str:
+        a, b, c = _HALVES[k]
+        named = [f"{e} as {n}" for n, e in zip(_CORNERS[0], at(*a), strict=True)]
+        for names, one, other in ((_CORNERS[1], b, c), (_CORNERS[2], c, b)):  # sides that face down are turned round
+            named += [f"CASE WHEN side < 3 THEN {o} ELSE {e} END as {n}" for n, e, o in zip(names, at(*one), at(*other), strict=True)]
+        return f"select 2*p_partkey + {k} as fid, {', '.join(named)} from {quads}"
+
+    return f"\n{half(0)} union all\n{half(1)}"
+
+
 TEXT = {
     # Unit sphere on a Fibonacci lattice; true distance |q| - 1.
     "cloud_sphere": """
@@ -44,6 +99,11 @@ join (values (0,-0.5e0,-0.5e0,-0.5e0),(1,0.5e0,-0.5e0,-0.5e0),(2,0.5e0,0.5e0,-0.
              (4,-0.5e0,-0.5e0,0.5e0),(5,0.5e0,-0.5e0,0.5e0),(6,0.5e0,0.5e0,0.5e0),(7,-0.5e0,0.5e0,0.5e0)) b(vid,x,y,z) on b.vid=j
 join (values (0,-0.5e0,-0.5e0,-0.5e0),(1,0.5e0,-0.5e0,-0.5e0),(2,0.5e0,0.5e0,-0.5e0),(3,-0.5e0,0.5e0,-0.5e0),
              (4,-0.5e0,-0.5e0,0.5e0),(5,0.5e0,-0.5e0,0.5e0),(6,0.5e0,0.5e0,0.5e0),(7,-0.5e0,0.5e0,0.5e0)) c(vid,x,y,z) on c.vid=k""",
+    # Closed and outward, some 2 triangles a part.
+    "mesh_torus": _torus_mesh(),
+    "torus_vertices": _torus_vertices(),
+    "torus_faces": _torus_faces(),
+    "mesh_fine_cube": _cube_mesh(),
     "rays": """
 select rid, ox, oy, oz, (tx-ox)/l as dx, (ty-oy)/l as dy, (tz-oz)/l as dz
 from (select *, sqrt((tx-ox)*(tx-ox)+(ty-oy)*(ty-oy)+(tz-oz)*(tz-oz)) as l

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mesh
 from ..functions.expr import Program, col, norm, num, unit, vec, where
-from ..operators import fields, meshes, sampling
+from ..operators import farfield, fields, meshes, sampling
 from ..operators.fields import Evaluation
 from .catalog import register
 from .field_queries import SELF, SPHERE, field_sql, pairs_sql, projection, rounded_frame, rounded_sql, sphere_points, tori, tori_sql
@@ -25,7 +25,7 @@ cube = lambda s, d: frame(s, d, "mesh_cube")
 asked = lambda s, d: frame(s, d, "queries")
 
 projection("m01_closest_point_on_triangle", "mesh_cube", ("fid",), **dict(zip(XYZ, mesh.closest_on_triangle((num(0.3), num(0.9), num(-0.2)), *mesh.corners()), strict=True)))
-register("m02_unsigned_distance", lambda s, d: rounded_frame(meshes.distances(asked(s, d), cube(s, d)).select("qid", "d")), rounded_sql(NEAREST, ("qid",), ("d",)))
+register("m02_unsigned_distance", lambda s, d: rounded_frame(meshes.nearest(asked(s, d), cube(s, d)).select("qid", "d")), rounded_sql(NEAREST, ("qid",), ("d",)))
 register("m03_signed_distance", lambda s, d: rounded_frame(meshes.signed_distance(asked(s, d), cube(s, d))), rounded_sql(Program(**meshes.SIGNED).sql(NEAREST, "qid"), ("qid",), ("distance",)))
 register(
     "m05_winding_solid_angle",
@@ -44,7 +44,7 @@ register(
 )
 register(
     "j14_nearest_triangle",
-    lambda s, d: rounded_frame(meshes.distances(asked(s, d), cube(s, d)).select("qid", "px", "py", "pz", "d")),
+    lambda s, d: rounded_frame(meshes.nearest(asked(s, d), cube(s, d)).select("qid", "px", "py", "pz", "d")),
     rounded_sql(NEAREST, ("qid",), ("px", "py", "pz", "d")),
 )
 
@@ -60,7 +60,7 @@ FIRST = f"(SELECT * FROM {CROSSED} WHERE t >= 0e0 QUALIFY row_number() OVER (PAR
 rays = lambda s, d: frame(s, d, "rays")
 register(
     "k03_ray_triangle",
-    lambda s, d: rounded_frame(Program(**meshes.CROSSING).on(meshes.with_triangles(rays(s, d), cube(s, d)), "rid", "fid").where("t IS NOT NULL")),
+    lambda s, d: rounded_frame(meshes.crossings(rays(s, d), cube(s, d))),
     rounded_sql(f"(SELECT * FROM {CROSSED} WHERE t IS NOT NULL)", ("rid", "fid"), ("t", "u", "v")),
 )
 register(
@@ -71,23 +71,81 @@ register(
 HITS = f"(SELECT r.*, h.t, f.* FROM {FIRST} h JOIN {RAYS} r ON r.rid = h.rid JOIN {CUBE} f ON f.fid = h.fid)"
 register("k05_ray_hit_points", lambda s, d: rounded_frame(meshes.hit_points(rays(s, d), cube(s, d))), rounded_sql(Program(**meshes.HIT).sql(HITS, "rid"), ("rid",), (*XYZ, "nx", "ny", "nz")))
 
-# Mesh measures, over the vertex and face tables of the cube.
-CUBE_VERTICES = "SELECT CAST(vid AS BIGINT) AS vid, x, y, z FROM (VALUES (0,-0.5e0,-0.5e0,-0.5e0),(1,0.5e0,-0.5e0,-0.5e0),(2,0.5e0,0.5e0,-0.5e0),(3,-0.5e0,0.5e0,-0.5e0),(4,-0.5e0,-0.5e0,0.5e0),(5,0.5e0,-0.5e0,0.5e0),(6,0.5e0,0.5e0,0.5e0),(7,-0.5e0,0.5e0,0.5e0)) v(vid,x,y,z)"
-CUBE_FACES = "SELECT CAST(fid AS BIGINT) AS fid, CAST(v0 AS BIGINT) AS v0, CAST(v1 AS BIGINT) AS v1, CAST(v2 AS BIGINT) AS v2 FROM (VALUES (0,0,2,1),(1,0,3,2),(2,4,5,6),(3,4,6,7),(4,0,1,5),(5,0,5,4),(6,3,7,6),(7,3,6,2),(8,0,4,7),(9,0,7,3),(10,1,2,6),(11,1,6,5)) f(fid,v0,v1,v2)"
-FACE_NORMALS = f"(SELECT fid, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS fx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS fy, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS fz FROM {CUBE})"
-SUMS = f"""(SELECT vid, sum(fx) AS sx, sum(fy) AS sy, sum(fz) AS sz FROM (SELECT fid, unnest([v0, v1, v2]) AS vid FROM ({CUBE_FACES})) e JOIN {FACE_NORMALS} n ON n.fid = e.fid GROUP BY vid)"""
+# The same searches over a mesh of two triangles a part.
+TORUS_MESH = sql("mesh_torus")
+torus_mesh = lambda s, d: frame(s, d, "mesh_torus")
+TORUS_NEAREST = NEAREST.replace(CUBE, TORUS_MESH)
+register(
+    "m07_torus_mesh_distance_and_gradient",
+    lambda s, d: rounded_frame(meshes.signed_distance(asked(s, d), torus_mesh(s, d), gradient=True)),
+    rounded_sql(Program(**meshes.SIGNED_GRADIENT).sql(TORUS_NEAREST, "qid"), ("qid",), ("distance", "gx", "gy", "gz")),
+)
+register(
+    "j14_nearest_triangle_of_torus_mesh",
+    lambda s, d: rounded_frame(meshes.nearest(asked(s, d), torus_mesh(s, d)).select("qid", "px", "py", "pz", "d")),
+    rounded_sql(TORUS_NEAREST, ("qid",), ("px", "py", "pz", "d")),
+)
+register(
+    "m06_inside_by_fast_winding",
+    lambda s, d: farfield.inside(asked(s, d), farfield.of_triangles(torus_mesh(s, d)), "solid_angle"),
+    f"SELECT qid, sum(angle) > {2 * math.pi!r}e0 AS inside FROM {Program(angle=meshes.PER_PAIR['angle']).sql(PRODUCT.replace(CUBE, TORUS_MESH), 'qid')} GROUP BY qid",
+)
+TORUS_CROSSED = CROSSED.replace(CUBE, TORUS_MESH)
+TORUS_FIRST = f"(SELECT * FROM {TORUS_CROSSED} WHERE t >= 0e0 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY t, fid) = 1)"
+register(
+    "k03_torus_mesh_crossings",
+    lambda s, d: rounded_frame(meshes.crossings(rays(s, d), torus_mesh(s, d))),
+    rounded_sql(f"(SELECT * FROM {TORUS_CROSSED} WHERE t IS NOT NULL)", ("rid", "fid"), ("t", "u", "v")),
+)
+register(
+    "k04_torus_mesh_first_hit",
+    lambda s, d: rounded_frame(meshes.first_hits(rays(s, d), torus_mesh(s, d)).selectExpr("rid", "hit", "coalesce(t, -1e0) AS t", "coalesce(fid, -1) AS fid")),
+    rounded_sql(f"(SELECT r.rid, f.t IS NOT NULL AS hit, coalesce(f.t, -1e0) AS t, coalesce(f.fid, -1) AS fid FROM {RAYS} r LEFT JOIN {TORUS_FIRST} f ON f.rid = r.rid)", ("rid", "hit", "fid"), ("t",)),
+)
+BALLS = f"(SELECT qid, x - 0.1e0 AS blx, x + 0.1e0 AS bhx, y - 0.1e0 AS bly, y + 0.1e0 AS bhy, z - 0.1e0 AS blz, z + 0.1e0 AS bhz FROM {sql('queries')})"
+MEETS = " AND ".join(f"least(a{c}, {'by_' if c == 'y' else 'b' + c}, c{c}) <= bh{c} AND greatest(a{c}, {'by_' if c == 'y' else 'b' + c}, c{c}) >= bl{c}" for c in XYZ)
+register(
+    "j13_triangles_whose_boxes_meet_a_box",
+    lambda s, d: meshes.in_boxes(asked(s, d).selectExpr("qid", *[f"{c} - 0.1e0 AS bl{c}" for c in XYZ], *[f"{c} + 0.1e0 AS bh{c}" for c in XYZ]), torus_mesh(s, d)),
+    f"SELECT qid, fid FROM {BALLS} q JOIN {TORUS_MESH} f ON {MEETS}",
+)
+register(
+    "c08_inside_by_fast_winding",
+    lambda s, d: farfield.inside(asked(s, d), farfield.of_points(frame(s, d, "cloud_sphere"))),
+    f"SELECT qid, sum(a) < -0.5e0 AS inside FROM {Program(**fields.winding()[0]).sql(pairs_sql(sql('queries'), sql('cloud_sphere')), 'qid')} GROUP BY qid",
+)
+register(
+    "c08_inside_by_fast_regularised_winding",
+    lambda s, d: farfield.inside(asked(s, d), farfield.of_points(frame(s, d, "cloud_sphere")), "regularised_winding"),
+    f"SELECT qid, sum(a) > 0.5e0 AS inside FROM {Program(**fields.regularised_winding()[0]).sql(pairs_sql(sql('queries'), sql('cloud_sphere')), 'qid')} GROUP BY qid",
+)
+
+# Mesh measures, over the vertex and face tables of the torus.
+VERTICES, FACES = sql("torus_vertices"), sql("torus_faces")
+vertices, faces = (lambda s, d: frame(s, d, "torus_vertices")), (lambda s, d: frame(s, d, "torus_faces"))
+FACE_NORMALS = f"(SELECT fid, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS fx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS fy, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS fz FROM {TORUS_MESH})"
+SUMS = f"""(SELECT vid, sum(fx) AS sx, sum(fy) AS sy, sum(fz) AS sz FROM (SELECT fid, unnest([v0, v1, v2]) AS vid FROM {FACES}) e JOIN {FACE_NORMALS} n ON n.fid = e.fid GROUP BY vid)"""
 register(
     "r16_vertex_normals",
-    lambda s, d: rounded_frame(meshes.vertex_normals(s.sql(CUBE_VERTICES), s.sql(CUBE_FACES))),
+    lambda s, d: rounded_frame(meshes.vertex_normals(vertices(s, d), faces(s, d))),
     rounded_sql(Program(**dict(zip(("nx", "ny", "nz"), unit(vec("s")), strict=True))).sql(SUMS, "vid"), ("vid",), ("nx", "ny", "nz")),
 )
+VOLUME = f"(SELECT sum(ax*(by_*cz - bz*cy) + ay*(bz*cx - bx*cz) + az*(bx*cy - by_*cx)) / 6e0 AS volume FROM {TORUS_MESH})"
 register(
     "f08_mesh_quality",
-    lambda s, d: rounded_frame(meshes.quality(s.sql(CUBE_VERTICES), s.sql(CUBE_FACES))),
-    "SELECT CAST(12 AS BIGINT) AS n_faces, CAST(8 AS BIGINT) AS n_vertices, 1e0 AS volume, true AS watertight, true AS consistent, true AS outward",
+    lambda s, d: rounded_frame(meshes.quality(vertices(s, d), faces(s, d))),
+    f"""WITH e AS MATERIALIZED (SELECT unnest([v0, v1, v2]) AS u, unnest([v1, v2, v0]) AS v FROM {FACES}),
+        d AS (SELECT count(*) AS n FROM e GROUP BY u, v), b AS (SELECT count(*) AS n FROM e GROUP BY least(u, v), greatest(u, v))
+        SELECT (SELECT count(*) FROM {FACES}) AS n_faces, (SELECT count(*) FROM {VERTICES}) AS n_vertices, (round(volume, 6) + 0e0) AS volume,
+               (SELECT min(n) = 2 AND max(n) = 2 FROM b) AS watertight, (SELECT max(n) = 1 FROM d) AS consistent, volume > 0 AS outward FROM {VOLUME}""",
+)
+# Every fiftieth face repeats a corner.
+BAD = "fid, v0, CASE WHEN fid % 50 = 7 THEN v0 ELSE v1 END AS v1, v2"
+register(
+    "f07_degenerate_faces",
+    lambda s, d: meshes.proper_faces(vertices(s, d), faces(s, d).selectExpr(*BAD.split(", "))).select("fid", "v0", "v1", "v2"),
+    f"SELECT fid, v0, v1, v2 FROM (SELECT {BAD} FROM {FACES}) WHERE v0 <> v1 AND v1 <> v2 AND v2 <> v0",
 )
-BAD = CUBE_FACES.replace("(11,1,6,5)", "(11,1,6,5),(12,3,3,4),(13,0,6,0)")
-register("f07_degenerate_faces", lambda s, d: meshes.proper_faces(s.sql(CUBE_VERTICES), s.sql(BAD)).select("fid", "v0", "v1", "v2"), CUBE_FACES)
 
 # Boxes, scaling, samplers.
 BOX = ", ".join(f"(round({n}({c}), 6) + 0e0) AS {n}_{c}" for c in XYZ for n in ("min", "max"))
@@ -103,24 +161,25 @@ register(
     lambda s, d: rounded_frame(sampling.center_and_scale_vertices(frame(s, d, "queries").select("qid", *XYZ)).select("qid", *XYZ)),
     "SELECT qid, " + ", ".join(f"(round(({c} - m{c}) / max(greatest(abs(x - mx), abs(y - my), abs(z - mz))) OVER (), 6) + 0e0) AS {c}" for c in XYZ) + f" FROM (SELECT *, {MEANS} FROM {sql('queries')})",
 )
+number = lambda s, d, table: s.read.parquet(f"{d}/{table}.parquet").count()
 TURN = "(range*0.6180339887498949e0 - floor(range*0.6180339887498949e0))"
 register(
     "r09_fibonacci_sphere",
-    lambda s, d: rounded_frame(sampling.fibonacci_sphere(s, 500)),
+    lambda s, d: rounded_frame(sampling.fibonacci_sphere(s, number(s, d, "part"))),
     f"""SELECT range AS pid, (round(r*cos(2e0*pi()*t), 6) + 0e0) AS x, (round(r*sin(2e0*pi()*t), 6) + 0e0) AS y, (round(z, 6) + 0e0) AS z
-        FROM (SELECT *, sqrt(1e0 - z*z) AS r FROM (SELECT range, {TURN} AS t, 1e0 - 2e0*(range + 0.5e0)/500e0 AS z FROM range(500)))""",
+        FROM (SELECT *, sqrt(1e0 - z*z) AS r FROM (SELECT range, {TURN} AS t, 1e0 - 2e0*(range + 0.5e0)/n AS z FROM (SELECT unnest(range(count(*))) AS range, count(*) AS n FROM part)))""",
 )
-on_cube = lambda s, d: sampling.on_surface(cube(s, d), 2000, 1)
+on_cube = lambda s, d: sampling.on_surface(frame(s, d, "mesh_fine_cube"), number(s, d, "part"), 1)
 check = "max(abs(greatest(abs(x), abs(y), abs(z)) - 0.5e0)) < 1e-9"
 register(
     "r01_surface_sample",
-    lambda s, d: on_cube(s, d).agg(F.count("*").alias("n"), F.countDistinct("fid").alias("faces"), F.expr(f"{check} AS on_surface"), F.expr("max(abs(nx*nx + ny*ny + nz*nz - 1e0)) < 1e-9 AS unit_normals")),
-    "SELECT CAST(2000 AS BIGINT) AS n, CAST(12 AS BIGINT) AS faces, true AS on_surface, true AS unit_normals",
+    lambda s, d: on_cube(s, d).agg(F.count("*").alias("n"), F.countDistinct(F.round("nx"), F.round("ny"), F.round("nz")).alias("sides"), F.expr(f"{check} AS on_surface"), F.expr("max(abs(nx*nx + ny*ny + nz*nz - 1e0)) < 1e-9 AS unit_normals")),
+    "SELECT count(*) AS n, CAST(6 AS BIGINT) AS sides, true AS on_surface, true AS unit_normals FROM part",
 )
 register(
     "r03_narrow_band",
     lambda s, d: sampling.narrow_band(on_cube(s, d), 0.1, 2).agg(F.count("*").alias("n"), F.expr("max(abs(greatest(abs(x), abs(y), abs(z)) - 0.5e0)) <= 0.1e0 AS within")),
-    "SELECT CAST(2000 AS BIGINT) AS n, true AS within",
+    "SELECT count(*) AS n, true AS within FROM part",
 )
 register(
     "r04_noise_and_flips",
@@ -129,8 +188,8 @@ register(
 )
 register(
     "r18_uniform_in_box",
-    lambda s, d: sampling.uniform_in_box(s, 3000, (-1.0, -2.0, 0.0), (1.0, 2.0, 0.5), 4).agg(F.count("*").alias("n"), F.expr("bool_and(x BETWEEN -1e0 AND 1e0 AND y BETWEEN -2e0 AND 2e0 AND z BETWEEN 0e0 AND 0.5e0) AS inside"), F.expr("abs(avg(y)) < 0.1e0 AS centred")),
-    "SELECT CAST(3000 AS BIGINT) AS n, true AS inside, true AS centred",
+    lambda s, d: sampling.uniform_in_box(s, number(s, d, "customer"), (-1.0, -2.0, 0.0), (1.0, 2.0, 0.5), 4).agg(F.count("*").alias("n"), F.expr("bool_and(x BETWEEN -1e0 AND 1e0 AND y BETWEEN -2e0 AND 2e0 AND z BETWEEN 0e0 AND 0.5e0) AS inside"), F.expr("abs(avg(y)) < 5e0/sqrt(count(*)) AS centred")),
+    "SELECT count(*) AS n, true AS inside, true AS centred FROM customer",
 )
 register("r08_farthest_points", lambda s, d: sampling.farthest_points(frame(s, d, "cloud_sphere").select("pid", *XYZ), 64).select("rank", "pid"))
 register(

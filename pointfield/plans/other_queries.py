@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import fields, marching, meshes, neighbours, predictor, sampling, scans
+from ..operators import farfield, fields, marching, neighbours, predictor, sampling, scans
 from ..operators.fields import Evaluation
 from ..sources import files
 from .catalog import register
 from .field_queries import pairs_sql, rounded_frame, rounded_sql, tori, tori_sql
 from .fixtures import frame, sql
-from .mesh_queries import CUBE_FACES, CUBE_VERTICES
+from .mesh_queries import number
 from .session import scratch_dir
 
 XYZN = ("x", "y", "z", "nx", "ny", "nz")
@@ -30,7 +30,7 @@ def obj_cloud(s, d):
 
 def obj_mesh(s, d):
     path = _path(s, "mesh")
-    files.write_obj_mesh(s.sql(CUBE_VERTICES), s.sql(CUBE_FACES), path)
+    files.write_obj_mesh(frame(s, d, "torus_vertices"), frame(s, d, "torus_faces"), path)
     return files.read_obj_mesh(s, path + "/*.txt")[1]
 
 
@@ -42,7 +42,7 @@ def saved_tori(s, d):
 
 TORUS = ("cx", "cy", "cz", "theta", "phi", "major_r", "minor_r")
 register("s02_obj_cloud_round_trip", obj_cloud, rounded_sql(sql("cloud_sphere"), ("pid",), XYZN))
-register("s06_obj_mesh_round_trip", obj_mesh, CUBE_FACES)
+register("s06_obj_mesh_round_trip", obj_mesh, f"SELECT * FROM {sql('torus_faces')}")
 register("s11_tori_round_trip", saved_tori, rounded_sql(tori_sql(), ("pid",), TORUS))
 
 # An untrained predictor gives every point the unit sphere's patch in units of its median neighbour distance.
@@ -84,19 +84,21 @@ ON_CUBE = "max(abs(greatest(abs(x), abs(y), abs(z)) - 0.5e0)) < 1e-9 AS on_surfa
 UNIT = "max(abs(nx*nx + ny*ny + nz*nz - 1e0)) < 1e-9 AS unit_normals"
 OUTWARD = "avg(CASE WHEN x*nx + y*ny + z*nz > 0e0 THEN 1e0 ELSE 0e0 END) > 0.95e0 AS outward"  # on an edge the ray may meet a face from behind
 TRUE3 = "SELECT true AS on_surface, true AS unit_normals, true AS outward"
-scanned = lambda rows: rows.selectExpr(ON_CUBE, UNIT, OUTWARD)
-register("r02_random_line_sample", lambda s, d: scanned(scans.by_random_lines(frame(s, d, "mesh_cube"), 2000)), TRUE3)
-register("r06_even_scan", lambda s, d: scanned(scans.scan(frame(s, d, "mesh_cube"), 8, 0.1, 200)), TRUE3)
-register("r07_uneven_scan", lambda s, d: scanned(scans.scan(frame(s, d, "mesh_cube"), 8, 0.1, 200, uneven=True)), TRUE3)
+COUNTED = "SELECT count(*) AS n, true AS on_surface, true AS unit_normals, true AS outward FROM part"
+scanned = lambda rows, *more: rows.selectExpr(*more, ON_CUBE, UNIT, OUTWARD)
+fine = lambda s, d: frame(s, d, "mesh_fine_cube")
+register("r02_random_line_sample", lambda s, d: scanned(scans.by_random_lines(fine(s, d), number(s, d, "part")), "count(*) AS n"), COUNTED)
+register("r06_even_scan", lambda s, d: scanned(scans.scan(fine(s, d), 8, 0.1, number(s, d, "part"))), TRUE3)
+register("r07_uneven_scan", lambda s, d: scanned(scans.scan(fine(s, d), 8, 0.1, number(s, d, "part"), uneven=True)), TRUE3)
 register(
     "r05_farthest_point_cloud",
-    lambda s, d: sampling.farthest_points(sampling.on_surface(frame(s, d, "mesh_cube"), 800, 3), 200).agg(F.count("*").alias("n"), F.expr(ON_CUBE)),
-    "SELECT CAST(200 AS BIGINT) AS n, true AS on_surface",
+    lambda s, d: sampling.farthest_points(sampling.on_surface(fine(s, d), 4 * number(s, d, "supplier"), 3), number(s, d, "supplier")).agg(F.count("*").alias("n"), F.expr(ON_CUBE)),
+    "SELECT count(*) AS n, true AS on_surface FROM supplier",
 )
 register(
     "r10_lifted_shape_sample",
-    lambda s, d: scans.lifted_samples(s, "box", "extruded", 0.25, 1000).selectExpr("count(*) > 100 AS enough", "max(abs(greatest(abs(x) - 0.6e0, abs(y) - 0.4e0, abs(z) - 0.25e0))) < 1e-3 AS on_surface"),
-    "SELECT true AS enough, true AS on_surface",
+    lambda s, d: scans.lifted_samples(s, "box", "extruded", 0.25, number(s, d, "part")).selectExpr("count(*) AS n", "max(abs(greatest(abs(x) - 0.6e0, abs(y) - 0.4e0, abs(z) - 0.25e0))) < 1e-3 AS on_surface"),
+    "SELECT count(*) AS n, true AS on_surface FROM part",
 )
 register(
     "r12_isosurface_sample",
@@ -126,6 +128,6 @@ register(
 )
 register(
     "f12_inside_outside",
-    lambda s, d: meshes.distances(frame(s, d, "queries"), frame(s, d, "mesh_cube")).selectExpr("qid", f"winding > {2 * 3.141592653589793!r}e0 AS inside"),
+    lambda s, d: farfield.inside(frame(s, d, "queries"), farfield.of_triangles(frame(s, d, "mesh_cube")), "solid_angle"),
     f"SELECT qid, abs(x) < 0.5e0 AND abs(y) < 0.5e0 AND abs(z) < 0.5e0 AS inside FROM {sql('queries')}",
 )

@@ -49,13 +49,14 @@ def scratch_dir(spark: SparkSession) -> str:
 _WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back: lineage ends there and lost executors cost nothing."""
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared scratch folder, partitioned ``by`` columns, and read it back: lineage ends there and lost
+    executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     if _WRITTEN.get():
         _WRITTEN.get()[-1].append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
