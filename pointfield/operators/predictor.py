@@ -59,6 +59,47 @@ def untrained(dim: int = 128, layers: int = 4, heads: int = 4, mlp: int = 256, s
     return {"heads": heads, "embed": lin(6, dim), "ln0": ln(), "blocks": blocks, "ln": ln(), "out": (np.zeros((dim, 6)), BIAS.copy())}
 
 
+def seeded(dim: int = 128, layers: int = 4, heads: int = 4, mlp: int = 256, seed: int = 0) -> dict:
+    """A stand-in for trained weights: random everywhere, small in the last layer, so that patches vary about the unit sphere's."""
+    rng = np.random.default_rng(seed + 1)
+    w = untrained(dim, layers, heads, mlp, seed)
+    near = lambda pair, by: tuple(a + rng.normal(0, by, a.shape) for a in pair)
+    blocks = [{n: near(pair, 0.05) for n, pair in b.items()} for b in w["blocks"]]
+    return w | {"blocks": blocks} | {n: near(w[n], 0.05) for n in ("embed", "ln0", "ln", "out")}
+
+
+_BLOCK = ("ln1", "q", "k", "v", "o", "ln2", "up", "down")
+
+
+def named(w: dict) -> dict[str, np.ndarray]:
+    """The arrays of a model by name: kernel and bias of a layer as .0 and .1."""
+    layers = {n: w[n] for n in ("embed", "ln0", "ln", "out")} | {f"blocks.{i}.{n}": b[n] for i, b in enumerate(w["blocks"]) for n in _BLOCK}
+    return {"heads": np.array([w["heads"]])} | {f"{n}.{i}": np.asarray(a) for n, pair in layers.items() for i, a in enumerate(pair)}
+
+
+def assembled(arrays: dict[str, np.ndarray]) -> dict:
+    """The model of such arrays, whose shapes must fit each other."""
+    depth = len({n.split(".")[1] for n in arrays if n.startswith("blocks.")})
+    want = {"heads", *(f"{n}.{i}" for n in ("embed", "ln0", "ln", "out", *(f"blocks.{k}.{n}" for k in range(depth) for n in _BLOCK)) for i in (0, 1))}
+    if wrong := want ^ set(arrays):
+        raise ValueError(f"arrays missing or unknown: {', '.join(sorted(wrong))}")
+    inputs, dim = arrays["embed.0"].shape
+    heads = int(arrays["heads"][0])
+    if inputs != 6:
+        raise ValueError(f"embed.0 takes {inputs} features of a neighbour; there are 6")
+    if heads < 1 or dim % heads:
+        raise ValueError(f"{dim} features can't be dealt to {heads} heads")
+    mlp = arrays["blocks.0.up.0"].shape[-1] if depth else 0
+    sizes = {"embed": (6, dim), "out": (dim, 6), "up": (dim, mlp), "down": (mlp, dim)} | {n: (dim, dim) for n in "qkvo"} | {n: (dim,) for n in ("ln0", "ln", "ln1", "ln2")}
+    for name in want - {"heads"}:
+        layer, part = name.split(".")[-2:]
+        shape = sizes[layer] if part == "0" else sizes[layer][-1:]
+        if arrays[name].shape != shape:
+            raise ValueError(f"{name} has shape {arrays[name].shape}, not {shape}")
+    pair = lambda n: (arrays[f"{n}.0"], arrays[f"{n}.1"])
+    return {"heads": heads, "blocks": [{n: pair(f"blocks.{i}.{n}") for n in _BLOCK} for i in range(depth)]} | {n: pair(n) for n in ("embed", "ln0", "ln", "out")}
+
+
 def forward(w: dict, x: np.ndarray) -> np.ndarray:
     """Pre-norm transformer over a neighbourhood; the first token's output."""
     x = _normed(x @ w["embed"][0] + w["embed"][1], *w["ln0"])

@@ -104,6 +104,12 @@ join (values (0,-0.5e0,-0.5e0,-0.5e0),(1,0.5e0,-0.5e0,-0.5e0),(2,0.5e0,0.5e0,-0.
     "torus_vertices": _torus_vertices(),
     "torus_faces": _torus_faces(),
     "mesh_fine_cube": _cube_mesh(),
+    # Nodes of a cubic grid, as many a side as there are parts for, with the distance from a sphere that is bent along x.
+    "grid_nodes": """
+select pid, n, i, j, k, x, y, z, sqrt(x*x + y*y + z*z) - 1.03e0 - 0.2e0*sin(3e0*x) as v
+from (select p_partkey as pid, n, i, j, k, -1.5e0 + 3e0*i/(n - 1) as x, -1.5e0 + 3e0*j/(n - 1) as y, -1.5e0 + 3e0*k/(n - 1) as z
+      from (select p_partkey, n, cast(floor(p_partkey/(n*n)) as bigint) as i, cast(floor(p_partkey/n) as bigint) % n as j, p_partkey % n as k
+            from {part} cross join (select cast(floor(power(count(*) + 0.5e0, 1e0/3e0)) as bigint) as n from {part}) c where p_partkey < n*n*n) a) b""",
     "rays": """
 select rid, ox, oy, oz, (tx-ox)/l as dx, (ty-oy)/l as dy, (tz-oz)/l as dz
 from (select *, sqrt((tx-ox)*(tx-ox)+(ty-oy)*(ty-oy)+(tz-oz)*(tz-oz)) as l

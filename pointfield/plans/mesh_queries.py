@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mesh
 from ..functions.expr import Program, col, norm, num, unit, vec, where
-from ..operators import farfield, fields, meshes, sampling
+from ..operators import farfield, fields, isosurface, meshes, sampling
 from ..operators.fields import Evaluation
 from .catalog import register
 from .field_queries import SELF, SPHERE, field_sql, pairs_sql, projection, rounded_frame, rounded_sql, sphere_points, tori, tori_sql
@@ -225,6 +225,44 @@ register(
     field_sql(HOW, tori_sql(), "(" + PLANE.format(source="(SELECT range AS id FROM range(400))") + ")", fields.terms(HOW), fields.results(HOW), ("distance",)),
 )
 
+# Level sets. The oracle counts changes of sign: a vertex an edge, one or two faces a tetrahedron.
+NODES = sql("grid_nodes")
+STEPS = "(VALUES " + ", ".join(f"({m >> 0 & 1}, {m >> 1 & 1}, {m >> 2 & 1})" for m in range(1, 8)) + ") e(a, b, c)"
+ORDERS = "(VALUES " + ", ".join(f"({1 << a}, {(1 << a) | (1 << b)})" for a in range(3) for b in range(3) if a != b) + ") o(first, second)"
+CORNER = lambda m: f"(SELECT i - (({m}) & 1) AS i, j - ((({m}) >> 1) & 1) AS j, k - ((({m}) >> 2) & 1) AS k, v FROM nodes)"
+
+
+def grid_surface(s, d):
+    nodes = frame(s, d, "grid_nodes")
+    return isosurface.extract(nodes, nodes.agg(F.max("n")).first()[0])
+
+
+register(
+    "w02_isosurface",
+    lambda s, d: meshes.quality(*grid_surface(s, d)).select("n_faces", "n_vertices", "watertight", "consistent", "outward"),
+    f"""WITH nodes AS MATERIALIZED (SELECT i, j, k, v FROM {NODES}),
+        c AS MATERIALIZED (SELECT n0.i, n0.j, n0.k, n0.v, n1.v AS v1, n2.v AS v2, n3.v AS v3, n4.v AS v4, n5.v AS v5, n6.v AS v6, n7.v AS v7 FROM nodes n0
+             {' '.join(f'JOIN {CORNER(m)} n{m} USING (i, j, k)' for m in range(1, 8))}),
+        t AS (SELECT (v < 0e0)::int + ([v1, v2, v3, v4, v5, v6, v7][first] < 0e0)::int + ([v1, v2, v3, v4, v5, v6, v7][second] < 0e0)::int + (v7 < 0e0)::int AS inside FROM c, {ORDERS}),
+        e AS (SELECT n.v, m.v AS w FROM nodes n, {STEPS} JOIN nodes m ON m.i = n.i + e.a AND m.j = n.j + e.b AND m.k = n.k + e.c)
+        SELECT (SELECT CAST(sum(CASE WHEN inside = 2 THEN 2 WHEN inside IN (1, 3) THEN 1 ELSE 0 END) AS BIGINT) FROM t) AS n_faces,
+               (SELECT count(*) FROM e WHERE (v < 0e0) <> (w < 0e0)) AS n_vertices, true AS watertight, true AS consistent, true AS outward""",
+)
+register(
+    "w02_isosurface_vertices",
+    lambda s, d: rounded_frame(grid_surface(s, d)[0].select("vid", *XYZ)),
+    f"""WITH nodes AS MATERIALIZED (SELECT * FROM {NODES})
+        SELECT 8*n.pid + e.a + 2*e.b + 4*e.c AS vid, {', '.join(f'(round(n.{c} + (0e0 - n.v) / (m.v - n.v) * (m.{c} - n.{c}), 6) + 0e0) AS {c}' for c in XYZ)}
+        FROM nodes n, {STEPS} JOIN nodes m ON m.i = n.i + e.a AND m.j = n.j + e.b AND m.k = n.k + e.c WHERE (n.v < 0e0) <> (m.v < 0e0)""",
+)
+register(
+    "w02_isosurface_of_torus_field",
+    lambda s, d: (lambda m: meshes.quality(*m).join(m[0].selectExpr("max(abs(sqrt(x*x + y*y + z*z) - 1e0)) < 5.6e-2 AS on_sphere")).selectExpr("watertight", "consistent", "outward", "n_vertices - n_faces/2 AS euler", "on_sphere"))(
+        isosurface.of_field(tori(s, d, "coeffs_sphere"), (-1.3, -1.3, -1.3), (1.3, 1.3, 1.3), 12, Evaluation(k=8))
+    ),
+    "SELECT true AS watertight, true AS consistent, true AS outward, 2e0 AS euler, true AS on_sphere",
+)
+
 # Error measures against the sphere's true distance.
 
 

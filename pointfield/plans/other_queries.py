@@ -54,6 +54,16 @@ register(
     f"""SELECT i AS pid, 0e0 AS a00, 0e0 AS a01, 0e0 AS a10, 0e0 AS a11, (round(-0.5e0 / m, 6) + 0e0) AS a02, (round(-0.5e0 / m, 6) + 0e0) AS a20
         FROM (SELECT i, median(d) AS m FROM {pairs_sql(SELF, CLOUD, 16, q='i')} GROUP BY i)""",
 )
+
+
+def saved_model(s, d):
+    """A model of seeded weights, none of them zero, through a file."""
+    path = _path(s, "model")
+    files.write_model(s, predictor.seeded(32, 2, 4, 64), path)
+    return rounded_frame(predictor.coefficients(sphere(s, d), predictor.transformer(files.read_model(s, path)), 16))
+
+
+register("n03_saved_model", saved_model)
 register("n07_least_squares_patches", lambda s, d: rounded_frame(predictor.coefficients(sphere(s, d), predictor.least_squares, 16)))
 register("c09_point_areas", lambda s, d: rounded_frame(predictor.areas(sphere(s, d), 20)))
 register("t14_torus_mesh", lambda s, d: rounded_frame(marching.torus_vertices(tori(s, d))))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import predictor
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, word array) of every line, numbered in its file."""
@@ -193,3 +195,15 @@ def read_shape(text: str, name: str) -> tuple[str, dict]:
             values = tuple(map(float, w[1:]))
             out[w[0]] = values[0] if len(values) == 1 else values
     return kind, out
+
+
+def write_model(spark: SparkSession, weights: dict, path: str) -> None:
+    """A predictor's weights as a Parquet table (name, shape, data), one row an array; their size is the model's."""
+    rows = [(name, list(a.shape), a.astype(float).reshape(-1).tolist()) for name, a in predictor.named(weights).items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> dict:
+    """Weights that ``write_model`` wrote, or a table of the same form. An error names what is missing, superfluous or of another shape."""
+    rows = spark.read.parquet(path).select("name", "shape", "data").collect()
+    return predictor.assembled({r.name: np.array(r.data, float).reshape(r.shape) for r in rows})

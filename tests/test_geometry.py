@@ -223,3 +223,13 @@ def test_curvatures_against_the_shape_operator(spark):
         assert (got[r.pid].lo, got[r.pid].hi) == pytest.approx((k[at], k[1 - at]), rel=1e-7)
         v, w = e[0, at] * ru + e[1, at] * rv, np.array([got[r.pid].vx, got[r.pid].vy, got[r.pid].vz])
         assert abs(v @ w) == pytest.approx(np.linalg.norm(v) * np.linalg.norm(w), rel=1e-9)
+
+
+def test_regular_polygons(spark):
+    """Sides, corners and centre of the hexagon and the pentagon of inradius 0.6."""
+    six, five = 0.6 / math.cos(math.pi / 6), 0.6 / math.cos(math.pi / 5)
+    rows = [(0.0, 0.0, -0.6, -0.6), (0.0, 1.0, 0.4, 1 - five), (0.0, -1.0, 0.4, 0.4), (1.0, 0.0, 1 - six, None), (2.0, 0.0, 2 - six, None), (0.0, 2.0, 1.4, 2 - five), (0.1, 0.5, -0.1, None)]
+    df = spark.createDataFrame(rows, "x double, y double, six double, five double")
+    for r in Program(a=shapes.value("hexagon", (col("x"), col("y"))), b=shapes.value("pentagon", (col("x"), col("y")))).on(df).collect():
+        assert r.a == pytest.approx(r.six)
+        assert r.five is None or r.b == pytest.approx(r.five)
