@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from itertools import permutations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import materialize
@@ -102,3 +102,44 @@ def of_field(cloud: DataFrame | neighbours.Tree, low: tuple, high: tuple, n: int
     nodes = grid(points.sparkSession, low, high, n)
     values = fields.evaluate(nodes.select("qid", "x", "y", "z"), cloud, how).withColumnRenamed("distance", "v")
     return extract(materialize(nodes.join(values, "qid"), "grid"), n)
+
+
+def _noise(seed: int, octave: int, at: list) -> Column:
+    """Gradient noise of one octave: at every lattice point a hash picks one of the twelve directions to the middles of a cube's edges; between them the
+    slopes are blended by a quintic whose first and second derivatives vanish at the lattice."""
+    low = [F.floor(c) for c in at]
+    off = [c - f for c, f in zip(at, low, strict=True)]
+    blend = [t * t * t * (t * (t * 6 - 15) + 10) for t in off]
+
+    def slope(corner: tuple) -> Column:
+        h = F.xxhash64(F.lit(seed), F.lit(octave), *[(f + b).cast("long") for f, b in zip(low, corner, strict=True)])
+        d = [t - float(b) for t, b in zip(off, corner, strict=True)]
+        axis = F.pmod(h, F.lit(3))  # the one that the direction has no part of
+        sign = lambda bit, v: F.when(F.shiftright(h, bit).bitwiseAND(1) == 1, v).otherwise(-v)
+        return sign(20, F.when(axis == 0, d[1]).otherwise(d[0])) + sign(21, F.when(axis == 2, d[1]).otherwise(d[2]))
+
+    def between(k: int, corner: tuple) -> Column:
+        if k == 3:
+            return slope(corner)
+        a, b = between(k + 1, (*corner, 0)), between(k + 1, (*corner, 1))
+        return a + blend[k] * (b - a)
+
+    return between(0, ())
+
+
+def with_noise(points: DataFrame, name: str, scale: float = 1.0, octaves: int = 4, persistence: float = 0.5, lacunarity: float = 2.0, seed: int = 0) -> DataFrame:
+    """``points`` (x, y, z) with a column of seeded noise, about -1 to 1, 0 on average: octaves of ever finer and fainter gradient noise. It depends on
+    place and seed alone. A point without a place has NULL."""
+    parts = [f"_{name}{k}" for k in range(octaves)]
+    for k, part in enumerate(parts):
+        points = points.withColumn(part, _noise(seed, k, [F.col(c) * (scale * lacunarity**k) for c in "xyz"]))
+    total = sum(persistence**k for k in range(octaves))
+    return points.withColumn(name, sum((F.col(part) * persistence**k for k, part in enumerate(parts)), F.lit(0.0)) / total).drop(*parts)
+
+
+def blob(nodes: DataFrame, n: int, alpha: float = 0.3, radius: float = 1.0, **noise) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of a sphere whose radius is changed by ``alpha`` times noise, over grid nodes (i, j, k, x, y, z); closed if it lies within the
+    grid."""
+    bent = with_noise(nodes.select("i", "j", "k", "x", "y", "z"), "noise", **noise)
+    far = F.lit(radius) + F.col("noise") * alpha
+    return extract(bent.withColumn("v", F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z") - far * far), n)

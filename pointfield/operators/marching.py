@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shapes, torus
-from ..functions.expr import PI, Program, add, col, cos, exp, mul, over_arrays, sin, vec
+from ..functions.expr import PI, Program, add, col, cos, exp, high, mul, over_arrays, sin, sub, vec
 from ..plans.session import materialize
 from . import fields, neighbours
 from .fields import Evaluation
@@ -182,12 +182,16 @@ def trace_field(rays: DataFrame, cloud: DataFrame, how: Evaluation, t_max: float
     return _first(field_crossings(rays, cloud, how, t_max, tolerance))
 
 
+def _torus_grid(tori: DataFrame) -> DataFrame:
+    """A row (.., nu, nv, iu, iv) for each corner of each torus's grid of quads."""
+    count = lambda r: f"CAST(greatest(16, least(128, floor(abs({r}) / 0.1e0))) AS INT)"
+    rows = tori.where("abs(minor_r) >= 1e-10 AND abs(major_r) >= 1e-10").selectExpr("*", f"{count('major_r')} AS nu", f"{count('minor_r')} AS nv")
+    return rows.selectExpr("*", "explode(sequence(0, nu - 1)) AS iu").selectExpr("*", "explode(sequence(0, nv - 1)) AS iv")
+
+
 def torus_vertices(tori: DataFrame) -> DataFrame:
     """(pid, vid, x, y, z) of each torus as a grid of quads: 16 to 128 steps around either circle, by radius. Tori with a radius of nearly
     nothing have none."""
-    count = lambda r: f"CAST(greatest(16, least(128, floor(abs({r}) / 0.1e0))) AS INT)"
-    rows = tori.where("abs(minor_r) >= 1e-10 AND abs(major_r) >= 1e-10").selectExpr("*", f"{count('major_r')} AS nu", f"{count('minor_r')} AS nv")
-    rows = rows.selectExpr("*", "explode(sequence(0, nu - 1)) AS iu").selectExpr("*", "explode(sequence(0, nv - 1)) AS iv")
     t = torus.columns()
     axis = torus.from_spherical(t["theta"], t["phi"])
     e1, e2 = torus.basis(axis)
@@ -195,17 +199,51 @@ def torus_vertices(tori: DataFrame) -> DataFrame:
     r = torus.vabs(t["minor_r"])
     ring = t["major_r"] + r * cos(v)
     p = add(add((t["cx"], t["cy"], t["cz"]), mul(add(mul(e1, cos(u)), mul(e2, sin(u))), ring)), mul(axis, r * sin(v)))
-    return Program(**dict(zip("xyz", p, strict=True))).on(rows.selectExpr("*", "iu * nv + iv AS vid"), "pid", "vid")
-
-
-def training_field(queries: DataFrame, cloud: DataFrame, k: int = 64) -> DataFrame:
-    """(qid, distance) as training blends it: the shift from the k nearest points, the sums over all; denominators kept off zero."""
-    near = neighbours.knn(queries, cloud.select("pid", "x", "y", "z"), k).groupBy("qid").agg((F.max("d") * 0.5).alias("shift"))
-    asked = queries.join(near, "qid").withColumn("lam", F.lit(fields.SHARP) / F.greatest("shift", F.lit(1e-10)))
-    pairs = neighbours.all_pairs(asked, cloud, cloud.count())
-    q = vec("")
-    w = exp(-fields.LAM * (fields.D - fields.SHIFT))
-    got = Program(w=w, wg=w * torus.distance(q, torus.columns())).on(pairs, "qid").groupBy("qid").agg(F.sum("w").alias("w"), F.sum("wg").alias("wg"))
-    return got.select("qid", (F.col("wg") / F.greatest("w", F.lit(1e-10))).alias("distance"))
-
-
+    return Program(**dict(zip("xyz", p, strict=True))).on(_torus_grid(tori).selectExpr("*", "iu * nv + iv AS vid"), "pid", "vid")
+
+
+def torus_faces(tori: DataFrame) -> DataFrame:
+    """(pid, fid, v0, v1, v2, v3): the quads of ``torus_vertices``, one a vertex, with the next vertices around both circles; their outer sides are
+    those away from the tube's core where the major radius is the larger."""
+    at = lambda i, j: f"(iu + {i}) % nu * nv + (iv + {j}) % nv"
+    return _torus_grid(tori).selectExpr("pid", "iu * nv + iv AS fid", *[f"{at(i, j)} AS v{k}" for k, (i, j) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+
+
+#: What keeps denominators off zero.
+LEAST = 1e-10
+
+
+def training_terms(gradient: bool = False) -> dict:
+    """Per-pair terms of the training field; lam and shift are the query's."""
+    q, t = vec(""), torus.columns()
+    w, g = exp(-fields.LAM * (fields.D - fields.SHIFT)), torus.distance(vec(""), t)
+    out = {"w": w, "wg": w * g}
+    if gradient:
+        hat = mul(sub(q, vec("p")), 1 / high(fields.D, LEAST))
+        inner = sub(torus.gradient(q, t), mul(hat, fields.LAM * g))
+        out |= {f"wa{c}": w * v for c, v in zip("xyz", inner, strict=True)} | {f"wr{c}": w * v for c, v in zip("xyz", hat, strict=True)}
+    return out
+
+
+def training_results(gradient: bool = False) -> dict:
+    """Per-query outputs from the sums s_*."""
+    n = high(col("s_w"), LEAST)
+    phi = col("s_wg") / n
+    out = {"distance": phi}
+    if gradient:
+        out |= {f"g{c}": col(f"s_wa{c}") / n + phi * fields.LAM * col(f"s_wr{c}") / n for c in "xyz"}
+    return out
+
+
+def training_field(queries: DataFrame, cloud: DataFrame, k: int = 64, gradient: bool = False) -> DataFrame:
+    """(qid, distance[, gx, gy, gz]) as training blends it: the shift from the k nearest points, the sums over all; denominators kept off zero,
+    and lambda and shift held fixed in the gradient.
+
+    Where the cloud has a column ``mask``, points without it set are padding: neither near nor summed, as are those whose torus isn't finite. Without
+    any point, or for a query without a place, there is no row. A query on a torus's axis has no slope from that torus.
+    """
+    sound = fields.finite(cloud.where("mask") if "mask" in cloud.columns else cloud)
+    near = neighbours.knn(queries, sound.select("pid", "x", "y", "z"), k).groupBy("qid").agg((F.max("d") * 0.5).alias("shift"))
+    asked = queries.join(near, "qid").withColumn("lam", F.lit(fields.SHARP) / F.greatest("shift", F.lit(LEAST)))
+    pairs = neighbours.all_pairs(asked, sound, sound.count())
+    return fields.summed(pairs, training_terms(gradient), training_results(gradient))

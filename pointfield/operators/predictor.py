@@ -153,37 +153,52 @@ def coefficients(cloud: DataFrame, patch, k: int = 64) -> DataFrame:
     return neighbourhoods(cloud, k).mapInArrow(work, "pid bigint, " + ", ".join(f"{n} double" for n in NAMES))
 
 
+def _clipped(poly: np.ndarray, n: np.ndarray, m: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex polygons (b, v, 2), of n corners each, cut to p . m <= half; a cut adds a corner at most. A half of 0 or less cuts nothing."""
+    at = np.arange(poly.shape[1])
+    there = at < n[:, None]
+    side = np.where((half > 0)[:, None], half[:, None] - np.einsum("bvi,bi->bv", poly, m), 1.0)
+    after = np.where(at + 1 < n[:, None], at + 1, 0)
+    far, beyond = np.take_along_axis(side, after, 1), np.take_along_axis(poly, after[..., None], 1)
+    inside = side >= 0
+    crosses = there & (inside != (far >= 0))
+    share = np.where(crosses, side, 0.0) / np.where(crosses, side - far, 1.0)
+    both = np.stack([poly, poly + (beyond - poly) * share[..., None]], 2).reshape(len(poly), -1, 2)
+    kept = np.stack([there & inside, crosses], 2).reshape(len(poly), -1)
+    order = np.argsort(~kept, 1, kind="stable")[:, : poly.shape[1] + 1]
+    return np.take_along_axis(both, order[..., None], 1), kept.sum(1)
+
+
+def _cells(q: np.ndarray) -> np.ndarray:
+    """Areas of the cells of the origin among (b, k, 2) others, all of a batch cut by each neighbour in turn, nearest first."""
+    b, k = q.shape[:2]
+    if not k:
+        return np.zeros(b)
+    d2 = (q**2).sum(-1)
+    poly = np.array([[-1.0, -1.0], [1.0, -1.0], [1.0, 1.0], [-1.0, 1.0]]) * (2 * np.sqrt(d2.max(1)))[:, None, None]
+    n = np.full(b, 4)
+    for j in np.argsort(d2, 1, kind="stable").T:
+        poly, n = _clipped(poly, n, np.take_along_axis(q, j[:, None, None], 1)[:, 0], np.take_along_axis(d2, j[:, None], 1)[:, 0] / 2)
+    at = np.arange(poly.shape[1])
+    after = np.take_along_axis(poly, np.where(at + 1 < n[:, None], at + 1, 0)[..., None], 1)
+    turns = poly[..., 0] * after[..., 1] - poly[..., 1] * after[..., 0]
+    return 0.5 * np.abs(np.where(at < n[:, None], turns, 0.0).sum(1))
+
+
 def areas(cloud: DataFrame, k: int = 20) -> DataFrame:
     """(pid, area): the cell of each point among its neighbours in the tangent plane, cut by the bisectors (a local Voronoi cell), bounded
-    by a square of twice the farthest neighbour's distance."""
-
-    def cell(q: np.ndarray) -> float:
-        r = 2 * np.linalg.norm(q, axis=1).max()
-        poly = [np.array(c) * r for c in ((-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0))]
-        for m in q[np.argsort((q**2).sum(1))]:
-            half = (m @ m) / 2
-            if half <= 0:
-                continue
-            side = [half - p @ m for p in poly]
-            cut = []
-            for i, p in enumerate(poly):
-                j = (i + 1) % len(poly)
-                if side[i] >= 0:
-                    cut.append(p)
-                if (side[i] >= 0) != (side[j] >= 0):
-                    cut.append(p + (poly[j] - p) * side[i] / (side[i] - side[j]))
-            poly = cut
-        x, y = np.array(poly).T
-        return 0.5 * abs(x @ np.roll(y, -1) - y @ np.roll(x, -1))
+    by a square of twice the farthest neighbour's distance. A point alone has area 0."""
 
     def work(batches):
         for b in batches:
-            out = []
-            for hood in b.column(1).to_pylist():
-                p = np.array([[h["px"], h["py"], h["pz"]] for h in hood])
-                s, t, _ = _basis(np.array([[hood[0]["nx"], hood[0]["ny"], hood[0]["nz"]]]))
-                d = p[1:] - p[0]
-                out.append(cell(np.stack([d @ s[0], d @ t[0]], 1)) if len(d) else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["pid", "area"])
+            if not b.num_rows:
+                continue
+            flat = b.column(1).flatten()
+            size = len(flat) // b.num_rows  # all neighbourhoods have k points, or all of the cloud's
+            p, n = (np.stack([flat.field(prefix + c).to_numpy() for c in "xyz"], -1).reshape(b.num_rows, size, 3) for prefix in "pn")
+            s, t, _ = _basis(n[:, 0])
+            d = p[:, 1:] - p[:, :1]
+            q = np.stack([np.einsum("bki,bi->bk", d, s), np.einsum("bki,bi->bk", d, t)], -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_cells(q))], names=["pid", "area"])
 
     return neighbourhoods(cloud, k).mapInArrow(work, "pid bigint, area double")

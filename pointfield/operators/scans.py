@@ -39,7 +39,7 @@ def scan(tri: DataFrame, cameras: int = 12, spacing: float = 0.1, points: int |
     if points is None:
         return hits
     if uneven:
-        return hits.orderBy(F.xxhash64(F.lit(seed), "pid"), "pid").limit(points)
+        return sampling.first_in_order(hits, "pid", points, seed).where("_first").drop("_first")
     return sampling.farthest_points(hits, points).drop("rank")
 
 

@@ -90,6 +90,13 @@ register(
     lambda s, d: farfield.inside(asked(s, d), farfield.of_triangles(torus_mesh(s, d)), "solid_angle"),
     f"SELECT qid, sum(angle) > {2 * math.pi!r}e0 AS inside FROM {Program(angle=meshes.PER_PAIR['angle']).sql(PRODUCT.replace(CUBE, TORUS_MESH), 'qid')} GROUP BY qid",
 )
+VOTES = Program(**meshes.VOTE).sql(PRODUCT.replace(CUBE, TORUS_MESH), "qid", "fid")
+register(
+    "m08_distance_by_nearest_triangles_votes",
+    lambda s, d: rounded_frame(meshes.voted_distance(asked(s, d), torus_mesh(s, d), 8)),
+    f"""SELECT qid, (round(CASE WHEN sum(vote) > 0e0 THEN min(d) ELSE -min(d) END, 6) + 0e0) AS distance
+        FROM (SELECT * FROM {VOTES} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, fid) <= 8) GROUP BY qid""",
+)
 TORUS_CROSSED = CROSSED.replace(CUBE, TORUS_MESH)
 TORUS_FIRST = f"(SELECT * FROM {TORUS_CROSSED} WHERE t >= 0e0 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY t, fid) = 1)"
 register(
@@ -169,6 +176,25 @@ register(
     f"""SELECT range AS pid, (round(r*cos(2e0*pi()*t), 6) + 0e0) AS x, (round(r*sin(2e0*pi()*t), 6) + 0e0) AS y, (round(z, 6) + 0e0) AS z
         FROM (SELECT *, sqrt(1e0 - z*z) AS r FROM (SELECT range, {TURN} AS t, 1e0 - 2e0*(range + 0.5e0)/n AS z FROM (SELECT unnest(range(count(*))) AS range, count(*) AS n FROM part)))""",
 )
+ENTRIES = [f"m{i}{j}" for i in range(3) for j in range(3)]
+ORTHONORMAL = " AND ".join(f"abs({' + '.join(f'm{i}{k}*m{j}{k}' for k in range(3))} - {float(i == j)}e0) < 1e-12" for i in range(3) for j in range(i, 3))
+TURNS_RIGHT = "m00*(m11*m22 - m12*m21) - m01*(m10*m22 - m12*m20) + m02*(m10*m21 - m11*m20) > 0.999e0"
+register(
+    "r09_random_rotations",
+    lambda s, d: s.read.parquet(f"{d}/part.parquet").select(*[e.alias(f"m{i}{j}") for i, row in enumerate(sampling.rotation(7, "p_partkey")) for j, e in enumerate(row)]).selectExpr(
+        "count(*) AS n", f"bool_and({ORTHONORMAL} AND {TURNS_RIGHT}) AS rotations", "(" + " AND ".join(f"abs(avg({e})) < 3e0/sqrt(count(*)) AND abs(avg({e}*{e}) - 1e0/3e0) < 2e0/sqrt(count(*))" for e in ENTRIES) + ") AS uniform"
+    ),
+    "SELECT count(*) AS n, true AS rotations, true AS uniform FROM part",
+)
+register(
+    "v07_random_basis",
+    lambda s, d: sampling.random_basis(frame(s, d, "cloud_sphere").drop("area"), 3, "pid").selectExpr(
+        "count(*) AS n",
+        "bool_and(abs(sx*sx + sy*sy + sz*sz - 1e0) < 1e-12 AND abs(tx*tx + ty*ty + tz*tz - 1e0) < 1e-12 AND abs(sx*tx + sy*ty + sz*tz) < 1e-12 AND abs(sx*nx + sy*ny + sz*nz) < 1e-12 AND abs(tx*nx + ty*ny + tz*nz) < 1e-12) AS orthonormal",
+        "bool_and(nx*(sy*tz - sz*ty) + ny*(sz*tx - sx*tz) + nz*(sx*ty - sy*tx) > 0e0) AS right_handed",
+    ),
+    "SELECT count(*) AS n, true AS orthonormal, true AS right_handed FROM part",
+)
 on_cube = lambda s, d: sampling.on_surface(frame(s, d, "mesh_fine_cube"), number(s, d, "part"), 1)
 check = "max(abs(greatest(abs(x), abs(y), abs(z)) - 0.5e0)) < 1e-9"
 register(
@@ -263,6 +289,18 @@ register(
     "SELECT true AS watertight, true AS consistent, true AS outward, 2e0 AS euler, true AS on_sphere",
 )
 
+
+def blob(s, d):
+    nodes = frame(s, d, "grid_nodes")
+    return isosurface.blob(nodes, nodes.agg(F.max("n")).first()[0], seed=11, octaves=2)
+
+
+register(
+    "r17_blob",
+    lambda s, d: (lambda m: meshes.quality(*m).join(m[0].selectExpr("min(sqrt(x*x + y*y + z*z)) BETWEEN 0.5e0 AND 1e0 AND max(sqrt(x*x + y*y + z*z)) BETWEEN 1e0 AND 1.5e0 AS bent")).select("watertight", "consistent", "outward", "bent"))(blob(s, d)),
+    "SELECT true AS watertight, true AS consistent, true AS outward, true AS bent",
+)
+
 # Error measures against the sphere's true distance.
 
 

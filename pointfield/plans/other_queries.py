@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.expr import Program
 from ..operators import farfield, fields, marching, neighbours, predictor, sampling, scans
 from ..operators.fields import Evaluation
 from ..sources import files
@@ -67,6 +68,16 @@ register("n03_saved_model", saved_model)
 register("n07_least_squares_patches", lambda s, d: rounded_frame(predictor.coefficients(sphere(s, d), predictor.least_squares, 16)))
 register("c09_point_areas", lambda s, d: rounded_frame(predictor.areas(sphere(s, d), 20)))
 register("t14_torus_mesh", lambda s, d: rounded_frame(marching.torus_vertices(tori(s, d))))
+CHECKS = "count(*) AS n, " + ", ".join(f"CAST(sum({e}) AS BIGINT) AS {k}" for k, e in (("first", "v0*(v1 + 1)"), ("second", "v1*(v2 + 1)"), ("third", "v2*(v3 + 1)"), ("last", "v3*(v0 + 1)")))
+AROUND = lambda r: f"CAST(greatest(16, least(128, floor(abs({r}) / 0.1e0))) AS BIGINT)"
+register(
+    "t14_torus_faces",
+    lambda s, d: marching.torus_faces(tori(s, d)).selectExpr("pid", *[f"CAST(v{k} AS BIGINT) AS v{k}" for k in range(4)]).groupBy("pid").agg(*[F.expr(e) for e in CHECKS.split(", ")]),
+    f"""WITH t AS (SELECT pid, {AROUND('major_r')} AS nu, {AROUND('minor_r')} AS nv FROM {tori_sql()} WHERE abs(minor_r) >= 1e-10 AND abs(major_r) >= 1e-10),
+        g AS (SELECT pid, nu, nv, unnest(range(nu * nv)) AS fid FROM t),
+        f AS (SELECT pid, fid AS v0, (fid + nv) % (nu * nv) AS v1, (fid + nv) % (nu * nv) - fid % nv + (fid + 1) % nv AS v2, fid - fid % nv + (fid + 1) % nv AS v3 FROM g)
+        SELECT pid, {CHECKS} FROM f GROUP BY pid""",
+)
 register("a22_trace_extruded_box", lambda s, d: marching.trace_shape(frame(s, d, "rays"), "box", "extruded", 0.25).select("rid", "hit", F.round("t", 4).alias("t")))
 register(
     "k06_trace_sphere_field",
@@ -79,7 +90,7 @@ TRAINING = f"""(SELECT qid, sum(w * g) / greatest(sum(w), 1e-10) AS distance FRO
 
 def training_sql() -> str:
     from ..functions import torus
-    from ..functions.expr import Program, vec
+    from ..functions.expr import vec
 
     every = pairs_sql(sql("queries_few"), tori_sql())
     shifts = f"(SELECT qid, max(d) * 0.5e0 AS shift FROM (SELECT qid, d, pid FROM {every} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, pid) <= 64) GROUP BY qid)"
@@ -89,6 +100,23 @@ def training_sql() -> str:
 
 register("e08_training_field", lambda s, d: rounded_frame(marching.training_field(frame(s, d, "queries_few"), fields.finite(tori(s, d)))), training_sql())
 
+
+def masked_training_sql() -> str:
+    """Over the points that are no padding; the shift from the nearest 64 of them."""
+    every = pairs_sql(sql("queries_few"), f"(SELECT * FROM {tori_sql()} WHERE pid % 5 <> 2)")
+    shifts = f"(SELECT qid, max(d) * 0.5e0 AS shift FROM (SELECT qid, d, pid FROM {every} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, pid) <= 64) GROUP BY qid)"
+    both = f"(SELECT a.*, b.shift, {fields.SHARP!r}e0 / greatest(b.shift, 1e-10) AS lam FROM {every} a JOIN {shifts} b ON a.qid = b.qid)"
+    per_pair, per_query = marching.training_terms(True), marching.training_results(True)
+    sums = f"(SELECT qid, max(lam) AS lam, {', '.join(f'sum({c}) AS s_{c}' for c in per_pair)} FROM {Program(**per_pair).sql(both, 'qid', 'lam')} GROUP BY qid)"
+    return rounded_sql(Program(**per_query).sql(sums, "qid"), ("qid",), tuple(per_query))
+
+
+register(
+    "e08_masked_training_field_and_gradient",
+    lambda s, d: rounded_frame(marching.training_field(frame(s, d, "queries_few"), tori(s, d).withColumn("mask", F.expr("pid % 5 <> 2")), gradient=True)),
+    masked_training_sql(),
+)
+
 # Clouds from rays, by their invariants.
 ON_CUBE = "max(abs(greatest(abs(x), abs(y), abs(z)) - 0.5e0)) < 1e-9 AS on_surface"
 UNIT = "max(abs(nx*nx + ny*ny + nz*nz - 1e0)) < 1e-9 AS unit_normals"

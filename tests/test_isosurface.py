@@ -76,3 +76,29 @@ def test_neighbouring_cubes_agree_on_random_values(spark):
     at = {r.vid: (r.x, r.y, r.z) for r in v.collect()}
     border = lambda e: any(all(abs(abs(at[q][a]) - 1.5) < 1e-9 and at[q][a] * at[e[0]][a] > 0 for q in e) for a in range(3))
     assert all((b, a) in set(edges) or border((a, b)) for a, b in itertools.islice(edges, 4000))
+
+
+def test_noise_is_seeded_smooth_and_zero_on_the_lattice(spark):
+    rows = spark.range(4000).selectExpr("id AS qid", "-5e0 + id * 0.0025e0 AS x", "0.3e0 AS y", "0.7e0 AS z")
+    values = lambda df, **how: np.array([r.f for r in isosurface.with_noise(df, "f", **how).orderBy("qid").select("f").collect()])
+    f = values(rows, seed=1)
+    assert (f == values(rows.repartition(7), seed=1)).all() and not np.allclose(f, values(rows, seed=2), atol=0.05)
+    assert abs(f).max() <= 1 and abs(f.mean()) < 0.2 and f.std() > 0.1
+    assert abs(np.diff(f)).max() < 0.03  # no jumps at the lattice
+    lattice = spark.range(27).selectExpr("id AS qid", "CAST(id % 3 AS DOUBLE) AS x", "CAST(id DIV 3 % 3 AS DOUBLE) AS y", "CAST(id DIV 9 AS DOUBLE) AS z")
+    assert abs(values(lattice, octaves=1)).max() == 0
+    assert isosurface.with_noise(spark.sql("SELECT CAST(NULL AS DOUBLE) AS x, 0e0 AS y, 0e0 AS z"), "f").first().f is None
+
+
+def test_blobs_are_closed_and_differ_by_seed(spark):
+    n = 12
+    nodes_ = isosurface.grid(spark, (-2.0,) * 3, (2.0,) * 3, n)
+    seen = set()
+    for seed in (1, 2):
+        v, t = isosurface.blob(nodes_, n, alpha=0.5, seed=seed)
+        got = meshes.quality(v, t).first()
+        assert got.watertight and got.consistent and got.outward
+        seen.add(round(got.volume, 6))
+        again = isosurface.blob(nodes_.repartition(5), n, alpha=0.5, seed=seed)
+        assert meshes.quality(*again).first().n_faces == got.n_faces
+    assert len(seen) == 2

@@ -69,12 +69,25 @@ def test_nearest_triangle(spark, n):
         assert to_triangle(np.array([got[i].px, got[i].py, got[i].pz]), t[got[i].fid]) < 1e-9
 
 
+def test_votes_of_the_nearest_triangles(spark):
+    t, rng = soup(400, 13), np.random.default_rng(14)
+    q = rng.normal(size=(12, 3)) * 2
+    got = {r.qid: r.distance for r in meshes.voted_distance(places(spark, q), table(spark, t), 5).collect()}
+    assert got[999] is None
+    for i, p in enumerate(q):
+        d = np.array([to_triangle(p, x) for x in t])
+        near = np.argsort(d, kind="stable")[:5]
+        votes = sum(np.sign(np.cross(t[j][1] - t[j][0], t[j][2] - t[j][0]) @ (p - t[j].mean(0))) for j in near)
+        assert abs(got[i]) == pytest.approx(d.min(), abs=1e-9) and (got[i] > 0) == (votes > 0)
+
+
 def test_no_triangles(spark):
     none, q = table(spark, soup(6, 1)).limit(0), places(spark, np.zeros((2, 3)))
     assert {r.d for r in meshes.nearest(q, none).collect()} == {None}
     assert {r.inside for r in farfield.inside(q, farfield.of_triangles(none), "solid_angle").collect()} == {None}
     rays = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "rid bigint, ox double, oy double, oz double, dx double, dy double, dz double")
     assert meshes.crossings(rays, none).count() == 0 and not meshes.first_hits(rays, none).first().hit
+    assert {r.distance for r in meshes.voted_distance(q, none).collect()} == {None}
     assert meshes.in_boxes(q.selectExpr("qid", *[f"{c} AS b{n}{c}" for n in "lh" for c in "xyz"]), none).count() == 0
 
 

@@ -83,3 +83,36 @@ def test_models_that_do_not_fit_are_refused(spoil, said):
     spoil(arrays)
     with pytest.raises(ValueError, match=said):
         predictor.assembled(arrays)
+
+
+def cell(q):
+    """One cell, cut edge by edge."""
+    r = 2 * np.linalg.norm(q, axis=1).max()
+    poly = [np.array(c) * r for c in ((-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0))]
+    for m in q[np.argsort((q**2).sum(1), kind="stable")]:
+        half = m @ m / 2
+        if half <= 0:
+            continue
+        kept = []
+        for p, o in zip(poly, poly[1:] + poly[:1], strict=True):
+            a, b = half - p @ m, half - o @ m
+            if a >= 0:
+                kept.append(p)
+            if (a >= 0) != (b >= 0):
+                kept.append(p + (o - p) * a / (a - b))
+        poly = kept
+    x, y = np.array(poly).T
+    return 0.5 * abs(x @ np.roll(y, -1) - y @ np.roll(x, -1))
+
+
+def test_cells_of_a_batch_equal_cells_one_by_one():
+    rng = np.random.default_rng(5)
+    q = rng.normal(size=(300, 12, 2))
+    q[::7, 3] = 0  # a point at the same place
+    q[::5, 4] = q[::5, 5]
+    q[::11, :6] = np.abs(q[::11, :6])  # open to one side
+    ring = np.stack([np.cos(np.arange(12) * np.pi / 6), np.sin(np.arange(12) * np.pi / 6)], -1)
+    q[10] = ring
+    assert predictor._cells(q) == pytest.approx([cell(x) for x in q])
+    assert predictor._cells(q)[10] == pytest.approx(12 * 0.25 * math.tan(math.pi / 12))
+    assert (predictor._cells(np.zeros((3, 0, 2))) == 0).all()

@@ -1,7 +1,10 @@
 """Queries ask for all points of the cloud."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from pointfield.operators import marching, meshes
 from pointfield.plans import catalog
 from pointfield.plans.fixtures import frame
 
@@ -19,3 +22,16 @@ def test_every_torus_has_a_mesh(spark):
     proper = catalog.QUERIES["t06_fit_all"](spark, SF).where("abs(minor_r) >= 1e-10 AND abs(major_r) >= 1e-10").select("pid").collect()
     assert sorted(r.pid for r in rows) == sorted(r.pid for r in proper) and len(rows) > 10
     assert all(r.n == r.v >= 256 for r in rows)
+
+
+def test_the_faces_of_a_torus_close_around_it(spark):
+    rows = [(1, 0.1, 0.2, 0.3, 0.4, 0.5, 1.0, 0.3), (2, 0.0, 0.0, 0.0, 1.0, 2.0, 2.5, -0.4), (3, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)]
+    tori = spark.createDataFrame(rows, "pid bigint, cx double, cy double, cz double, theta double, phi double, major_r double, minor_r double")
+    for pid, volume in ((1, 2 * math.pi**2 * 0.09), (2, 2 * math.pi**2 * 2.5 * 0.16)):
+        vertices = marching.torus_vertices(tori).where(f"pid = {pid}").selectExpr("CAST(vid AS BIGINT) AS vid", "x", "y", "z")
+        quads = marching.torus_faces(tori).where(f"pid = {pid}")
+        faces = quads.selectExpr("2L*fid AS fid", "v0", "v1", "v2").union(quads.selectExpr("2L*fid + 1 AS fid", "v0", "v2", "v3"))
+        got = meshes.quality(vertices, faces).first()
+        assert got.watertight and got.consistent and got.outward and got.n_faces == 2 * got.n_vertices
+        assert abs(got.volume - volume) < 0.1 * volume
+    assert marching.torus_faces(tori).where("pid = 3").count() == 0
