@@ -122,7 +122,7 @@ def _noise(seed: int, octave: int, at: list) -> Column:
         if k == 3:
             return slope(corner)
         a, b = between(k + 1, (*corner, 0)), between(k + 1, (*corner, 1))
-        return a + blend[k] * (b - a)
+        return a * (1 - blend[k]) + b * blend[k]
 
     return between(0, ())
 
@@ -140,6 +140,6 @@ def with_noise(points: DataFrame, name: str, scale: float = 1.0, octaves: int =
 def blob(nodes: DataFrame, n: int, alpha: float = 0.3, radius: float = 1.0, **noise) -> tuple[DataFrame, DataFrame]:
     """Vertices and faces of a sphere whose radius is changed by ``alpha`` times noise, over grid nodes (i, j, k, x, y, z); closed if it lies within the
     grid."""
-    bent = with_noise(nodes.select("i", "j", "k", "x", "y", "z"), "noise", **noise)
+    bent = materialize(with_noise(nodes.select("i", "j", "k", "x", "y", "z"), "noise", **noise), "noise")  # else filters would carry its formulas along
     far = F.lit(radius) + F.col("noise") * alpha
     return extract(bent.withColumn("v", F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z") - far * far), n)

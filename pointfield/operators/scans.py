@@ -88,7 +88,8 @@ def _crossed(rays: DataFrame, found: DataFrame) -> DataFrame:
 
 def by_random_lines(tri: DataFrame, n: int, radius: float = 1.0, seed: int = 0) -> DataFrame:
     """(pid, x, y, z, nx, ny, nz): n first hits of random lines, as the reference has them."""
-    return _until(tri.sparkSession, n, radius, seed, lambda rays: meshes.hit_points(rays, tri).withColumn("k", F.lit(0)))
+    index = meshes.tree(tri)
+    return _until(tri.sparkSession, n, radius, seed, lambda rays: meshes.hit_points(rays, index).withColumn("k", F.lit(0)))
 
 
 def lifted_samples(spark, name: str, lift: str, amount: float, n: int, radius: float = 1.5, seed: int = 0, **params) -> DataFrame:
