@@ -137,6 +137,7 @@ def farthest_points(cloud: DataFrame, n: int, group: str | None = None) -> DataF
     cloud = cloud.where("pid IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     if group is not None:
         return _farthest_of_groups(cloud, n, group)
+    cloud = materialize(cloud, "farthest-cloud")  # it is read again and again
     picked = _farthest(cloud, n)
     ranks = cloud.sparkSession.createDataFrame(list(zip(picked, range(1, len(picked) + 1), strict=True)), "pid bigint, rank int")
     return cloud.join(F.broadcast(ranks), "pid").select(*cloud.columns, "rank")
