@@ -62,3 +62,18 @@ def test_pairs_are_not_shuffled(spark):
         assert "Window" not in plan
     plan = neighbours.all_pairs(asked, cloud, 300)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_nearest_triangles_over_many_tiles(spark, small):
+    """Large and small triangles: a tile's box reaches far beyond the centroids by which it was cut."""
+    from pointfield.operators import meshes
+
+    rng = np.random.default_rng(8)
+    t = rng.uniform(-1, 1, (200, 1, 3)) + rng.normal(size=(200, 3, 3)) * np.where(np.arange(200) % 9, 0.02, 1.0)[:, None, None]
+    tri = spark.createDataFrame([(i, *map(float, x.ravel())) for i, x in enumerate(t)], "fid bigint, " + ", ".join(f"{c} double" for c in meshes.TRIANGLE))
+    asked = places(spark, rng.uniform(-2, 2, (40, 3)), "qid")
+    got = meshes.nearest(asked, tri)
+    want = {r.qid: (r.fid, r.d) for r in meshes.distances(asked, tri).collect()}
+    assert {r.qid: (r.fid, pytest.approx(r.d)) for r in got.collect()} == want
+    assert meshes.nearest(asked, tri.limit(0)).where("d IS NULL AND fid IS NULL").count() == 40
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
