@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shapes, torus
-from ..functions.expr import PI, Program, add, col, cos, exp, high, mul, over_arrays, sin, sub, vec
+from ..functions.expr import PI, Program, add, col, cos, exp, high, mul, over_arrays, sin, sub, vabs, vec
 from ..plans.session import materialize
-from . import fields, neighbours
+from . import fields, neighbours, tiles
 from .fields import Evaluation
 
 TOLERANCE = 1e-4
@@ -235,15 +238,72 @@ def training_results(gradient: bool = False) -> dict:
     return out
 
 
+#: How far a training field may be from its sums over all points, at most; what isn't proven to be that near is summed in full.
+CLOSE = 1e-9
+
+
+def _tails(lists: DataFrame, index: tiles.Tiles) -> DataFrame:
+    """``lists`` (x, y, z, lam, shift, last ..) with bounds on what points no nearer than ``last`` add to the sums of w and of w |g|: ``tail``, ``tail_g``.
+    A tile's points weigh no more than one at its box's nearest place, and a torus's distance changes by no more than the way from its
+    own point."""
+    at = Program(g=vabs(torus.distance(vec(""), torus.columns()))).on(index.points, "_tile")
+    held = np.zeros((len(index.boxes), 2))
+    for r in at.groupBy("_tile").agg(F.count("*"), F.max("g")).collect():
+        held[r[0]] = r[1], math.inf if r[2] is None else r[2]
+    boxes, near_and_far, step = index.boxes, (tiles._near, tiles._far), max(1, tiles.NUMBERS // len(index.boxes))
+
+    @F.pandas_udf("struct<w:double,g:double>")
+    def tail(x, y, z, lam, shift, last):
+        import pandas as pd
+
+        p, out = np.stack([x, y, z], 1).astype(float), np.zeros((len(x), 2))
+        lam, shift, last = (c.to_numpy(float)[:, None] for c in (lam, shift, last))
+        for i in (slice(s, s + step) for s in range(0, len(p), step)):
+            near, far = (np.sqrt(f(p[i], boxes[:, :3], boxes[:, 3:])) for f in near_and_far)
+            w = np.exp(-lam[i] * (np.maximum(near, last[i]) * (1 - 1e-9) - shift[i])) * held[:, 0]
+            out[i] = np.stack([w.sum(1), (w * (held[:, 1] + far)).sum(1)], 1)
+        return pd.DataFrame(out, columns=["w", "g"])
+
+    found = lists.withColumn("_tail", tail(*[F.col(c).cast("double") for c in (*"xyz", "lam", "shift", "last")]))
+    return found.withColumns({"tail": F.col("_tail.w"), "tail_g": F.col("_tail.g")}).drop("_tail", "last")
+
+
+def _error(gradient: bool):
+    """How much the sums that are left out may change any of ``training_results``."""
+    n, tail, tail_g = high(col("s_w"), LEAST), col("tail"), col("tail_g")
+    phi = vabs(col("s_wg")) / n
+    out = distance = (tail_g + phi * tail) / n
+    if gradient:
+        slope = vabs(col("s_wax")) + vabs(col("s_way")) + vabs(col("s_waz"))
+        out = distance + (tail + fields.LAM * tail_g + slope / n * tail) / n + fields.LAM * (distance + phi * 2 * tail / n)
+    return out * 2  # products of two errors
+
+
 def training_field(queries: DataFrame, cloud: DataFrame, k: int = 64, gradient: bool = False) -> DataFrame:
     """(qid, distance[, gx, gy, gz]) as training blends it: the shift from the k nearest points, the sums over all; denominators kept off zero,
     and lambda and shift held fixed in the gradient.
 
+    Beyond the k nearest a weight is below exp(-64), so a query sums half as many more and bounds all others, tile by tile; one that may be
+    farther than CLOSE from the sums over all meets every point.
+
     Where the cloud has a column ``mask``, points without it set are padding: neither near nor summed, as are those whose torus isn't finite. Without
     any point, or for a query without a place, there is no row. A query on a torus's axis has no slope from that torus.
     """
-    sound = fields.finite(cloud.where("mask") if "mask" in cloud.columns else cloud)
-    near = neighbours.knn(queries, sound.select("pid", "x", "y", "z"), k).groupBy("qid").agg((F.max("d") * 0.5).alias("shift"))
-    asked = queries.join(near, "qid").withColumn("lam", F.lit(fields.SHARP) / F.greatest("shift", F.lit(LEAST)))
-    pairs = neighbours.all_pairs(asked, sound, sound.count())
-    return fields.summed(pairs, training_terms(gradient), training_results(gradient))
+    sound = fields.finite(cloud.where("mask") if "mask" in cloud.columns else cloud).select("pid", *"xyz", *torus.columns())
+    index = tiles.index(sound)
+    lists = neighbours.nearest_lists(queries.select("qid", *"xyz"), index, k + k // 2)
+    shift = F.element_at("near", F.least(F.lit(k), F.size("near")))["d"] * 0.5
+    lists = lists.withColumn("shift", shift).withColumn("lam", F.lit(fields.SHARP) / F.greatest("shift", F.lit(LEAST)))
+    terms, results = training_terms(gradient), training_results(gradient)
+    if index.n <= k + k // 2:
+        return fields.summed(neighbours.looked_up(lists, index), terms, results)
+    lists = materialize(_tails(lists.withColumn("last", F.element_at("near", -1)["d"]), index), "training")
+    got = fields.summed(neighbours.looked_up(lists, index), terms, results | {"error": _error(gradient)}, keep=("qid", "lam", "shift", "tail", "tail_g"))
+    got = materialize(got, "training")
+    sure = F.coalesce((F.col("error") <= CLOSE) & ~F.isnan("error"), F.lit(False))
+    near = got.where(sure).drop("error")
+    left = got.where(~sure).select("qid")
+    if left.isEmpty():
+        return near
+    asked = materialize(lists.drop("near", "tail", "tail_g").join(left, "qid", "left_semi"), "training")
+    return near.unionByName(fields.summed(neighbours.all_pairs(asked, index.points.drop("_tile", "_row"), index.n), terms, results))

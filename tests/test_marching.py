@@ -126,3 +126,22 @@ def test_training_gradient_is_the_difference_quotient_at_fixed_weights(spark):
         want = [(field(q + h * e, lam, shift)[0] - field(q - h * e, lam, shift)[0]) / (2 * h) for e in np.eye(3)]
         assert [got[r.qid].gx, got[r.qid].gy, got[r.qid].gz] == pytest.approx(want, rel=1e-4, abs=1e-4)
     assert smooth > 20
+
+
+def test_training_field_meets_every_point_only_where_it_must(spark, monkeypatch):
+    """Queries near the cloud are settled by their lists, to the same values as sums over all pairs; with no error allowed every one meets all points."""
+    from pointfield.operators import neighbours
+
+    cloud = fields.tori(frame(spark, SF, "cloud_sphere"), frame(spark, SF, "coeffs_generic"))
+    queries = frame(spark, SF, "queries")
+    met, every = [], neighbours.all_pairs
+    monkeypatch.setattr(neighbours, "all_pairs", lambda q, c, n: met.append(q.count()) or every(q, c, n))
+    monkeypatch.setattr(marching, "CLOSE", -1.0)
+    want = {r.qid: r for r in marching.training_field(queries, cloud, gradient=True).collect()}
+    assert met == [queries.count()]
+    monkeypatch.undo()
+    monkeypatch.setattr(neighbours, "all_pairs", lambda q, c, n: met.append(q.count()) or every(q, c, n))
+    got = {r.qid: r for r in marching.training_field(queries, cloud, gradient=True).collect()}
+    assert sum(met[1:]) < queries.count() / 2 and got.keys() == want.keys()
+    for i, r in want.items():
+        assert [*got[i]][1:] == pytest.approx([*r][1:], rel=1e-9, abs=1e-9)
