@@ -7,11 +7,11 @@ token count is stored in the worker (CACHE short ones at most) and the documents
 than LONG characters are scored alone, holding only the states that the next character can reach.
 
 The pieces are those of a public vocabulary's file. Their probabilities are fitted here, by ROUNDS of expectation and
-maximisation over a bounded sample of the documents (SAMPLE_ROWS distinct texts), beginning with Zipf's by rank in the file. A
+maximisation over the pre-tokens of all distinct texts, beginning with Zipf's by rank in the file. A
 character that no piece covers takes one token per UTF-8 byte, at the score of a piece PENALTY below the least. Of equal
 scores the cut with fewer tokens counts.
 
-Documents are scored where they are read: no shuffle of texts but the sample's words, memory bounded by the slice and the store.
+Documents are scored where they are read: no shuffle of texts but of those that the fit meets again, memory bounded by the slice and the store.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ MARK = "▁"
 PENALTY = 10.0
 #: Pre-tokens that a worker remembers at most, and the characters of the longest of them.
 CACHE, LONG = 1_000_000, 48
-#: Distinct texts that the model is fitted on, at most about so many; rounds; the count that every piece has besides the expected one.
-SAMPLE_ROWS, ROUNDS, PRIOR = 2_000, 3, 0.01
+#: Rounds of the fit; the count that every piece has besides the expected one.
+ROUNDS, PRIOR = 3, 0.01
 
 _PRE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,11 +83,101 @@ def expected(word: str, table: dict[str, float], longest: int, byte: float, time
                 into[w] = into.get(w, 0.0) + times * math.exp(front[s] + p + behind - front[n])
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
-    """(word, n) of the pre-tokens, mark in front, of about ``rows`` distinct texts at most, chosen by a hash of the text."""
-    share = min(1.0, rows / max(1, docs.count()))
+class Cuts:
+    """Expected counts of many words at once. What pieces begin at a place is found length by length by hashes of substrings; places that no
+    piece goes on from drop out. Forward and backward sums are probabilities, LIFT more for each character so that they stay in range; words that leave
+    it go one by one."""
+
+    LIFT, SPREAD, BITS = 10.0, 0x9E3779B97F4A7C15, 22
+
+    def __init__(self, table: dict[str, float]):
+        self.table, self.names = table, list(table)
+        self.longest, self.byte = max(map(len, table), default=0), min(table.values(), default=0.0) - PENALTY
+        self.logs = np.array([table[w] for w in self.names])
+        found: list[dict[int, int]] = [{} for _ in range(self.longest + 1)]
+        self.goes_on = np.zeros(1 << self.BITS, bool)
+        for number, w in enumerate(self.names):
+            h = 0
+            for ch in w:
+                h = (h * self.SPREAD + ord(ch) + 1) % (1 << 64)
+                self.goes_on[h * self.SPREAD % (1 << 64) >> 64 - self.BITS] = True
+            found[len(w)][h] = number
+        self.keys = []
+        for by in found:
+            order = sorted(by)
+            self.keys.append((np.array(order, np.uint64), np.array([by[h] for h in order], np.int64)))
+
+    def edges(self, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of every piece in words laid end to end; ``left``: characters from a place to its word's end. A character without
+        a piece of its own has piece -1."""
+        at, h, out = np.arange(len(code)), np.zeros(len(code), np.uint64), []
+        for n in range(1, self.longest + 1):
+            ok = left[at] >= n
+            at, h = at[ok], h[ok]
+            h = h * np.uint64(self.SPREAD) + code[at + n - 1] + np.uint64(1)
+            ok = self.goes_on[h * np.uint64(self.SPREAD) >> np.uint64(64 - self.BITS)]
+            keys, numbers = self.keys[n]
+            if n == 1:
+                piece = np.full(len(at), -1)
+                if len(keys):
+                    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    piece = np.where(keys[i] == h, numbers[i], -1)
+                out.append((at, np.ones(len(at), np.int64), piece))
+            at, h = at[ok], h[ok]
+            if n > 1 and len(keys):
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[i] == h
+                out.append((at[hit], np.full(int(hit.sum()), n), numbers[i[hit]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def add(self, words: list[str], times: list[int], into: np.ndarray) -> None:
+        """Add the expected counts of the words, so many times each, to ``into``, one number a piece."""
+        size = np.array([len(w) for w in words])
+        short = (size <= LONG) & (size > 0) if self.longest else np.zeros(len(words), bool)
+        alone = [i for i in np.nonzero(~short)[0] if words[i]]
+        kept = np.nonzero(short)[0]
+        if len(kept):
+            n = size[kept]
+            code = np.frombuffer("".join([words[i] for i in kept]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            word, ends = np.repeat(np.arange(len(kept)), n), np.cumsum(n)
+            place, length, piece = self.edges(code, ends[word] - np.arange(len(code)))
+            width = 1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF)
+            p = np.exp(np.where(piece >= 0, self.logs[piece], self.byte * width[place]) + self.LIFT * length)
+            # A word of n characters has n + 1 states.
+            a = place + word[place]
+            b, front, back = a + length, np.zeros(len(code) + len(kept)), np.zeros(len(code) + len(kept))
+            first, last = ends - n + np.arange(len(kept)), ends + np.arange(len(kept))
+            front[first], back[last] = 1.0, 1.0
+            start = place - (ends - n)[word[place]]
+            for key, to, by, sums in ((start + length, b, a, front), (-start, a, b, back)):
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                for i in np.split(order, np.nonzero(np.diff(key))[0] + 1):
+                    np.add.at(sums, to[i], sums[by[i]] * p[i])
+            fine = np.minimum(front, back) > 1e-280
+            fine = np.logical_and.reduceat(fine & (np.maximum(front, back) < 1e280), first)
+            alone += kept[~fine].tolist()
+            ok = fine[word[place]] & (piece >= 0)
+            w = word[place[ok]]
+            share = front[a[ok]] / front[last[w]] * p[ok] * back[b[ok]] * np.array(times, float)[kept][w]
+            into += np.bincount(piece[ok], share, len(into))
+        if alone:
+            one: dict[str, float] = {}
+            for i in alone:
+                expected(words[i], self.table, self.longest, self.byte, times[i], one)
+            for k, w in enumerate(self.names if one else ()):
+                into[k] += one.get(w, 0.0)
+
+
+def sample(docs: DataFrame, rows: int | None = None, text_col: str = "text") -> DataFrame:
+    """(word, n) of the pre-tokens, mark in front, of all distinct texts, or of about ``rows`` of them at most, chosen by a hash of the text. Only
+    texts that come again are shuffled, to be counted once; the others are counted where they are read."""
     hashed = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col, F.lit(7)).alias("_h"), F.col(text_col).alias("_text"))
-    some = hashed.where(F.pmod("_h", F.lit(1_000_003)) < F.lit(share * 1_000_003)).groupBy("_h").agg(F.first("_text").alias("_text")).select("_text")
+    if rows is not None:
+        hashed = hashed.where(F.pmod("_h", F.lit(1_000_003)) < F.lit(min(1.0, rows / max(1, docs.count())) * 1_000_003))
+    again = materialize(hashed.groupBy("_h").count().where("count > 1").select("_h", F.lit(True).alias("_again")), "token-copies")
+    dealt = hashed.join(again, "_h", "left")
+    once, copies = dealt.where("_again IS NULL").select("_text"), dealt.where("_again").groupBy("_h").agg(F.first("_text").alias("_text")).select("_text")
 
     def counted(batches):
         for whole in batches:
@@ -95,11 +185,12 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text") ->
                 held = Counter(w for t in b.column(0).to_pylist() for w in _PRE.findall(t))
                 yield pa.RecordBatch.from_arrays([pa.array([MARK + w for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
-    return materialize(some.mapInArrow(tidied(counted), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "token-sample")
+    counts = [some.mapInArrow(tidied(counted), "word string, n bigint") for some in (once, copies)]
+    return materialize(counts[0].unionAll(counts[1]).groupBy("word").agg(F.sum("n").alias("n")), "token-words")
 
 
-def fitted(docs: DataFrame, vocabulary: str | None = None, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, text_col: str = "text") -> dict[str, float]:
-    """Log probabilities by piece. What comes to the driver in a round is one number per piece of the vocabulary. Null texts say
+def fitted(docs: DataFrame, vocabulary: str | None = None, rows: int | None = None, rounds: int = ROUNDS, text_col: str = "text") -> dict[str, float]:
+    """Log probabilities by piece, fitted on all distinct texts unless ``rows`` says otherwise. What comes to the driver in a round is one number per piece of the vocabulary. Null texts say
     nothing; without any text the scores are Zipf's."""
     spark = docs.sparkSession
     short_batches(spark)
@@ -109,13 +200,12 @@ def fitted(docs: DataFrame, vocabulary: str | None = None, rows: int = SAMPLE_RO
         sent = spark.sparkContext.broadcast(table)
 
         def work(batches, sent=sent):
-            now = sent.value
-            longest, byte = max(map(len, now), default=0), min(now.values(), default=0.0) - PENALTY
-            into: dict[str, float] = {}
+            cuts = Cuts(sent.value)
+            into = np.zeros(len(cuts.names))
             for b in batches:
-                for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    expected(w, now, longest, byte, n, into)
-            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], names=["piece", "n"])
+                cuts.add(b.column(0).to_pylist(), b.column(1).to_pylist(), into)
+            some = np.nonzero(into)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([cuts.names[i] for i in some], pa.string()), pa.array(into[some])], names=["piece", "n"])
 
         got = words.mapInArrow(tidied(work), "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
         seen = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))

@@ -102,3 +102,24 @@ def test_store_is_bounded(monkeypatch):
     for text in ("a b ab ba", "aab abab ab", "a é b", "ab", "ababab" * 30 + " a", "abababa abababab " + "é" * 9 + " ab"):
         assert m.count([text])[1] == [sum(viterbi("▁" + w, m.table, m.byte) for w in text.split())]
         assert all(len(w) < 8 for w in m.counts)
+
+
+def test_many_words_at_once_expect_what_one_does(table):
+    words = ["▁", "▁ab", "▁the", "▁thethe", "é", "▁é中😀zq" * 4, "▁" + "中" * 47, "x" * 60, "", "▁a\ud800b", *("▁" + "ab" * k for k in range(1, 30))]
+    times = [1 + i % 5 for i in range(len(words))]
+    for some in (table, {"a": -1.0, "ab": -3.0, "▁": -2.0}, {}):
+        cuts = tc.Cuts(some)
+        got, want = [0.0] * len(some), {}
+        got = tc.np.array(got)
+        cuts.add(words, times, got)
+        for w, n in zip(words, times, strict=True):
+            if w:
+                tc.expected(w, some, max(map(len, some), default=0), cuts.byte, n, want)
+        assert got.tolist() == pytest.approx([want.get(k, 0.0) for k in some], rel=1e-9, abs=1e-12)
+
+
+def test_the_fit_reads_every_distinct_text(spark):
+    """More distinct texts than the 2,000 that it was once fitted on."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id, ' same') AS text")
+    words = {r.word: r.n for r in tc.sample(docs.unionAll(docs.limit(50))).collect()}
+    assert words == {f"▁w{i}": 1 for i in range(3000)} | {"▁same": 3000}
