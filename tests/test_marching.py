@@ -145,3 +145,15 @@ def test_training_field_meets_every_point_only_where_it_must(spark, monkeypatch)
     assert sum(met[1:]) < queries.count() / 2 and got.keys() == want.keys()
     for i, r in want.items():
         assert [*got[i]][1:] == pytest.approx([*r][1:], rel=1e-9, abs=1e-9)
+
+
+def test_passing_by_within_the_tolerance_is_no_crossing(spark):
+    """Lines at 1 + 1e-5 of the unit sphere's centre, within the march's tolerance, miss; those at 1 - 1e-5 hit."""
+    rows = [(0, -2.5, 1 + 1e-5, 0.0, 1.0, 0.0, 0.0), (1, -2.5, 1 - 1e-5, 0.0, 1.0, 0.0, 0.0), (2, -2.5, 0.5, 0.0, 1.0, 0.0, 0.0)]
+    rays = spark.createDataFrame(rows, COLUMNS)
+    at = np.array([[-2.5, 0.0, 1.0 + 1e-5]])
+    state = marching._march(lambda live, p: (np.sqrt((p**2).sum(1)) - 1, np.full(len(p), True)), at, np.array([[1.0, 0.0, 0.0]]), t := np.zeros(1), np.zeros(1, bool), np.zeros(1), found := [[]], 6.0, 1e-4)
+    assert state[0] == marching.ENDED and t[0] >= 6 and found == [[]]
+    cloud = fields.tori(frame(spark, SF, "cloud_sphere"), frame(spark, SF, "coeffs_sphere"))
+    got = {r.rid: r.hit for r in marching.trace_field(rays, cloud, Evaluation(k=8)).collect()}
+    assert got == {0: False, 1: True, 2: True}
