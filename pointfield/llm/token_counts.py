@@ -1,9 +1,8 @@
-"""Token counts under a unigram model, by dynamic programming along a trie of pre-tokens.
+"""Token counts under a unigram model, by dynamic programming over many pre-tokens at once.
 
-A pre-token is a run of non-space with the word mark in front. The distinct new pre-tokens of a slice of documents
-are walked in sorted order, which is the depth-first order of their trie: the forward scores of a prefix are
-computed once and serve every pre-token below it, and only the path to the current node is held. Each terminal's
-token count is stored in the worker (CACHE short ones at most) and the documents add up their pre-tokens' counts. Pre-tokens of more
+A pre-token is a run of non-space with the word mark in front. The distinct new pre-tokens of a slice of documents are laid end to end and
+cut together, end by end, over arrays of the pieces that begin at each place. Each one's token count is stored in the
+worker (CACHE short ones at most) and the documents add up their pre-tokens' counts. Pre-tokens of more
 than LONG characters are scored alone, holding only the states that the next character can reach.
 
 The pieces are those of a public vocabulary's file. Their probabilities are fitted here, by ROUNDS of expectation and
@@ -20,6 +19,7 @@ import math
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ MARK = "▁"
 PENALTY = 10.0
 #: Pre-tokens that a worker remembers at most, and the characters of the longest of them.
 CACHE, LONG = 1_000_000, 48
+#: Characters of words that are cut at once.
+AT_ONCE = 1 << 17
 #: Rounds of the fit; the count that every piece has besides the expected one.
 ROUNDS, PRIOR = 3, 0.01
 
@@ -83,8 +85,14 @@ def expected(word: str, table: dict[str, float], longest: int, byte: float, time
                 into[w] = into.get(w, 0.0) + times * math.exp(front[s] + p + behind - front[n])
 
 
+def _by(key: np.ndarray) -> list[np.ndarray]:
+    """Rows by ascending key, 0 to LONG, in their order."""
+    order = np.argsort(key.astype(np.uint8), kind="stable")
+    return np.split(order, np.nonzero(np.diff(key[order]))[0] + 1)
+
+
 class Cuts:
-    """Expected counts of many words at once. What pieces begin at a place is found length by length by hashes of substrings; places that no
+    """Expected counts, or best cuts, of many words at once. What pieces begin at a place is found length by length by hashes of substrings; places that no
     piece goes on from drop out. Forward and backward sums are probabilities, LIFT more for each character so that they stay in range; words that leave
     it go one by one."""
 
@@ -130,6 +138,27 @@ class Cuts:
                 out.append((at[hit], np.full(int(hit.sum()), n), numbers[i[hit]]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def best(self, words: list[str]) -> np.ndarray:
+        """Tokens of the best cut of each word of 1 to LONG characters, of equal scores that with fewer tokens. A word of n characters has n + 1 states."""
+        n = np.array([len(w) for w in words])
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        word, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+        place, length, piece = self.edges(code, ends[word] - np.arange(len(code)))
+        width = 1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF)
+        tokens = np.where(piece >= 0, 1, width[place])
+        p = np.where(piece >= 0, self.logs[piece], self.byte * tokens) if self.names else self.byte * tokens
+        a = place + word[place]
+        b, score, less = a + length, np.full(len(code) + len(n), -np.inf), np.full(len(code) + len(n), np.iinfo(np.int64).min)
+        first, last = ends - n + np.arange(len(n)), ends + np.arange(len(n))
+        score[first], less[first] = 0.0, 0
+        for i in _by(place - (ends - n)[word[place]] + length):
+            to, by = b[i], a[i]
+            at = score[by] + p[i]
+            np.maximum.at(score, to, at)
+            ok = at == score[to]
+            np.maximum.at(less, to[ok], (less[by] - tokens[i])[ok])
+        return -less[last]
+
     def add(self, words: list[str], times: list[int], into: np.ndarray) -> None:
         """Add the expected counts of the words, so many times each, to ``into``, one number a piece."""
         size = np.array([len(w) for w in words])
@@ -149,10 +178,8 @@ class Cuts:
             first, last = ends - n + np.arange(len(kept)), ends + np.arange(len(kept))
             front[first], back[last] = 1.0, 1.0
             start = place - (ends - n)[word[place]]
-            for key, to, by, sums in ((start + length, b, a, front), (-start, a, b, back)):
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                for i in np.split(order, np.nonzero(np.diff(key))[0] + 1):
+            for key, to, by, sums in ((start + length, b, a, front), (LONG - start, a, b, back)):
+                for i in _by(key):
                     np.add.at(sums, to[i], sums[by[i]] * p[i])
             fine = np.minimum(front, back) > 1e-280
             fine = np.logical_and.reduceat(fine & (np.maximum(front, back) < 1e280), first)
@@ -202,8 +229,14 @@ def fitted(docs: DataFrame, vocabulary: str | None = None, rows: int | None = No
         def work(batches, sent=sent):
             cuts = Cuts(sent.value)
             into = np.zeros(len(cuts.names))
+            some, times = [], []
             for b in batches:
-                cuts.add(b.column(0).to_pylist(), b.column(1).to_pylist(), into)
+                some += b.column(0).to_pylist()
+                times += b.column(1).to_pylist()
+                if sum(map(len, some)) >= AT_ONCE:
+                    cuts.add(some, times, into)
+                    some, times = [], []
+            cuts.add(some, times, into)
             some = np.nonzero(into)[0]
             yield pa.RecordBatch.from_arrays([pa.array([cuts.names[i] for i in some], pa.string()), pa.array(into[some])], names=["piece", "n"])
 
@@ -223,6 +256,7 @@ class Unigram:
         self.table = table
         self.longest = max(map(len, table), default=0)
         self.byte = min(table.values(), default=0.0) - PENALTY
+        self.cuts = Cuts(table)
         self.counts: dict[str, int] = {}
 
     def _next(self, word: str, d: int, best, first: int) -> tuple[float, int]:
@@ -249,22 +283,21 @@ class Unigram:
                 del best[0]
         return -best[-1][1]
 
-    def learn(self, words: set[str], into: dict[str, int]) -> None:
-        """Terminal counts of pre-tokens, prefixes shared."""
-        path, best = "", [(0.0, 0)]
-        for w in sorted(words):
-            w = MARK + w
-            if len(w) > LONG:
-                into[w[1:]] = self._alone(w)
+    def learn(self, words: Iterable[str], into: dict[str, int]) -> None:
+        """Token counts of pre-tokens, many at once."""
+        held: list[str] = []
+        size = 0
+        for w in words:
+            if len(w) >= LONG or not self.longest:
+                into[w] = self._alone(MARK + w)
                 continue
-            shared, most = 0, min(len(w), len(path))
-            while shared < most and w[shared] == path[shared]:
-                shared += 1
-            del best[shared + 1 :]
-            for d in range(len(best), len(w) + 1):
-                best.append(self._next(w, d, best, 0))
-            path = w
-            into[w[1:]] = -best[-1][1]
+            held.append(w)
+            size += len(w) + 1
+            if size >= AT_ONCE:
+                into.update(zip(held, self.cuts.best([MARK + w for w in held]).tolist(), strict=True))
+                held, size = [], 0
+        if held:
+            into.update(zip(held, self.cuts.best([MARK + w for w in held]).tolist(), strict=True))
 
     def count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         split = [_PRE.findall(t) if t else [] for t in texts]

@@ -123,3 +123,11 @@ def test_the_fit_reads_every_distinct_text(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id, ' same') AS text")
     words = {r.word: r.n for r in tc.sample(docs.unionAll(docs.limit(50))).collect()}
     assert words == {f"▁w{i}": 1 for i in range(3000)} | {"▁same": 3000}
+
+
+def test_many_words_at_once_are_cut_as_one_is(table):
+    """Ties go to fewer tokens; characters without a piece take their bytes."""
+    words = ["▁", "▁ab", "▁the", "▁thethe", "é", "▁é中😀zq" * 4, "▁" + "中" * 47, *("▁" + "ab" * k for k in range(1, 24))]
+    for some in (table, {"a": -1.0, "b": -1.0, "ab": -2.0, "abab": -4.0, "▁": -2.0}):
+        cuts = tc.Cuts(some)
+        assert cuts.best(words).tolist() == [viterbi(w, some, cuts.byte) for w in words]
