@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from pointfield.operators import farfield, fields, meshes, neighbours
+from pointfield.operators import farfield, fields, meshes, neighbours, tiles
 from pointfield.plans import catalog  # noqa: F401
 from pointfield.plans.fixtures import frame
 
@@ -204,6 +204,28 @@ def test_regularised_field_and_the_fixture(spark):
         assert all(abs(got[k].field - w) <= got[k].bound + 1e-9 for k, w in want.items())
 
 
+@pytest.mark.parametrize("n, shift, opening", [(1, 0.0, 2.0), (3000, 0.0, 1.2), (3000, 1000.0, 3.0), (3000, 0.0, math.inf)])
+def test_bounds_hold_by_tiles(spark, monkeypatch, n, shift, opening):
+    monkeypatch.setattr(tiles, "TILE", 256)
+    p, v, a, df = cloud(spark, n, 21, shift)
+    q = np.concatenate([np.random.default_rng(22).normal(size=(30, 3)) * 2 + shift, p[:2]])
+    got = {r.qid: r for r in farfield.winding(places(spark, q), farfield.tiled(df), tolerance=None, opening=opening).collect()}
+    want = exact(q, p, v, a)
+    assert got[999].field is None
+    assert all(abs((got[i].field or 0.0) - want[i]) <= got[i].bound + 1e-9 * (1 + abs(want[i])) for i in range(len(q)))
+    assert opening == 3.0 and n > 1 or opening < math.inf or max(r.bound for r in got.values()) == 0
+    assert farfield.inside(places(spark, q), farfield.tiled(df.limit(0))).where("inside IS NOT NULL").isEmpty()
+
+
+def test_both_kernels_by_tiles_on_the_fixture(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", 32)
+    c, q = frame(spark, SF, "cloud_sphere"), frame(spark, SF, "queries")
+    for name in ("winding", "regularised_winding"):
+        got = {r.qid: r for r in farfield.winding(q, farfield.tiled(c), name, tolerance=1e-3).collect()}
+        want = {r.qid: r.field for r in fields.compare(name, q, c).collect()}
+        assert all(abs(got[k].field - w) <= got[k].bound + 1e-9 <= 1e-3 + 1e-8 for k, w in want.items())
+
+
 def test_no_product_in_the_plan(spark):
     """Queries meet cells and sources by equi-joins; the one join without keys is with the root's cells, 8 at most."""
     q = places(spark, np.zeros((3, 3)))
