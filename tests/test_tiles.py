@@ -77,3 +77,30 @@ def test_nearest_triangles_over_many_tiles(spark, small):
     assert {r.qid: (r.fid, pytest.approx(r.d)) for r in got.collect()} == want
     assert meshes.nearest(asked, tri.limit(0)).where("d IS NULL AND fid IS NULL").count() == 40
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["volume", "crowd", "place"])
+def test_balls_over_many_tiles(spark, small, kind):
+    """Queries in and between tiles, on points, at the radius and without a place; pairs come from the tasks themselves, so no join runs over them."""
+    rng = np.random.default_rng(6)
+    p = {"volume": rng.integers(-8, 9, (400, 3)) / 8, "crowd": np.concatenate([rng.normal(0, 1e-6, (200, 3)), [[0.5, 0, 0], [1e6, 0, 0]]]), "place": np.repeat([[0.25, 0.5, 0.0]], 150, 0)}[kind]
+    q = np.concatenate([p[::20], rng.uniform(-2, 2, (30, 3))])
+    cloud, asked = places(spark, p, "pid").withColumn("tag", F.concat(F.lit("p"), "pid")), places(spark, q, "qid")
+    odd = spark.createDataFrame([(900, None, 0.0, 0.0), (901, float("nan"), 0.0, 0.0)], asked.schema)
+    d = np.sqrt(((p[None] - q[:, None]) ** 2).sum(2))
+    got = neighbours.within(asked.union(odd), cloud, 0.5)
+    assert got.columns == ["qid", "x", "y", "z", "pid", "px", "py", "pz", "tag", "d"]
+    rows = got.collect()
+    assert sorted((r.qid, r.pid) for r in rows) == [(i, j) for i in range(len(q)) for j in range(len(p)) if d[i, j] <= 0.5]
+    assert all(r.tag == f"p{r.pid}" and (r.x, r.y, r.z) == tuple(q[r.qid]) and (r.px, r.py, r.pz) == tuple(p[r.pid]) and r.d == d[r.qid, r.pid] for r in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and (kind == "place" or "Join" not in plan[: plan.index("Exchange")])
+    assert neighbours.within(asked, cloud.limit(0), 0.5).count() == neighbours.within(asked.limit(0), cloud, 0.5).count() == 0
+
+
+def test_balls_are_handed_on_in_batches(spark, small, monkeypatch):
+    """However many the pairs of a tile, a batch has no more than so many; before, a task's cells met in a join that AQE gave to few tasks."""
+    monkeypatch.setattr(tiles, "NUMBERS", 64)
+    cloud = places(spark, np.random.default_rng(7).uniform(0, 0.1, (300, 3)), "pid")
+    sizes = neighbours.within(cloud.withColumnRenamed("pid", "qid"), cloud, 1.0, only=("qid", "pid", "d")).mapInArrow(lambda batches: batches, "qid long, pid long, d double")
+    assert sizes.count() == 300 * 300 and sizes.rdd.getNumPartitions() > 8
