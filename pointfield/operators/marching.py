@@ -195,8 +195,10 @@ def trace_field(rays: DataFrame, cloud: DataFrame, how: Evaluation, t_max: float
 
 
 def _torus_grid(tori: DataFrame) -> DataFrame:
-    """A row (.., nu, nv, iu, iv) for each corner of each torus's grid of quads."""
+    """A row (.., nu, nv, iu, iv) for each corner of each torus's grid of quads. A few tori make many rows, so they are dealt to all tasks first: a table
+    of tori is too small to be read by many."""
     count = lambda r: f"CAST(greatest(16, least(128, floor(abs({r}) / 0.1e0))) AS INT)"
+    tori = tori.repartition(tiles._tasks(tori, 1 << 30), "pid")
     rows = tori.where("abs(minor_r) >= 1e-10 AND abs(major_r) >= 1e-10").selectExpr("*", f"{count('major_r')} AS nu", f"{count('minor_r')} AS nv")
     return rows.selectExpr("*", "explode(sequence(0, nu - 1)) AS iu").selectExpr("*", "explode(sequence(0, nv - 1)) AS iv")
 

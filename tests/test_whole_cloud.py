@@ -35,3 +35,10 @@ def test_the_faces_of_a_torus_close_around_it(spark):
         assert got.watertight and got.consistent and got.outward and got.n_faces == 2 * got.n_vertices
         assert abs(got.volume - volume) < 0.1 * volume
     assert marching.torus_faces(tori).where("pid = 3").count() == 0
+
+
+def test_a_small_table_of_tori_is_meshed_by_many_tasks(spark):
+    """One file of tori is read by one task, whose rows the grids multiply."""
+    tori = spark.range(40).coalesce(1).selectExpr("id AS pid", "0e0 AS cx", "0e0 AS cy", "0e0 AS cz", "0.4e0 AS theta", "0.5e0 AS phi", "1e0 AS major_r", "0.3e0 AS minor_r")
+    rows = marching.torus_vertices(tori).groupBy(F.spark_partition_id()).agg(F.countDistinct("pid").alias("n")).collect()
+    assert len(rows) > 4 and sum(r.n for r in rows) == 40
