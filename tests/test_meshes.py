@@ -237,3 +237,22 @@ def test_no_product_in_the_plan(spark):
     for plan in plans:
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in text and text.count("NestedLoop") <= 1
+
+
+def test_odd_boxes_over_many_tiles(spark, monkeypatch):
+    """Over many tiles, boxes that touch, are points, turned round, without end, or lack a side; no join runs over the pairs."""
+    from pointfield.operators import tiles
+
+    for name, value in (("TILE", 16), ("SAMPLED", 200), ("ASKED", 7)):
+        monkeypatch.setattr(tiles, name, value)
+    t = np.round(soup(200, 13) * 8) / 8
+    low, high = np.round(np.random.default_rng(14).normal(size=(2, 12, 3)) * 8) / 8
+    low[0], high[0] = t[0].max(0), t[0].max(0)
+    high[1], low[2] = np.inf, -np.inf
+    names = [f"b{n}{c}" for n in "lh" for c in "xyz"]
+    rows = [(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(low, high, strict=True))] + [(99, None, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "qid bigint, " + ", ".join(f"{n} double" for n in names))
+    got = meshes.in_boxes(boxes, table(spark, t))
+    assert sorted((r.qid, r.fid) for r in got.collect()) == [(i, j) for i in range(12) for j, x in enumerate(t) if (x.min(0) <= high[i]).all() and (x.max(0) >= low[i]).all()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and "Join" not in plan[: plan.index("Exchange")]
