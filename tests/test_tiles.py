@@ -104,3 +104,18 @@ def test_balls_are_handed_on_in_batches(spark, small, monkeypatch):
     cloud = places(spark, np.random.default_rng(7).uniform(0, 0.1, (300, 3)), "pid")
     sizes = neighbours.within(cloud.withColumnRenamed("pid", "qid"), cloud, 1.0, only=("qid", "pid", "d")).mapInArrow(lambda batches: batches, "qid long, pid long, d double")
     assert sizes.count() == 300 * 300 and sizes.rdd.getNumPartitions() > 8
+
+
+def test_empty_balls_get_their_nearest_points(spark, small):
+    """The pairs of balls are made once: before, once more to tell which balls are empty."""
+    rng = np.random.default_rng(9)
+    p, q = rng.uniform(-1, 1, (200, 3)), rng.uniform(-2, 2, (40, 3))
+    d = np.sqrt(((p[None] - q[:, None]) ** 2).sum(2))
+    want = [(i, j) for i in range(40) for j in (np.nonzero(d[i] <= 0.3)[0] if d[i].min() <= 0.3 else np.argsort(d[i])[:4])]
+    for only in (None, ("qid", "pid", "d")):
+        got = neighbours.within_or_nearest(places(spark, q, "qid"), places(spark, p, "pid"), 0.3, 4, only=only)
+        assert got.columns == list(only or ("qid", "x", "y", "z", "pid", "px", "py", "pz", "d"))
+        rows = got.collect()
+        assert sorted((r.qid, r.pid) for r in rows) == sorted(want) and all(r.d == d[r.qid, r.pid] for r in rows)
+        assert only or all((r.x, r.px) == (q[r.qid, 0], p[r.pid, 0]) for r in rows)
+    assert len({j for i, j in want if d[i].min() > 0.3}) > 4 and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
