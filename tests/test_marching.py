@@ -157,3 +157,20 @@ def test_passing_by_within_the_tolerance_is_no_crossing(spark):
     cloud = fields.tori(frame(spark, SF, "cloud_sphere"), frame(spark, SF, "coeffs_sphere"))
     got = {r.rid: r.hit for r in marching.trace_field(rays, cloud, Evaluation(k=8)).collect()}
     assert got == {0: False, 1: True, 2: True}
+
+
+def test_grazing_no_deeper_than_asked_is_no_crossing(spark):
+    """As k06's SQL has it: lines whose half chord is below 1e-2 miss, whether the march knows the nearest points or all; a deeper one hits."""
+    from pointfield.plans.other_queries import GRAZE
+
+    half = (5e-3, 9e-3, 9.9e-3, 1.01e-2, 1.2e-2, 0.5)
+    rays = spark.createDataFrame([(i, -2.5, math.sqrt(1 - c * c), 0.0, 1.0, 0.0, 0.0) for i, c in enumerate(half)], COLUMNS)
+    cloud = fields.tori(frame(spark, SF, "cloud_sphere"), frame(spark, SF, "coeffs_sphere"))
+    got = {r.rid: r.hit for r in marching.trace_field(rays, cloud, Evaluation(k=8), depth=GRAZE).collect()}
+    assert got == {i: c > 1e-2 for i, c in enumerate(half)}
+    assert all(r.hit for r in marching.trace_field(rays, cloud, Evaluation(k=8)).collect())
+    # One step under any evaluation: at the bottom of a chord, within the tolerance and on the other side.
+    rows = [(i, -2.5, math.sqrt(1 - c * c), 0.0, 1.0, 0.0, 0.0, 2.5, True, [2.49], marching.LIVE, 1.0) for i, c in enumerate((9e-3, 1.2e-2))]
+    live = spark.createDataFrame(rows, COLUMNS + ", t double, inside boolean, found array<double>, state int, side double")
+    step = {r.rid: r.side for r in marching._one_step(live, fields.finite(cloud), Evaluation(k=8), 6.0, 1e-4, GRAZE).collect()}
+    assert step == {0: 1.0, 1: 0.0}
