@@ -177,3 +177,41 @@ def test_gate_passes_all_that_templates_can_confirm(spark):
     df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", li.ngrams(li.tokens(F.col("t")), 3).alias("g"), F.lower("t").rlike(li.SHARED).alias("passes"))
     for r in df.collect():
         assert r.passes == (not set(li._ALL).isdisjoint(r.g)), r.t
+
+
+def test_words_without_a_template_trigram_are_classified_too(spark, classifier):
+    """Every word outside the passages, scored from the fitted numbers line by line; licence words that no template has are told as unconfirmed."""
+    brute = Brute(classifier)
+    odd = [
+        "Nothing here.\nLicense terms: permission granted under the license of the software, copyright notice.\nOr here.",
+        "Apache License 2.0\n\nReleased under the MIT License.\nsoftware license copyright notice warranty",
+        "Released under the MIT License. " + "It was a long day and nobody came to the house by the sea " * 2 + "software license copyright notice warranty permission granted free of charge",
+        *TEXTS,
+    ]
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 1000").limit(12).collect()] + list(enumerate(odd, 1 << 40))
+
+    def rest(paragraph):
+        lines = [w for text in re.split("[\r\n]+", paragraph) if (w := brute.words(text))]
+        words, number = [w for line in lines for w in line], [n for n, line in enumerate(lines) for _ in line]
+        taken, at = set(), 0
+        for w in brute.passages(paragraph):
+            while words[at : at + len(w)] != w:
+                at += 1
+            taken |= set(range(at, at + len(w)))
+            at += 1
+        run = []
+        for i, w in enumerate(words):
+            if run and (i in taken or number[i] != number[run[-1]]):
+                yield [words[k] for k in run]
+                run = []
+            if i not in taken:
+                run.append(i)
+        if run:
+            yield [words[k] for k in run]
+
+    want = {}
+    for i, text in docs:
+        paragraphs = [p for p in re.split(r"\n[ \t\r\f]*\n", text or "") if p.strip()]
+        want[i] = [(n, k) for n, p in enumerate(paragraphs, 1) for k, w in enumerate(rest(p), 1) if brute.verdict(w)]
+    got = {r.doc_id: [(x.paragraph, x.line) for x in r.unconfirmed] for r in li.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), classifier).collect()}
+    assert got == want and any(want.values())
