@@ -256,3 +256,47 @@ def test_odd_boxes_over_many_tiles(spark, monkeypatch):
     assert sorted((r.qid, r.fid) for r in got.collect()) == [(i, j) for i in range(12) for j, x in enumerate(t) if (x.min(0) <= high[i]).all() and (x.max(0) >= low[i]).all()]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange") and "Join" not in plan[: plan.index("Exchange")]
+
+
+def test_smoothed_far_fields_within_the_smoothing(spark, monkeypatch):
+    """Cells nearer than 6.5 epsilon stand for their sources too, within the bounds; the factors and the table of bounds against differences."""
+    soft = farfield.smoothed(0.1)
+    t, h = np.linspace(0.3, 6.0, 400), 1e-5
+    (k, slope), (more, _), (less, _) = (soft.factors(x) for x in (t, t + h, t - h))
+    assert np.allclose(slope / t, (more - less) / (2 * h), atol=1e-6)
+    rng, at = np.random.default_rng(5), lambda v: (v * (soft.factors(r := np.linalg.norm(v, axis=1))[0] / r**3)[:, None])
+    v, u, d = rng.normal(size=(300, 3)), rng.normal(size=(300, 3)), 1e-3
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    curve = ((at(v + d * u) - 2 * at(v) + at(v - d * u)) * u).sum(1) / d**2
+    assert (np.abs(curve) <= soft.third(0.1 * (np.linalg.norm(v, axis=1) - d)) * 0.1**4 + 1e-5).all()
+    met, every = [], farfield.Cells.met
+
+    monkeypatch.setattr(tiles, "TILE", 64)
+    p, n, a, df = cloud(spark, 3000, 31)
+    q = np.concatenate([rng.normal(size=(60, 3)), p[:2] + 0.01])
+    c = farfield.tiled(df).cells
+    open_, _, _ = every(c, q, 1.5, soft)
+    near = np.linalg.norm(q[:, None] - c.centre[None], axis=2) < 6.5 * 0.1
+    assert (near & ~open_).any()
+    qs = places(spark, q)
+    want = {r.qid: r.field for r in fields.compare("regularised_winding", qs, df).collect()}
+    for opening in (1.5, 3.0):
+        got = {r.qid: r for r in farfield.winding(qs, farfield.tiled(df), "regularised_winding", tolerance=None, opening=opening).collect()}
+        assert all(abs(got[i].field - want[i]) <= got[i].bound + 1e-9 for i in range(len(q)))
+        met.append(max(r.bound for r in got.values() if r.field is not None))
+    assert 0 < met[1] < met[0]
+
+
+def test_solid_angles_by_tiles(spark, monkeypatch):
+    """Triangles dealt into tiles against the exact sum, on both sides and at corners; without triangles nothing is inside."""
+    monkeypatch.setattr(tiles, "TILE", 64)
+    t = soup(1500, 41)
+    q = np.concatenate([np.random.default_rng(42).normal(size=(40, 3)) * 2, t[:2].mean(1) + 0.05])
+    tri, qs = table(spark, t), places(spark, q)
+    want = {r.qid: r.winding for r in meshes.distances(qs.drop("cell"), tri.select("fid", *meshes.TRIANGLE)).collect()}
+    for opening in (1.5, 3.0, math.inf):
+        got = {r.qid: r for r in farfield.winding(qs, farfield.tiled_triangles(tri), "solid_angle", tolerance=None, opening=opening).collect()}
+        assert all(abs(got[i].field - want[i]) <= got[i].bound + 1e-8 for i in range(len(q)))
+    near = {r.qid: r.d for r in meshes.nearest(qs, farfield.tiled_triangles(tri)).collect()}
+    assert near == {r.qid: r.d for r in meshes.nearest(qs, meshes.tree(tri)).collect()}
+    assert farfield.inside(qs, farfield.tiled_triangles(tri.limit(0)), "solid_angle").where("inside IS NOT NULL").isEmpty()
