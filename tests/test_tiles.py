@@ -119,3 +119,14 @@ def test_empty_balls_get_their_nearest_points(spark, small):
         assert sorted((r.qid, r.pid) for r in rows) == sorted(want) and all(r.d == d[r.qid, r.pid] for r in rows)
         assert only or all((r.x, r.px) == (q[r.qid, 0], p[r.pid, 0]) for r in rows)
     assert len({j for i, j in want if d[i].min() > 0.3}) > 4 and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+
+
+def test_only_boxes_that_overlap_are_handed_on(spark, monkeypatch):
+    """f06 hands on each overlapping pair from both sides and each box with itself, no pairs within a ball around the boxes."""
+    from pointfield.plans import other_queries
+
+    folder = "/root/testdata/sf0.01"  # on smaller tables no boxes overlap
+    met, every = [], tiles.meeting
+    monkeypatch.setattr(tiles, "meeting", lambda *a, **b: met.append(every(*a, **b)) or met[0])
+    found = other_queries.overlapping(spark, folder).count()
+    assert found and met[0].count() == 2 * found + spark.read.parquet(f"{folder}/customer.parquet").count()
